@@ -247,17 +247,21 @@ FROM events GROUP BY event_type || ':' || user_id, CAST(ts AS DATE)
 
 
 def share_facts(t: Tables) -> DataFrame:
-    """Bitemporal facts: economic date = order date, known date = ship date (often earlier)."""
+    """Bitemporal facts: economic date = order date, known date = ship date (often earlier).
+
+    Returned lines count negative, so they are facts that never qualify.
+    """
     return t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_custkey").cast("string").alias("entity"),
         as_date("o_orderdate").alias("reference_date"), as_date("l_shipdate").alias("filed_at"),
         F.concat_ws(":", F.format_string("%010d", "l_orderkey"), "l_linenumber").alias("accession_number"),
-        F.col("l_extendedprice").alias("value"),
+        F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice")).alias("value"),
     )
 
 
 shared_sql("share_facts", """
 SELECT CAST(o_custkey AS VARCHAR) AS entity, CAST(o_orderdate AS DATE) AS reference_date, CAST(l_shipdate AS DATE) AS filed_at,
-       printf('%010d', l_orderkey) || ':' || l_linenumber AS accession_number, l_extendedprice AS value
+       printf('%010d', l_orderkey) || ':' || l_linenumber AS accession_number,
+       CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END AS value
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 """)
