@@ -13,3 +13,104 @@ DIRECTIONS = {
     "pix_count_yoy_direction": ("expanding", "contracting"),
 }
 DEFAULT_DIRECTION = ("rising", "falling")
+
+# --- fixed values: reporting table of an operating release --------------------
+SUMMARY = (
+    r"(?i)The following table summarizes certain key performance metrics for the (.+?) periods? ended "
+    r"(March|June|September|December)\s+(\d{1,2}),\s+(\d{4})\s+and\s+(\d{4})"
+)
+BLOCK_START = "fintech monthly active users"
+BLOCK_END = "capital expenditures"
+NUMBER = r"\$?\s*(\(?-?\d[\d,]*(?:\.\d+)?\)?)\s*(%?)"
+# (metric, label, unit, scale factor), in table order
+KPI_LABELS = (
+    ("fintech_mau", "Fintech monthly active users", "users", 1_000_000),
+    ("unique_active_buyers", "Unique active buyers", "users", 1_000_000),
+    ("gmv", "Gross merchandise volume", "USD", 1_000_000),
+    ("items_sold", "Number of items sold", "items", 1_000_000),
+    ("tpv", "Total payment volume", "USD", 1_000_000),
+    ("acquiring_tpv", "Acquiring total payment volume", "USD", 1_000_000),
+    ("payment_transactions", "Total payment transactions", "transactions", 1_000_000),
+    ("nimal", "NIMAL", "percent", 1),
+)
+SNAPSHOT_METRICS = ("fintech_mau",)
+
+# --- fixed values: definition versions of operating metrics ---------------------
+# (metrics, version, period ends before, period ends on or after, period starts before, marker text); first match wins
+RECAST_MARKER = "have been recast to exclude peer-to-peer transactions"
+DEFINITION_RULES = (
+    (("unique_active_buyers", "gmv", "items_sold"), "v1_marketplace_only", "2025-06-30", None, None, None),
+    (("unique_active_buyers", "gmv", "items_sold"), "v2_food_delivery_transition_2025", None, "2025-06-30", "2025-04-01", None),
+    (("unique_active_buyers", "gmv", "items_sold"), "v2_food_delivery", None, None, None, None),
+    (("fintech_mau",), "v2_active_policy_and_current_loan", None, "2026-03-31", None, None),
+    (("fintech_mau",), "v1_transaction_action", None, None, None, None),
+    (("tpv", "payment_transactions"), "v2_excludes_p2p", None, "2024-01-01", None, None),
+    (("tpv", "payment_transactions"), "v2_recast_excludes_p2p", None, "2023-01-01", None, RECAST_MARKER),
+    (("tpv", "payment_transactions"), "v1_includes_p2p", None, None, None, None),
+)
+DEFAULT_DEFINITION = "v1"
+COMPARISON_FAMILIES = {
+    metric: {"v2_excludes_p2p": "excludes_p2p", "v2_recast_excludes_p2p": "excludes_p2p"} for metric in ("tpv", "payment_transactions")
+}
+
+# --- fixed values: qualified values in release text -----------------------------
+# metric -> (patterns as (regex, value group, approximation group or 0), factor, unit, scope, definition)
+QUALIFIED = {
+    "aum": ((
+        (r"(?i)AUM has grown from \$[\d.]+bn to (almost\s+)?\$([\d.]+)bn", 2, 1),
+        (r"(?i)AUM.{0,260}?(?:reached|(?:grew|doubling)[^$]{0,120}?to)\s+(almost\s+)?\$([\d.]+)bn", 2, 1),
+    ), 1_000_000_000, "USD", "total", "v1"),
+    "credit_portfolio": ((
+        (r"(?i)(?:total\s+)?credit portfolio.{0,320}?\$([\d.]+)bn", 1, 0),
+    ), 1_000_000_000, "USD", "total_portfolio", "v1_total_credit_portfolio"),
+    "npl_15_90_total": ((
+        (r"(?i)15-90 day NPL of (\d+(?:\.\d+)?)% for the portfolio as a whole", 1, 0),
+        (r"(?i)15-90 day NPL was (\d+(?:\.\d+)?)% for the portfolio as a whole", 1, 0),
+        (r"(?i)Our 15-90 day NPL ratio improved to (\d+(?:\.\d+)?)%", 1, 0),
+        (r"(?i)The 15-90 day NPL remained stable at (\d+(?:\.\d+)?)%", 1, 0),
+        (r"(?i)with the 15-90 day NPL broadly stable QoQ at (\d+(?:\.\d+)?)%", 1, 0),
+        (r"(?i)with the 15-90 day NPL of (\d+(?:\.\d+)?)% broadly stable YoY", 1, 0),
+    ), 1, "percent", "total_portfolio", "v1_15_90_total_portfolio"),
+}
+LOWER_BOUND_WORDS = ("surpassed", "exceeds", "more than")
+LOWER_BOUND_METRICS = ("credit_portfolio",)
+LOWER_BOUND_REACH = 70
+EXCERPT_BEFORE = 250
+EXCERPT_AFTER = 350
+
+# --- fixed values: narrative topics (a topic named after a product is left to the caller) ---
+TOPICS = {
+    "ecosystemic_users": ("Ecosystem", r"(?i)\becosystemic users?\b"),
+    "advertising": ("Ads", r"(?i)\badvertising\b|\bAds revenue\b|\bdigital advertising market\b"),
+    "fulfillment": ("Logistics", r"(?i)\bfulfillment\b"),
+}
+SIGNAL = r"(?i)\d|growth|grow|grew|growing|volume|share|revenue|subscriber|users?|GMV|TPV|shipping|delivery|penetration|cost|market"
+STATEMENTS_PER_TOPIC = 3
+
+# --- fixed values: claim kinds; exactly one family must match --------------------
+CLAIM_KINDS = {
+    "growth": r"(?i)\b(?:grew|growth|growing|grow|increased|increase|expanded|expansion)\b"
+              r"|\bup\s+(?:by\s+\d+(?:\.\d+)?(?:\s*(?:%|ppts?))?|\d+(?:\.\d+)?\s*(?:%|ppts?))(?!\w)",
+    "share": r"(?i)\b(?:share|penetration|ppts)\b|%\s+of\b",
+    "engagement": r"(?i)\b(?:ecosystemic users?|active behavior|daily active|bought|purchased|categories bought|used together|use together|"
+                  r"frequency of use|cross[- ]use)\b",
+    "operational": r"(?i)\b(?:fulfillment|delivery|shipping|shipments?|cost|operational volume)\b",
+}
+
+# --- fixed values: wording that derived claims may not use -----------------------
+CAUSAL_WORDS = (
+    "caused", "causes", "because of", "led to", "drive", "drives", "explain", "explains", "prove", "proves", "recommend", "recommendation",
+    "should build", "must build", "feature", "solution", "causar", "causa", "causou", "por causa de", "levou a", "explica", "prova", "recomenda",
+    "recomendação", "deveria construir", "deve construir", "funcionalidade", "solução", "oportunidade", "ameaça",
+)
+PRODUCT_WORDS = (
+    "caused", "causes", "because of", "led to", "drive", "drives", "prove", "proves", "guarantee", "guarantees", "will increase", "will improve",
+    "recommend", "recommendation", "should build", "must build", "feature", "features", "solution", "roadmap", "prioritise", "prioritize", "launch", "cashback",
+    "reward", "rewards", "loyalty", "loyalty program", "user want", "user need", "users want", "users need", "customer want", "customer need",
+    "customers want", "customers need", "causou", "causa", "por causa de", "levou a", "explica", "prova", "garante", "vai aumentar", "vai melhorar",
+    "recomenda", "recomendação", "deveria construir", "deve construir", "funcionalidade", "solução", "roteiro", "priorize", "lançar", "recompensa",
+    "programa de fidelidade", "usuário querem", "usuário precisam", "usuários querem", "usuários precisam", "cliente querem", "cliente precisam",
+    "clientes querem", "clientes precisam",
+)
+UNCERTAIN_WORDS = ("may", "might", "could", "require validation", "requires validation", "worth investigating")
+QUESTION_STARTS = ("how", "what", "which", "where", "when", "to what extent")

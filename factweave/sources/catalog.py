@@ -22,21 +22,22 @@ class Dataset:
 
 
 # --- fixed values: layers and domains of the stored datasets -----------------
+OPERATIONAL_DOMAINS = ("Commerce", "Fintech", "Ecosystem", "Ads", "Logistics")
 DATASETS = {d.dataset_id: d for d in (
-    Dataset("financial_facts", "Silver", ("Financial",), "silver/financial_facts.parquet"),
-    Dataset("operational_kpis", "Silver", ("Commerce", "Fintech"), "silver/operational_kpis.parquet"),
-    Dataset("extended_operational_kpis", "Silver", ("Fintech",), "silver/extended_operational_kpis.parquet"),
-    Dataset("evidence_facts", "Silver", ("Ecosystem", "Ads", "Logistics"), "silver/evidence_facts.parquet"),
-    Dataset("macro_indicators", "Silver", ("Macro",), "silver/macro_indicators.parquet"),
-    Dataset("market_prices", "Silver", ("Market",), "silver/market_prices.parquet"),
-    Dataset("shares_outstanding", "Silver", ("Market",), "silver/shares_outstanding.parquet"),
-    Dataset("market_cap", "Gold", ("Market",), "gold/market_cap.parquet"),
-    Dataset("macro_analytics", "Gold", ("Macro",), "gold/macro_analytics.parquet"),
-    Dataset("macro_evidence", "Gold", ("Macro",), "gold/macro_evidence.parquet"),
-    Dataset("evidence_registry", "Gold", (), "gold/evidence_registry.parquet"),
-    Dataset("pestel", "Gold", (), "gold/pestel.parquet"),
-    Dataset("swot", "Gold", (), "gold/swot.parquet"),
-    Dataset("product_evidence", "Gold", ("Ecosystem",), "gold/product_evidence.parquet"),
+    Dataset("market_capitalization", "Gold", ("Market",), "gold/market_capitalization"),
+    Dataset("financial_facts", "Silver", ("Financial",), "silver/financial_facts"),
+    Dataset("market_prices", "Silver", ("Market",), "silver/market_prices"),
+    Dataset("operational_kpis", "Silver", OPERATIONAL_DOMAINS, "silver/operational_kpis"),
+    Dataset("extended_operational_kpis", "Silver", OPERATIONAL_DOMAINS, "silver/extended_operational_kpis"),
+    Dataset("extended_operational_evidence", "Silver", OPERATIONAL_DOMAINS, "silver/extended_operational_evidence"),
+    Dataset("macro_indicators", "Silver", ("Macro",), "silver/macro_indicators"),
+    Dataset("macro_analytics", "Gold", ("Macro",), "gold/macro_analytics"),
+    Dataset("macro_evidence", "Gold", ("Macro",), "gold/macro_evidence"),
+    Dataset("evidence_registry", "Gold", (), "gold/evidence_registry"),
+    Dataset("interpretations", "Gold", (), "gold/interpretations"),
+    Dataset("pestel", "Gold", (), "gold/pestel"),
+    Dataset("swot", "Gold", (), "gold/swot"),
+    Dataset("product_evidence", "Gold", ("Ecosystem",), "gold/product_evidence"),
 )}
 
 
