@@ -10,8 +10,15 @@ NULL_TOKEN = "-;"
 
 
 def number_token(c: Column) -> Column:
-    """Text of a double in which +0 and -0 agree."""
-    return F.format_string("%.17e", c.cast("double") + F.lit(0.0))
+    """Text of a double, equal exactly for equal numbers; +0 and -0 agree.
+
+    Numbers with up to six decimals use plain decimal text, all others the full
+    scientific form.
+    """
+    x = c.cast("double")
+    plain = x.try_cast("decimal(38,6)")
+    return F.when(plain.cast("double") == x, F.concat(F.lit("d"), plain.cast("string"))).otherwise(
+        F.concat(F.lit("e"), F.format_string("%.17e", x)))
 
 
 def field_token(c: Column) -> Column:

@@ -23,23 +23,26 @@ YOY_FORMULA = "(current_value / previous_year_value - 1) * 100"
 METHODOLOGY_VERSION = "1"
 
 
-def with_prior(df: DataFrame, keys: Sequence[str], step: Column, back: int, columns: Sequence[str], unique: bool) -> DataFrame:
+def with_prior(df: DataFrame, keys: Sequence[str], step: Column, back: int, columns: Sequence[str], unique: bool,
+               keep_unpaired: bool = False) -> DataFrame:
     """Attach `prior_<column>` from exactly `back` steps earlier; rows without one leave.
 
-    Keys occupied twice at either step are ambiguous and leave as well.
+    Keys occupied twice at either step are ambiguous and leave as well. With
+    `keep_unpaired` all rows stay and `paired` tells them apart.
     """
     rows = df.withColumn("_step", step)
     if not unique:
         rows = split_unique(rows, [*keys, "_step"])
     order = Window.partitionBy(*keys).orderBy("_step")
     here, before = order.rangeBetween(0, 0), order.rangeBetween(-back, -back)
-    return (
+    walked = (
         rows.withColumn("_here", F.count(F.lit(1)).over(here))
         .withColumn("_before", F.count(F.lit(1)).over(before))
         .withColumns({f"prior_{c}": F.first(c).over(before) for c in columns})
-        .filter("_here = 1 AND _before = 1")
-        .drop("_step", "_here", "_before")
     )
+    if keep_unpaired:
+        return walked.withColumn("paired", F.expr("_here = 1 AND _before = 1")).drop("_step", "_here", "_before")
+    return walked.filter("_here = 1 AND _before = 1").drop("_step", "_here", "_before")
 
 
 def comparison_family(metric: Column, version: Column, families: Mapping[str, Mapping[str, str]]) -> Column:
@@ -76,7 +79,7 @@ def ambiguous_periods(facts: DataFrame, keys: Sequence[str] = ("entity",), famil
 
 def paired_years(facts: DataFrame, keys: Sequence[str] = ("entity",), metrics: Sequence[str] | None = None,
                  families: Mapping[str, Mapping[str, str]] | None = None, period_types: Sequence[str] | None = None,
-                 carry: Sequence[str] = (), unique: bool = False) -> DataFrame:
+                 carry: Sequence[str] = (), unique: bool = False, keep_unpaired: bool = False) -> DataFrame:
     """Every period with the same-shaped period of the year before.
 
     The year is that of `period_end`. With `families`, definition versions of
@@ -88,7 +91,7 @@ def paired_years(facts: DataFrame, keys: Sequence[str] = ("entity",), metrics: S
         facts = facts.filter(F.col("period_type").isin(*period_types))
     shaped, partition = _shape(facts, keys, families)
     columns = ["value", *carry] + (["definition_version"] if families is not None else [])
-    return with_prior(shaped, partition, F.year("period_end"), 1, columns, unique).drop("_signature", "_family")
+    return with_prior(shaped, partition, F.year("period_end"), 1, columns, unique, keep_unpaired).drop("_signature", "_family")
 
 
 def yoy_growth(facts: DataFrame, keys: Sequence[str] = ("entity",), metrics: Sequence[str] | None = None,
@@ -177,16 +180,18 @@ def zero_base_months(series: DataFrame, keys: Sequence[str] = ("entity", "metric
     return paired.filter(F.col("prior_value") == 0).select(*keys, "reference_date", "prior_reference_date")
 
 
-def previous_observation_change(series: DataFrame, keys: Sequence[str] = ("entity", "metric_id")) -> DataFrame:
+def previous_observation_change(series: DataFrame, keys: Sequence[str] = ("entity", "metric_id"), carry: Sequence[str] = ()) -> DataFrame:
     """Difference to the previous published observation, whatever the gap.
 
-    The one operator where `lag` is right. A series has one row per date.
+    The one operator where `lag` is right. A series has one row per date. Columns in
+    `carry` come along with their previous value.
     """
     order = Window.partitionBy(*keys).orderBy("reference_date")
     return (
-        series.select(*keys, "reference_date", "value",
+        series.select(*keys, "reference_date", "value", *carry,
                       F.lag("value").over(order).alias("previous_value"),
-                      F.lag("reference_date").over(order).alias("previous_reference_date"))
+                      F.lag("reference_date").over(order).alias("previous_reference_date"),
+                      *[F.lag(c).over(order).alias(f"previous_{c}") for c in carry])
         .filter(F.col("previous_reference_date").isNotNull())
         .withColumn("change", F.col("value") - F.col("previous_value"))
         .drop("value")

@@ -114,3 +114,122 @@ PRODUCT_WORDS = (
 )
 UNCERTAIN_WORDS = ("may", "might", "could", "require validation", "requires validation", "worth investigating")
 QUESTION_STARTS = ("how", "what", "which", "where", "when", "to what extent")
+
+# --- fixed values: evidence vocabulary ------------------------------------------
+EVIDENCE_TYPES = ("FACT", "OBSERVATION", "INTERPRETATION")
+EVIDENCE_PRIORITY = {"FACT": 1, "OBSERVATION": 2, "INTERPRETATION": 3}
+EVIDENCE_SCOPE = {"gmv": ("Commerce", "USD"), "unique_active_buyers": ("Commerce", "users"), "fintech_mau": ("Fintech", "users"), "tpv": ("Fintech", "USD")}
+NO_BASELINE = "no comparable positive prior-year baseline or eligible period"
+OUT_OF_SCOPE = "outside metric scope"
+
+# --- fixed values: single-source interpretations, metric -> (predicate, text, kind) ---
+INTERPRETATIONS = {
+    "net_revenues_financial_income_yoy_growth": ("positive_value", "Revenue increased versus the comparable period, indicating expansion in reported revenue.", "reported_revenue_expansion"),
+    "revenue_yoy_growth": ("positive_value", "Revenue increased versus the comparable period, indicating expansion in reported revenue.", "reported_revenue_expansion"),
+    "gmv_yoy_growth": ("positive_value", "GMV increased versus the comparable period, indicating expansion in reported commerce volume.", "reported_gmv_expansion"),
+    "fintech_mau_yoy_growth": ("positive_value", "Fintech MAU increased versus the comparable period, indicating a larger reported active fintech user base.", "reported_fintech_user_base_expansion"),
+    "pix_transactions_count_yoy_growth": ("growth_claim", "Pix transaction volume increased versus the same month of the prior year, indicating greater reported Pix usage.", "reported_pix_usage_increase"),
+    "selic_target_change_pp": ("decline_claim", "The Selic target declined versus the previous observation.", "reported_selic_decline"),
+}
+GROWTH_CLAIMS = ("yoy_growth", "increase")
+DECLINE_CLAIMS = ("decrease",)
+JOINT_METRICS = ("fintech_mau_yoy_growth", "tpv_yoy_growth")
+JOINT_TEXT = "Fintech active users and TPV both increased in the comparable periods represented by the selected evidence."
+
+# --- fixed values: six-dimension classification ----------------------------------
+ECONOMIC_METRICS = (
+    "selic_target_annual", "selic_effective_annual_252", "selic_target_change_pp", "ipca_monthly_change", "ipca_12m_change", "ipca_12m_change_pp",
+    "usd_brl_sell_rate", "usd_brl_month_end", "usd_brl_monthly_change_pct", "household_free_credit_balance", "household_free_credit_balance_yoy_growth",
+    "household_free_credit_npl_90d_rate", "household_free_credit_npl_90d_yoy_change_pp", "ibc_br_activity_sa_index", "ibc_br_activity_mom_change_pct",
+    "unemployment_rate_rolling_3m", "unemployment_rate_change_pp", "retail_sales_volume_mom_sa", "pix_transactions_count_monthly",
+    "pix_transactions_value_monthly", "pix_transactions_count_yoy_growth", "pix_transactions_value_yoy_growth",
+)
+SOCIAL_METRICS = {"fintech_mau": "Fintech", "fintech_mau_yoy_growth": "Fintech", "unique_active_buyers": "Commerce", "unique_active_buyers_yoy_growth": "Commerce"}
+SOCIAL_CLAIMS = ("level", "growth", "increase", "yoy_growth", "yoy_decline", "other")
+ADOPTION_METRICS = ("pix_transactions_count_monthly", "pix_transactions_count_yoy_growth")
+ADOPTION_CLAIMS = ("technology_adoption", "digital_payment_adoption", "digital_infrastructure")
+STRUCTURED_CLAIMS = {
+    "POLITICAL": ("public_policy", "government_decision"),
+    "LEGAL": ("regulatory_requirement", "compliance_obligation"),
+    "ENVIRONMENTAL": ("environmental_measurement", "environmental_impact"),
+}
+RATIONALES = {
+    "ECONOMIC": "Classified as ECONOMIC because the source metric is an official macroeconomic or payment activity indicator.",
+    "SOCIAL": "Classified as SOCIAL because the source metric reports an explicitly identified user base or buyer activity.",
+    "TECHNOLOGICAL": "Classified as TECHNOLOGICAL because the source evidence explicitly tags technology or digital infrastructure adoption.",
+    "POLITICAL": "Classified as POLITICAL because the source evidence explicitly identifies a public policy or government decision.",
+    "LEGAL": "Classified as LEGAL because the source evidence explicitly identifies a regulatory or compliance obligation.",
+    "ENVIRONMENTAL": "Classified as ENVIRONMENTAL because the source evidence explicitly identifies an environmental measure.",
+}
+
+# --- fixed values: four-quadrant classification ----------------------------------
+INTERNAL_DOMAINS = ("Financial", "Commerce", "Fintech", "Ecosystem", "Ads", "Logistics")
+INTERNAL_GROWTH = {
+    "revenue_yoy_growth": ("Financial", "reported revenue"),
+    "net_revenues_financial_income_yoy_growth": ("Financial", "reported revenue and financial income"),
+    "gmv_yoy_growth": ("Commerce", "reported GMV"),
+    "unique_active_buyers_yoy_growth": ("Commerce", "reported active buyers"),
+    "fintech_mau_yoy_growth": ("Fintech", "reported active fintech users"),
+    "tpv_yoy_growth": ("Fintech", "reported TPV"),
+}
+STRENGTH_CLAIMS = ("growth", "increase", "yoy_growth")
+WEAKNESS_CLAIMS = ("decrease", "yoy_decline")
+# (metric, dimension, category, claim kinds, context note); the value must be positive
+EXTERNAL_RULES = (
+    ("pix_transactions_count_yoy_growth", "TECHNOLOGICAL", "OPPORTUNITY",
+     ("growth", "increase", "yoy_growth", "technology_adoption", "digital_payment_adoption"), "national_digital_payment_context;not_company_performance"),
+    ("selic_target_change_pp", "ECONOMIC", "THREAT", ("increase", "rising"), "external_financial_environment;not_company_performance"),
+)
+# Definitions of these two delinquency metrics may never be combined.
+INCOMPATIBLE_METRICS = ("household_free_credit_npl_90d_rate", "npl_15_90_total")
+DEFINITION_TOKEN = r"(?i)\b(definition_version|definition|scope|cohort|population)\s*=\s*([^;|,]+)"
+
+# --- fixed values: cross-domain hypotheses ---------------------------------------
+COMMERCE_METRICS = ("unique_active_buyers_yoy_growth", "gmv_yoy_growth")
+FINTECH_METRICS = ("fintech_mau_yoy_growth", "tpv_yoy_growth")
+HYPOTHESIS = (
+    "Reported aggregate Commerce and Fintech activity may correspond to distinct cross-domain ecosystem engagement patterns; "
+    "the available aggregates do not establish user-level overlap, so the relationship requires user-level validation."
+)
+QUESTION = (
+    "How do engagement patterns differ among users active in Commerce, in Fintech, and in both domains, if user-level overlap is present?"
+)
+
+# --- fixed values: claim texts of series observations -----------------------------
+FACT_LABELS = {
+    "selic_target_annual": "Meta Selic",
+    "selic_effective_annual_252": "Selic efetiva anualizada em base 252",
+    "ipca_monthly_change": "IPCA mensal",
+    "ipca_12m_change": "IPCA acumulado em 12 meses",
+    "usd_brl_sell_rate": "Cotação diária de venda USD/BRL",
+    "household_free_credit_balance": "Saldo de crédito livre para pessoas físicas",
+    "household_free_credit_npl_90d_rate": "Inadimplência BCB de crédito livre PF acima de 90 dias",
+    "ibc_br_activity_sa_index": "Índice de atividade econômica IBC-Br com ajuste sazonal",
+    "unemployment_rate_rolling_3m": "Taxa de desocupação do trimestre móvel de três meses",
+    "retail_sales_volume_mom_sa": "Variação mensal dessazonalizada do volume de vendas no varejo",
+    "pix_transactions_count_monthly": "Quantidade mensal de transações Pix",
+    "pix_transactions_value_monthly": "Valor mensal de transações Pix",
+}
+UNIT_SUFFIXES = {
+    "percent": "%", "percent_per_year": "% ao ano", "million_brl": " milhões de BRL", "brl_per_usd": " BRL por USD",
+    "transactions": " transações", "brl": " BRL",
+}
+# metric -> (vocabulary, text with {verb}, {number}, {month})
+CHANGE_TEXTS = {
+    "selic_target_change_pp": ("change", "A Meta Selic {verb} {number} p.p. em relação à observação anterior em {month}."),
+    "ipca_12m_change_pp": ("inflation", "O IPCA acumulado em 12 meses {verb} {number} p.p. ante o mês anterior em {month}."),
+    "usd_brl_monthly_change_pct": ("change", "A cotação USD/BRL {verb} {number}% ante o mês anterior em {month}."),
+    "household_free_credit_balance_yoy_growth": ("growth", "O saldo de crédito livre PF {verb} {number}% ante o mesmo mês do ano anterior em {month}."),
+    "household_free_credit_npl_90d_yoy_change_pp": ("change", "A inadimplência BCB de crédito livre PF acima de 90 dias {verb} {number} p.p. ante o mesmo mês do ano anterior em {month}."),
+    "ibc_br_activity_mom_change_pct": ("change", "A atividade econômica medida pelo IBC-Br com ajuste sazonal {verb} {number}% ante o mês anterior em {month}."),
+    "unemployment_rate_change_pp": ("change", "A taxa de desocupação do trimestre móvel de três meses {verb} {number} p.p. ante a publicação anterior em {month}."),
+    "pix_transactions_count_yoy_growth": ("growth", "A quantidade mensal de transações Pix {verb} {number}% ante o mesmo mês do ano anterior em {month}."),
+    "pix_transactions_value_yoy_growth": ("growth", "O valor mensal de transações Pix {verb} {number}% ante o mesmo mês do ano anterior em {month}."),
+}
+# vocabulary -> ((kind, verb) for positive, (kind, verb) for negative values)
+CHANGE_WORDS = {
+    "change": (("increase", "aumentou"), ("decrease", "diminuiu")),
+    "inflation": (("acceleration", "acelerou"), ("deceleration", "desacelerou")),
+    "growth": (("yoy_growth", "aumentou"), ("yoy_decline", "diminuiu")),
+}
+UNCHANGED = ("unchanged", "permaneceu sem variação")
