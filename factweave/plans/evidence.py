@@ -8,6 +8,7 @@ from factweave.functions.identity import content_id
 from factweave.operators import evidence as E, periods as P, rules as RULES
 from factweave.plans import inputs as I
 from factweave.plans.registry import query, shared_sql
+from factweave.session import stage
 from factweave.sources import scans
 
 NAMES = {"order_value": "gmv", "net_revenue": "tpv", "order_count": "fintech_mau", "line_quantity": "items_sold"}
@@ -42,6 +43,11 @@ def evidence(t):
     return E.registry([company(t).registry, rate_observations(t), rate_changes(t).registry])
 
 
+def stored_evidence(t):
+    """The registry as the stored table that interpretation and classification read."""
+    return stage(evidence(t), "evidence")
+
+
 def flat(df):
     """Arrays leave the query as text."""
     arrays = [c for c, kind in df.dtypes if kind.startswith("array")]
@@ -207,9 +213,10 @@ SELECT child_id AS evidence_id, growth + 1.0 AS value, growth AS expected_value,
 """, uses=["growth_pairs"])
 def _(t):
     derived = company(t)
+    registry = stage(derived.registry, "growth")
     # Large growth values are altered after the fact and must be found.
     altered = F.when(F.col("metric_id").endswith("_yoy_growth") & (F.col("value") > 50), F.col("value") + 1.0).otherwise(F.col("value"))
-    return flat(E.recompute_lineage(derived.registry.withColumn("value", altered), derived.edges))
+    return flat(E.recompute_lineage(registry.withColumn("value", altered), derived.edges))
 
 
 @query("lineage_closure", """
@@ -218,7 +225,7 @@ SELECT s.evidence_id, string_agg(n.evidence_id, ',' ORDER BY n.evidence_id) AS l
 FROM (SELECT evidence_id, unnest(source_evidence_ids) AS id FROM single_interpretations) s JOIN evidence n ON n.evidence_id = s.id GROUP BY s.evidence_id
 """, uses=["single_interpretations"])
 def _(t):
-    rows = evidence(t)
+    rows = stored_evidence(t)
     return flat(E.lineage_closure(E.interpretations(rows), rows, "evidence_id").select("evidence_id", "lineage_ids", "lineage_types", "lineage_metrics"))
 
 
@@ -227,7 +234,7 @@ SELECT s.evidence_id, s.id AS source_evidence_id, 'UNKNOWN_ID' AS problem FROM (
 WHERE NOT EXISTS (SELECT 1 FROM evidence n WHERE n.evidence_id = s.id AND n.business_domain = 'Commerce')
 """, uses=["single_interpretations"])
 def _(t):
-    rows = evidence(t)
+    rows = stored_evidence(t)
     return E.lineage_orphans(E.interpretations(rows), rows.filter("business_domain = 'Commerce'"), "evidence_id")
 
 
@@ -235,7 +242,7 @@ def _(t):
 SELECT n.evidence_id, n.metric_id, count(*) AS "references" FROM (SELECT unnest(source_evidence_ids) AS id FROM single_interpretations) s JOIN evidence n ON n.evidence_id = s.id GROUP BY ALL
 """, uses=["single_interpretations"])
 def _(t):
-    rows = evidence(t)
+    rows = stored_evidence(t)
     return E.supporting_evidence(E.interpretations(rows), rows).select("evidence_id", "metric_id", "references")
 
 
@@ -251,7 +258,7 @@ FROM evidence m JOIN evidence v ON v.entity = m.entity AND v.reference_date = m.
 WHERE m.metric_id = 'fintech_mau_yoy_growth' AND v.metric_id = 'tpv_yoy_growth' AND m.value > 0 AND v.value > 0
 """, uses=["single_interpretations"])
 def _(t):
-    rows = evidence(t)
+    rows = stored_evidence(t)
     return flat(E.interpretations(rows).unionByName(E.joint_interpretations(rows)).select(*[c.strip() for c in _COLUMNS.split(",")]))
 
 
@@ -260,7 +267,7 @@ SELECT pestel_id, evidence_id, pestel_dimension, business_domain, entity, metric
        lineage_ids AS source_evidence_ids, lineage_types AS source_evidence_types, lineage_metrics AS source_metric_ids, lineage_sources AS source, FALSE AS is_interpretation, definition_context, 'OK' AS status FROM dimensions
 """, uses=["dimensions"])
 def _(t):
-    return flat(E.classify_dimensions(evidence(t)))
+    return flat(E.classify_dimensions(stored_evidence(t)))
 
 
 @query("classify_quadrants", """
@@ -268,7 +275,7 @@ SELECT swot_id, evidence_id, swot_category, scope, business_domain, entity, metr
        lineage_metrics AS source_metric_ids, source_pestel_ids, definition_context, 'OK' AS status FROM quadrants
 """, uses=["quadrants"])
 def _(t):
-    rows = evidence(t)
+    rows = stored_evidence(t)
     return flat(E.classify_quadrants(rows, E.classify_dimensions(rows)))
 
 
@@ -295,5 +302,5 @@ SELECT hid AS product_evidence_id, 'HYPOTHESIS' AS product_evidence_type, '{RULE
 UNION ALL SELECT sha256('question|' || {tok(f"'{RULES.QUESTION}'", 'entity', 'reference_date', 'source_evidence_ids', 'hid')}), 'QUESTION_FOR_PRODUCT_DISCOVERY', '{RULES.QUESTION}', hid, * EXCLUDE (hid), 'OK' FROM h
 """, uses=["single_interpretations"])
 def _(t):
-    rows = evidence(t)
+    rows = stored_evidence(t)
     return flat(E.cross_domain_pairs(rows.unionByName(E.interpretations(rows))))

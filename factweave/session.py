@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,9 @@ RECOMMENDED = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.parquet.aggregatePushdown": "true",
+    # Plans are built from many column expressions; capturing a call site for each
+    # one costs more than planning them.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
@@ -26,22 +30,29 @@ def recommended_builder(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
-def shared_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """The cluster's shared folder; `fallback` is used only where none is configured."""
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder.
+
+    Only a local session may do without the setting; it gets a temporary folder.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if fallback is None:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback folder was given")
-    return fallback
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder all executors share")
+    folder = tempfile.mkdtemp(prefix="spark-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
-def stage(df: DataFrame, name: str, fallback: str | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once to shared storage and read it back.
 
-    Cuts lineage in a way that survives the loss of executors, unlike a cache.
+    For results that several later steps read: they are computed once, the steps keep
+    column pruning and filter pushdown, and nothing is recomputed when an executor is
+    lost, unlike a cache. The folder is the cluster's to expire.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark, fallback).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
