@@ -78,8 +78,12 @@ def significant_text(c: Column) -> Column:
     )
     mantissa = F.regexp_replace(F.regexp_replace(F.substring_index(sci, "e", 1), r"0+$", ""), r"\.$", "")
     exponent = F.concat(F.lit("e"), F.substring_index(sci, "e", -1))
+    # Numbers below 1e9 with at most six decimals have at most 15 digits already.
+    short = x.try_cast("decimal(38,6)")
+    short_text = F.regexp_replace(F.regexp_replace(short.cast("string"), r"0+$", ""), r"\.$", "")
     return (
         F.when(x == 0, F.lit("0"))
+        .when((magnitude >= 1e-4) & (magnitude < 1e9) & (short.cast("double") == x), short_text)
         .when((magnitude >= 1e-4) & (magnitude < 1e15), plain)
         .otherwise(F.concat(mantissa, exponent))
     )

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 # --- fixed values: entities decoded without Python -----------------------------
@@ -32,21 +32,28 @@ def collapse_blanks(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, _BLANKS, " "), "^ | $", "")
 
 
-def html_text(content: Column) -> Column:
-    """Visible text of an HTML document, entities decoded, blanks collapsed.
+def with_html_text(df: DataFrame, content: str, output: str = "text") -> DataFrame:
+    """Add the visible text of an HTML document, entities decoded, blanks collapsed.
 
     Markup is removed by regular expressions in the JVM and the common entities by
     plain replacement. Only text that holds other character references reaches the
-    vectorised decoder; all other rows pass it a null.
+    vectorised decoder; all other rows pass it a null. The stripped text is a column of
+    its own so that it is computed once.
     """
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(content, _COMMENT, " "), _SILENT, " "), _TAG, " ")
+    html_column = F.col(content)
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(html_column, _COMMENT, " "), _SILENT, " "), _TAG, " ")
+    stripped = df.withColumn("_bare", bare)
+    text = F.col("_bare")
+    escaped = F.contains(text, F.lit("&"))
     known = "|".join(["&amp;", *COMMON_ENTITIES])
-    rare = F.regexp_replace(bare, known, " ").rlike("&(#|[a-zA-Z])")
-    decoded = bare
+    rare = escaped & F.regexp_replace(text, known, " ").rlike("&(#|[a-zA-Z])")
+    unescaped = stripped.withColumn("_rare", _unescape(F.when(rare, text)))
+    decoded = text
     for entity, character in COMMON_ENTITIES.items():
         decoded = F.replace(decoded, F.lit(entity), F.lit(character))
     decoded = F.replace(decoded, F.lit("&amp;"), F.lit("&"))
-    return collapse_blanks(F.coalesce(_unescape(F.when(rare, bare)), decoded))
+    final = F.when(~escaped, text).when(F.col("_rare").isNotNull(), F.col("_rare")).otherwise(decoded)
+    return unescaped.withColumn("_final", final).withColumn(output, collapse_blanks(F.col("_final"))).drop("_bare", "_rare", "_final")
 
 
 def sentences(text: Column) -> Column:

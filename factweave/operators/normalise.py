@@ -60,8 +60,10 @@ def flatten_payloads(payloads: DataFrame, json: str, concepts: Mapping[str, tupl
     `concepts` maps metric -> (taxonomy, concept); unmapped concepts are dropped
     before their observations are unnested. Only accepted forms survive.
     """
+    # The outer explode keeps the parse from being repeated as a filter below it.
     parsed = payloads.select(*keep, F.from_json(json, PAYLOAD).alias("p")).select(
-        *keep, F.col("p.cik").alias("cik"), F.trim("p.entityName").alias("entity"), F.explode("p.facts").alias("taxonomy", "_c"))
+        *keep, F.col("p.cik").alias("cik"), F.trim("p.entityName").alias("entity"), F.explode_outer("p.facts").alias("taxonomy", "_c")
+    ).filter(F.col("_c").isNotNull())
     named = parsed.select(*keep, "cik", "entity", "taxonomy", F.explode("_c").alias("concept", "_u"))
     if concepts is not None:
         metric = F.create_map(*[x for m, (tx, c) in concepts.items() for x in (F.lit(f"{tx}:{c}"), F.lit(m))])
@@ -218,8 +220,9 @@ def header_described(rows: DataFrame, table: str, fields: str, classification: s
     """
     f = F.col(fields)
     holds = lambda m, term: F.exists(F.map_values(m), lambda v: F.contains(normal_label(v), F.collate(F.lit(term), "UNICODE_CI_AI")))
+    # Only short values can be the value label; all other tests run for such rows alone.
     is_header = (
-        F.exists(F.map_values(f), lambda v: normal_label(v) == HEADER_LABELS["value"])
+        F.exists(F.map_values(f), lambda v: (F.length(F.trim(v)) <= 2 * len(HEADER_LABELS["value"])) & (normal_label(v) == HEADER_LABELS["value"]))
         & holds(f, "nivel territorial") & holds(f, VARIABLE_TERM)
         & reduce(lambda a, b: a | b, [holds(f, x) for x in PERIOD_TERMS])
     )

@@ -54,6 +54,8 @@ COMPARISON_FAMILIES = {
 }
 
 # --- fixed values: qualified values in release text -----------------------------
+# Text without its anchor (any case) cannot match any pattern of the metric.
+QUALIFIED_ANCHORS = {"aum": "aum", "credit_portfolio": "credit portfolio", "npl_15_90_total": "15-90 day npl"}
 # metric -> (patterns as (regex, value group, approximation group or 0), factor, unit, scope, definition)
 QUALIFIED = {
     "aum": ((
