@@ -312,3 +312,10 @@ def aligned_correlation(series: DataFrame, left: str, right: str, period: Column
         *keys, "status", "n_observations", "start_date", "end_date",
         F.when(F.col("status") == "OK", F.try_divide(F.col("_cov"), F.col("_sa") * F.col("_sb"))).alias("correlation"),
     )
+
+
+def dictionary_violations(dictionary: DataFrame, identity: str, required: Sequence[str]) -> DataFrame:
+    """Metric dictionary rows with blank fields, and ids listed more than once."""
+    broken = failed_rules(dictionary, {f"{c}_present": ~blank(F.col(c)) for c in required}).select(identity, "violations")
+    twice = duplicate_keys(dictionary, [identity]).select(identity, F.array(F.lit("duplicate_id")).alias("violations"))
+    return broken.unionByName(twice)

@@ -398,3 +398,31 @@ def _(t):
         F.struct(F.lit("orders").alias("metric_id"), F.col("orders").cast("double").alias("value")))).alias("m")).select("entity", "reference_date", "m.*")
     result = Q.aligned_correlation(long, "value", "orders", month_index(F.col("reference_date")), ["entity"])
     return result.withColumn("correlation", F.round("correlation", 6))
+
+
+_SUITE_CHANGE = """
+SELECT c.entity, '{m}' AS metric_id, c.reference_date, {v} AS value, '{u}' AS unit, 'monthly' AS frequency, '{s}' AS source_metric_id, '{k}' AS analytics_kind,
+       p.reference_date AS previous_reference_date, p.value AS previous_value, CAST(NULL AS DATE) AS source_reference_date, '{f}' AS direction_flag_id,
+       CASE WHEN {v} = 0 THEN 'unchanged' WHEN {v} > 0 THEN '{up}' ELSE '{down}' END AS direction_value, '{t}' AS temporal_match
+FROM {x} c JOIN {x} p ON p.entity = c.entity AND year(p.reference_date) * 12 + month(p.reference_date) = year(c.reference_date) * 12 + month(c.reference_date) - {back}
+WHERE p.value <> 0
+"""
+
+
+@query("series_suite", """
+WITH ends AS (SELECT entity, last_day(reference_date) AS reference_date, arg_max(value, reference_date) AS value, max(reference_date) AS source_reference_date FROM customer_days GROUP BY 1, 2)
+""" + _SUITE_CHANGE.format(m="household_free_credit_balance_yoy_growth", s="household_free_credit_balance", u="percent", v="(c.value / p.value - 1.0) * 100.0", k="yoy_growth",
+                           f="credit_yoy_direction", up="expanding", down="contracting", t="same_month_previous_year", x="customer_months", back=12)
+       + "UNION ALL" + _SUITE_CHANGE.format(m="usd_brl_monthly_change_pct", s="usd_brl_sell_rate", u="percent", v="(c.value / p.value - 1.0) * 100.0", k="monthly_percentage_change",
+                                            f="usd_brl_direction", up="depreciating_brl", down="appreciating_brl", t="previous_calendar_month", x="ends", back=1)
+       + """UNION ALL SELECT entity, 'usd_brl_month_end', reference_date, value, 'brl_per_usd', 'monthly', 'usd_brl_sell_rate', 'month_end_snapshot', NULL, NULL, source_reference_date, NULL, NULL, NULL FROM ends
+UNION ALL SELECT entity, 'unemployment_rate_change_pp', reference_date, change, 'percentage_points', 'rolling_3m_monthly', 'unemployment_rate_rolling_3m', 'previous_observation_change', pd, pv, NULL, 'unemployment_direction',
+       CASE WHEN change = 0 THEN 'unchanged' WHEN change > 0 THEN 'rising' ELSE 'falling' END, 'previous_published_observation'
+FROM (SELECT entity, reference_date, value - lag(value) OVER w AS change, lag(value) OVER w AS pv, lag(reference_date) OVER w AS pd FROM customer_months WINDOW w AS (PARTITION BY entity ORDER BY reference_date)) WHERE pd IS NOT NULL
+""", uses=["customer_months", "customer_days"])
+def _(t):
+    from factweave.operators.series import series_suite
+
+    months = I.customer_months(t).select("entity", F.explode(F.array(F.lit("household_free_credit_balance"), F.lit("unemployment_rate_rolling_3m"))).alias("metric_id"), "reference_date", "value")
+    days = I.customer_days(t).select("entity", F.lit("usd_brl_sell_rate").alias("metric_id"), "reference_date", "value")
+    return series_suite(months.unionByName(days))
