@@ -415,7 +415,7 @@ def classify_quadrants(evidence: DataFrame, dimensions: DataFrame) -> DataFrame:
     internal = F.when(allowed & (value > 0) & kind.isin(*RULES.STRENGTH_CLAIMS), F.lit("STRENGTH")).when(
         allowed & (value < 0) & kind.isin(*RULES.WEAKNESS_CLAIMS), F.lit("WEAKNESS"))
     external, needed = None, None
-    for name, dim, category, kinds, _ in RULES.EXTERNAL_RULES:
+    for name, dim, category, kinds, *_ in RULES.EXTERNAL_RULES:
         hit = (F.col("business_domain") == "Macro") & (metric == name) & (value > 0) & F.col("claim_kind").isin(*kinds)
         external = F.when(hit, F.lit(category)) if external is None else external.when(hit, F.lit(category))
         needed = F.when(hit, F.lit(dim)) if needed is None else needed.when(hit, F.lit(dim))
@@ -431,15 +431,17 @@ def classify_quadrants(evidence: DataFrame, dimensions: DataFrame) -> DataFrame:
         F.when(F.col("missing") > 0, F.lit("UNKNOWN_SOURCE")).when(~F.col("same_period"), F.lit("INCOMPATIBLE_PERIOD"))
         .when(is_external & F.col("source_pestel_ids").isNull(), F.lit("NO_DIMENSION")).otherwise(F.lit("OK")))
     subject = literal_map({m: s for m, (_, s) in RULES.INTERNAL_GROWTH.items()})
-    assessment = F.when(is_external, F.concat(F.lit("The reported change is classified as "), F.lower("swot_category"), F.lit(" under the explicit external rule."))).otherwise(F.concat(
+    internal_text = F.concat(
         F.lit("The reported "), F.when(F.col("swot_category") == "STRENGTH", F.lit("expansion")).otherwise(F.lit("contraction")), F.lit(" in "),
-        F.try_element_at(subject, metric), F.lit(" is classified as an internal "), F.lower("swot_category"), F.lit(" under the explicit metric allowlist.")))
+        F.try_element_at(subject, metric), F.lit(" is classified as an internal "), F.lower("swot_category"), F.lit(" under the explicit metric allowlist."))
+    assessment = F.when(is_external, literal_map({r[0]: r[5] for r in RULES.EXTERNAL_RULES})[metric]).otherwise(internal_text)
+    rationale = F.when(is_external, literal_map({r[0]: r[6] for r in RULES.EXTERNAL_RULES})[metric]).otherwise(F.lit(RULES.INTERNAL_RATIONALE))
     note = literal_map({r[0]: ";" + r[4] for r in RULES.EXTERNAL_RULES})
     pestel = F.coalesce("source_pestel_ids", F.array().cast("array<string>"))
     return joined.withColumns({"_assessment": assessment, "_pestel": pestel}).select(
         content_id(["swot_category", "_assessment", "claim", F.array_join("lineage_ids", ","), F.array_join("_pestel", ","), "reference_date"], "quadrant").alias("swot_id"),
         "evidence_id", "swot_category", F.when(is_external, F.lit("EXTERNAL")).otherwise(F.lit("INTERNAL")).alias("scope"), "business_domain", "entity", "metric_id",
-        "reference_date", "claim", F.col("_assessment").alias("assessment"), F.col("lineage_ids").alias("source_evidence_ids"), F.col("lineage_types").alias("source_evidence_types"),
+        "reference_date", "claim", F.col("_assessment").alias("assessment"), rationale.alias("classification_rationale"), F.col("lineage_ids").alias("source_evidence_ids"), F.col("lineage_types").alias("source_evidence_types"),
         F.col("lineage_metrics").alias("source_metric_ids"), F.col("_pestel").alias("source_pestel_ids"),
         F.concat(F.array_join("lineage_contexts", ";"), F.when(is_external, note[metric]).otherwise(F.lit(""))).alias("definition_context"), status.alias("status"))
 

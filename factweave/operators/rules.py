@@ -176,11 +176,16 @@ INTERNAL_GROWTH = {
 }
 STRENGTH_CLAIMS = ("growth", "increase", "yoy_growth")
 WEAKNESS_CLAIMS = ("decrease", "yoy_decline")
-# (metric, dimension, category, claim kinds, context note); the value must be positive
+INTERNAL_RATIONALE = "Classified from an INTERNAL company metric in the explicit metric/domain/direction allowlist."
+# (metric, dimension, category, claim kinds, context note, assessment, rationale); the value must be positive
 EXTERNAL_RULES = (
     ("pix_transactions_count_yoy_growth", "TECHNOLOGICAL", "OPPORTUNITY",
-     ("growth", "increase", "yoy_growth", "technology_adoption", "digital_payment_adoption"), "national_digital_payment_context;not_company_performance"),
-    ("selic_target_change_pp", "ECONOMIC", "THREAT", ("increase", "rising"), "external_financial_environment;not_company_performance"),
+     ("growth", "increase", "yoy_growth", "technology_adoption", "digital_payment_adoption"), "national_digital_payment_context;not_company_performance",
+     "The reported expansion in national Pix transaction volume is classified under the explicit external digital-payments rule.",
+     "Classified from a TECHNOLOGICAL PESTEL item explicitly linked to reported Pix transaction growth."),
+    ("selic_target_change_pp", "ECONOMIC", "THREAT", ("increase", "rising"), "external_financial_environment;not_company_performance",
+     "The reported increase in the Selic target is classified as a change in the external financial environment under the explicit rule.",
+     "Classified from an ECONOMIC PESTEL item explicitly linked to a rising Selic target."),
 )
 # Definitions of these two delinquency metrics may never be combined.
 INCOMPATIBLE_METRICS = ("household_free_credit_npl_90d_rate", "npl_15_90_total")

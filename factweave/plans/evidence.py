@@ -130,7 +130,7 @@ SELECT sha256('dimension|' || {tok('pestel_dimension', 'claim', 'lineage_ids', '
 shared_sql("quadrants", f"""
 SELECT sha256('quadrant|' || {tok('swot_category', 'assessment', 'claim', 'lineage_ids', 'source_pestel_ids', 'reference_date')}) AS swot_id, * FROM (
   SELECT e.evidence_id, swot_category, CASE WHEN e.business_domain = 'Macro' THEN 'EXTERNAL' ELSE 'INTERNAL' END AS scope, e.business_domain, e.entity, e.metric_id, e.reference_date, e.claim,
-         CASE WHEN e.business_domain = 'Macro' THEN 'The reported change is classified as threat under the explicit external rule.'
+         CASE WHEN e.business_domain = 'Macro' THEN '{RULES.EXTERNAL_RULES[1][5]}'
               ELSE 'The reported ' || CASE swot_category WHEN 'STRENGTH' THEN 'expansion' ELSE 'contraction' END || ' in ' || CASE e.metric_id WHEN 'gmv_yoy_growth' THEN 'reported GMV' WHEN 'tpv_yoy_growth' THEN 'reported TPV' ELSE 'reported active fintech users' END
                    || ' is classified as an internal ' || lower(swot_category) || ' under the explicit metric allowlist.' END AS assessment,
          c.lineage_ids, c.lineage_types, c.lineage_metrics, coalesce(d.pestel_id, '') AS source_pestel_ids,
@@ -271,7 +271,9 @@ def _(t):
 
 
 @query("classify_quadrants", """
-SELECT swot_id, evidence_id, swot_category, scope, business_domain, entity, metric_id, reference_date, claim, assessment, lineage_ids AS source_evidence_ids, lineage_types AS source_evidence_types,
+SELECT swot_id, evidence_id, swot_category, scope, business_domain, entity, metric_id, reference_date, claim, assessment,
+       CASE scope WHEN 'EXTERNAL' THEN '""" + RULES.EXTERNAL_RULES[1][6] + "' ELSE '" + RULES.INTERNAL_RATIONALE + """' END AS classification_rationale,
+       lineage_ids AS source_evidence_ids, lineage_types AS source_evidence_types,
        lineage_metrics AS source_metric_ids, source_pestel_ids, definition_context, 'OK' AS status FROM quadrants
 """, uses=["quadrants"])
 def _(t):
