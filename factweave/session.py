@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,18 +30,18 @@ def recommended_builder(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder.
+    """The folder all executors share: spark.checkpoint.dir.
 
-    Only a local session may do without the setting; it gets a temporary folder.
+    Where that is unset, a folder inside the warehouse, which every executor reads and
+    writes as well.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staging"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder; nothing is created."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -53,6 +52,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     lost, unlike a cache. The folder is the cluster's to expire.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
