@@ -120,9 +120,9 @@ SQL = r"""
 WITH split AS (
   SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line_no FROM documents
 ), parsed AS (
-  SELECT doc_id, line_no, list_filter(regexp_split_to_array(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM split
+  SELECT doc_id, line_no, list_filter(regexp_split_to_array(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM split
 ), lines AS (
-  SELECT doc_id, line_no, w, len(w) AS n, len(list_filter(w, x -> x <> '<*>')) AS fixed FROM parsed WHERE len(w) > 0
+  SELECT doc_id, line_no, w, len(w) AS n, len(list_filter(w, lambda x: x <> '<*>')) AS fixed FROM parsed WHERE len(w) > 0
 ), usable AS (SELECT * FROM lines WHERE fixed > 0
 ), exact AS (SELECT w, n, fixed, count(DISTINCT doc_id) AS documents, min(doc_id) AS first, max(doc_id) AS last FROM usable GROUP BY w, n, fixed
 ), keyed AS (

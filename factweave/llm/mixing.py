@@ -154,7 +154,7 @@ def splitting_tree(quotas: DataFrame, mix: Mix) -> DataFrame:
         count = F.aggregate("quota", F.lit(0).cast("long"), lambda a, q: a + q["n"])
         node = node.withColumn("count", count)
         # The left side takes half of the tickets; an odd one goes to a side by chance.
-        odd = (F.xxhash64(F.lit(mix.seed), F.lit(level), "shard") & 1) * (F.col("count") % 2)
+        odd = F.pmod(F.xxhash64(F.lit(mix.seed), F.lit(level), "shard"), F.lit(2)) * (F.col("count") % 2)
         half = F.shiftright("count", 1) + odd
         empty = F.array().cast("array<struct<no_source:boolean,source:string,n:bigint>>")
 
