@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from factweave.llm import exact_dedup, line_dedup, mixing, simhash, url_rules
+from factweave.llm import exact_dedup, line_dedup, mixing, quality, simhash, toxicity, url_rules
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op2_url_rules": url_rules.op2_url_rules,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op9_simhash": simhash.op9_simhash,
+    "op8_quality": quality.op8_quality,
     "op10_mix": mixing.op10_mix,
 }
 ORACLE_SQL = {
