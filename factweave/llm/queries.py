@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factweave.llm import exact_dedup, line_dedup, mixing, quality, simhash, toxicity, url_rules
+from factweave.llm import exact_dedup, line_dedup, mixing, quality, sentencepiece_codec, simhash, toxicity, url_rules
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op8_quality": quality.op8_quality,
+    "op4_sentencepiece": sentencepiece_codec.op4_sentencepiece,
     "op10_mix": mixing.op10_mix,
 }
 ORACLE_SQL = {
