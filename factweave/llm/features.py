@@ -12,7 +12,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _CHUNK = 1 << 20
-_BLANK = re.compile(r"\s")
+_BLANK = re.compile(r"[ \t\n\v\f\r]")
 
 
 def _word_bytes() -> np.ndarray:
@@ -24,7 +24,14 @@ def _word_bytes() -> np.ndarray:
     return table
 
 
-_WORD = _word_bytes()
+def _blank_bytes() -> np.ndarray:
+    """Everything but the six blanks."""
+    table = np.ones(256, dtype=bool)
+    table[[0x20, *range(0x09, 0x0E)]] = False
+    return table
+
+
+_WORD, _NOT_BLANK = _word_bytes(), _blank_bytes()
 
 
 _POWERS: dict[int, np.ndarray] = {}
@@ -41,15 +48,20 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 class Words:
-    """Words (runs of letters and digits, lower-cased) of a batch of texts: index of the text, place, substring hashes.
+    """Words of a batch of texts: index of the text, place, substring hashes.
 
+    Words are runs of letters and digits, lower-cased, or with `blank_separated` runs of
+    other characters than blanks, with A-Z lower-cased only.
     A polynomial hash with running sums gives the hash of any part of any word in one step.
     """
 
-    def __init__(self, texts: Sequence[str]):
-        raw = [t.lower().encode("utf-8", "replace") for t in texts]
+    def __init__(self, texts: Sequence[str], blank_separated: bool = False):
+        if blank_separated:
+            raw = [t.encode("utf-8", "replace").lower() for t in texts]
+        else:
+            raw = [t.lower().encode("utf-8", "replace") for t in texts]
         self.buffer = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
-        inside = np.r_[False, _WORD[self.buffer]].astype(np.int8)
+        inside = np.r_[False, (_NOT_BLANK if blank_separated else _WORD)[self.buffer]].astype(np.int8)
         edges = np.diff(inside)  # the last byte is a blank, so each word ends
         self.start, self.end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
         self.doc = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), self.start, "right")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from factweave.llm import exact_dedup, line_dedup, mixing, quality, sentencepiece_codec, simhash, toxicity, url_rules
+from factweave.llm import exact_dedup, language_model, line_dedup, mixing, quality, sentencepiece_codec, simhash, toxicity, url_rules
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op2_url_rules": url_rules.op2_url_rules,
     "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_language_model": language_model.op6_language_model,
     "op9_simhash": simhash.op9_simhash,
     "op8_quality": quality.op8_quality,
     "op4_sentencepiece": sentencepiece_codec.op4_sentencepiece,
