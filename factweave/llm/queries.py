@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factweave.llm import exact_dedup, language_model, line_dedup, mixing, quality, sentencepiece_codec, simhash, toxicity, url_rules
+from factweave.llm import exact_dedup, language_model, line_dedup, mixing, quality, sentencepiece_codec, simhash, toxicity, url_rules, vector_dedup
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_language_model": language_model.op6_language_model,
     "op9_simhash": simhash.op9_simhash,
     "op8_quality": quality.op8_quality,
+    "op3_vector_dedup": vector_dedup.op3_vector_dedup,
     "op4_sentencepiece": sentencepiece_codec.op4_sentencepiece,
     "op10_mix": mixing.op10_mix,
 }
