@@ -42,6 +42,7 @@ class Machine:
     sample: int = 20_000
     members: int = 3
     epochs: int = 6
+    least_steps: int = 400
     batch: int = 128
     rate: float = 0.05
     decay: float = 1e-4
@@ -135,7 +136,7 @@ def fit(doc, feature, value, label: np.ndarray, spec: Machine, seed: int) -> tup
     bias = float(np.log(label.mean() / (1 - label.mean())))
     gw2, gv2, gb2 = np.full(spec.size, 1e-4), np.full((spec.size, spec.rank), 1e-4), 1e-4
     starts = np.searchsorted(doc, np.arange(n + 1))
-    for _ in range(spec.epochs):
+    for _ in range(max(spec.epochs, -(-spec.least_steps * spec.batch // n))):
         order = rng.permutation(n)
         for at in range(0, n, spec.batch):
             rows = order[at:at + spec.batch]
@@ -166,11 +167,13 @@ def _stated(docs: DataFrame, length: str):
 def train(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, length: str, label: str, spec: Machine) -> list[tuple[np.ndarray, np.ndarray, float]]:
     known = stage(labelled(labels, doc_id, label).filter(fold("doc_id", 5) != 0), "quality-labels")
     good, n = known.agg(F.coalesce(F.sum((F.col("label") == 1).cast("int")), F.lit(0)), F.count(F.lit(1))).first()
-    drawn = known.filter(in_sample(F.col("doc_id"), spec.seed, spec.sample / max(n, 1)))
+    # Each member draws its own part; when there are few labels, every member sees them all.
+    share = spec.sample / spec.members / max(n, 1)
+    drawn = known.withColumn("member", F.explode(F.filter(
+        F.array(*[F.when(in_sample(F.col("doc_id"), spec.seed + i, share), F.lit(i)) for i in range(spec.members)]), lambda i: i.isNotNull())))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), _stated(docs, length).alias("stated"))
     # The sample's keys are bounded by `sample`, so the texts need no shuffle to meet them.
-    sample = rows.join(F.broadcast(drawn), "doc_id").select(
-        F.pmod(F.xxhash64(F.lit(spec.seed + 1), "doc_id"), F.lit(spec.members)).cast("int").alias("member"), "text", "stated", F.col("label").alias("label"))
+    sample = rows.join(F.broadcast(drawn), "doc_id").select("member", "text", "stated", "label")
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         y = group["label"].to_numpy(dtype=float)

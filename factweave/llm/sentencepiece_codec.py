@@ -321,9 +321,12 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     return coded.select("doc_id", "e.*")
 
 
-def op4_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    if path is None:
-        import public_tokenizers
+def default_model() -> str:
+    """Path of the installed public vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
 
-        path = public_tokenizers.path("piece_bpe_32k.model")
-    return encode_documents(read_table(spark, sf_dir, "documents"), path)
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    return encode_documents(read_table(spark, sf_dir, "documents"), path or default_model())

@@ -15,6 +15,11 @@ together have no size bound that would permit a broadcast from there. A cell ret
 spanning forest of the links found, not all pairs; the forests are joined to components
 over the whole table.
 
+Whole documents that are near copies by word shingles (near_copies) lie farther apart than
+a few bits, so their shards are keyed by the smallest shingle hashes of the text instead of
+blocks of bits, and a pair found by the trees must also agree in a fingerprint sixteen times as
+wide, which tells a similarity of 0.8 from less.
+
 Defined results: a null text is an empty text; a text without words has fingerprint zero;
 texts shorter than a shingle count as one shingle; shingles repeat as often as they occur;
 rows repeated with an id each get a row; null ids are ignored as representatives unless a
@@ -34,12 +39,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType
 
 from factweave.llm.components import Forest, components
-from factweave.llm.text import read_table
+from factweave.llm.hashing import mix
+from factweave.llm.text import in_place, read_table
 from factweave.session import stage
 
 BITS = 64
 _FRONTIER = 500_000
 _SHINGLES = 65_536
+_PAIRS = 20_000
 
 
 @dataclass(frozen=True)
@@ -50,6 +57,17 @@ class SimHash:
     tree_rows: int = 50_000
 
 
+@dataclass(frozen=True)
+class NearCopies(SimHash):
+    """At a similarity of 0.8 a bit differs with probability 0.1515; the radii add two and a half and one and a half standard deviations."""
+
+    words: int = 5
+    radius: int = 17
+    wide_words: int = 16
+    wide_radius: int = 173
+    sketch: int = 8
+
+
 def fingerprint_of(text: bytes, words: int, seed: int) -> int:
     """Fingerprint of a UTF-8 text as an unsigned integer."""
     found = text.lower().split()  # bytes: A-Z and the six ASCII blanks only
@@ -68,6 +86,26 @@ def fingerprint_of(text: bytes, words: int, seed: int) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
+def _shingle_hashes(text: bytes, words: int, seed: int) -> np.ndarray:
+    """Distinct shingle hashes of a text, in order."""
+    found = text.lower().split()
+    if not found:
+        return np.zeros(0, dtype=np.uint64)
+    shingles = map(b" ".join, zip(*(found[i:] for i in range(words)))) if len(found) > words else [b" ".join(found)]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(s, seed) for s in shingles), dtype=np.uint64))
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """Fingerprint of `words` 64-bit words of distinct shingle hashes; the first is the plain fingerprint of the set."""
+    ones = np.zeros(words * BITS, dtype=np.int64)
+    for at in range(0, len(hashes), 128):  # sums of 128 bits fit a byte
+        part = hashes[at:at + 128]
+        salted = np.stack([part, *[mix(part, salt) for salt in range(1, words)]], axis=1)
+        ones += np.unpackbits(salted.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+
+
 def fingerprint(text: Column, spec: SimHash = SimHash()) -> Column:
     """Fingerprint of a text column as a long."""
     words, seed = spec.words, spec.seed
@@ -131,32 +169,38 @@ def _shards(fp: Column, radius: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("block"), value(a, b).alias("value")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
 
 
-def _cells(distinct: DataFrame, spec: SimHash) -> DataFrame:
-    """block, value, i, j (tree and query slice), fp, tree and query: what each cell holds."""
-    routed = distinct.select("fp", F.explode(_shards(F.col("fp"), spec.radius)).alias("s")).select("fp", "s.block", "s.value")
+def _cells(routed: DataFrame, spec: SimHash) -> DataFrame:
+    """routed: block, value and columns to carry. Adds i, j (tree and query slice), tree and query: what each cell holds."""
     heavy = routed.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > spec.tree_rows)
     slices = heavy.select("block", "value", F.ceil(F.col("n") / spec.tree_rows).cast("int").alias("slices"))
     cut = routed.join(slices, ["block", "value"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
     return (
         cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-        .select("block", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp",
+        .select(*routed.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                 (F.col("own") <= F.col("other")).alias("tree"), (F.col("own") >= F.col("other")).alias("query"))
     )
 
 
-def _link_cells(radius: int):
+def _link_cells(spec: SimHash):
     """Whole cells of sorted rows to a spanning forest of the links in each."""
     names = ["block", "value", "i", "j"]
+    wide = isinstance(spec, NearCopies)
 
     def solve(rows: pd.DataFrame, cell: np.ndarray) -> pd.DataFrame:
-        fp = rows["fp"].to_numpy().view(np.uint64)
+        fp, node = rows["fp"].to_numpy().view(np.uint64), rows["node"].to_numpy()
         tree, query = np.flatnonzero(rows["tree"].to_numpy()), np.flatnonzero(rows["query"].to_numpy())
+        long = np.frombuffer(b"".join(rows["wide"]), dtype=np.uint64).reshape(len(rows), -1) if wide else None
         forest, trees = Forest(len(rows)), BKForest(cell[tree], fp[tree])
-        for q, node in trees.search(cell[query], fp[query], radius):
-            forest.link(query[q], tree[node])
+        for q, n in trees.search(cell[query], fp[query], spec.radius):
+            a, b = query[q], tree[n]
+            if wide:
+                near = np.concatenate([
+                    np.bitwise_count(long[a[i:i + _PAIRS]] ^ long[b[i:i + _PAIRS]]).sum(axis=1, dtype=np.int64) for i in range(0, len(a), _PAIRS)]) <= spec.wide_radius
+                a, b = a[near], b[near]
+            forest.link(a, b)
         below = np.flatnonzero(forest.root != np.arange(len(rows)))
-        return pd.DataFrame({"a": fp[below].view(np.int64), "b": fp[forest.root[below]].view(np.int64)})
+        return pd.DataFrame({"a": node[below], "b": node[forest.root[below]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -174,11 +218,15 @@ def _link_cells(radius: int):
     return run
 
 
+def _forests(routed: DataFrame, spec: SimHash) -> DataFrame:
+    cells = _cells(routed, spec).repartition("block", "value", "i", "j").sortWithinPartitions("block", "value", "i", "j")
+    return cells.mapInPandas(_link_cells(spec), "a long, b long")
+
+
 def near_fingerprints(distinct: DataFrame, spec: SimHash = SimHash()) -> DataFrame:
     """distinct: fp. Returns fp and root for every fingerprint but the roots of components of near fingerprints."""
-    cells = _cells(distinct, spec).repartition("block", "value", "i", "j").sortWithinPartitions("block", "value", "i", "j")
-    links = cells.mapInPandas(_link_cells(spec.radius), "a long, b long")
-    return components(links, "simhash-links").select(F.col("node").alias("fp"), "root")
+    routed = distinct.select("fp", F.col("fp").alias("node"), F.explode(_shards(F.col("fp"), spec.radius)).alias("s")).select("fp", "node", "s.block", "s.value")
+    return components(_forests(routed, spec), "simhash-links").select(F.col("node").alias("fp"), "root")
 
 
 def near_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spec: SimHash = SimHash()) -> DataFrame:
@@ -191,6 +239,35 @@ def near_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spec: NearCopies = NearCopies()) -> DataFrame:
+    """`row` (the document's columns), the place of the row and `stays`: true for one document of each group.
+
+    The one with the smallest id stays (nulls last, then by place). Texts without words are copies of one another.
+    """
+    words, seed, sketch, width = spec.words, spec.seed, spec.sketch, spec.wide_words
+
+    @F.pandas_udf("fp long, wide binary, sketch array<long>")
+    def prints_of(texts: pd.Series) -> pd.DataFrame:
+        wide, low = [], []
+        for t in texts:
+            h = _shingle_hashes(t, words, seed)
+            wide.append(wide_fingerprint(h, width))
+            low.append(h[:sketch].view(np.int64))
+        return pd.DataFrame({"fp": [int(w[0].view(np.int64)) for w in wide], "wide": [w.tobytes() for w in wide], "sketch": low})
+
+    rows = in_place(docs)
+    order = F.struct(F.col("row").getField(doc_id).isNull().alias("no_id"), F.col("row").getField(doc_id).alias("id"), "place")
+    prints = stage(rows.select(order.alias("at"), prints_of(F.coalesce(F.col("row").getField(text), F.lit("")).cast("binary")).alias("p")).select("at", "p.*"), "near-prints")
+    # Equal texts have equal prints; the sketch rarely tells more.
+    distinct = stage(prints.groupBy("fp", "wide", "sketch").agg(F.min("at").alias("least")).withColumn("node", F.monotonically_increasing_id()), "near-distinct")
+    routed = distinct.select("fp", "wide", "node", F.lit(0).alias("block"), F.explode("sketch").alias("value"))
+    roots = components(_forests(routed, spec), "near-links")
+    placed = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Documents that stay: the first of each component.
+    first = placed.groupBy("root").agg(F.min("least").alias("at")).select(F.col("at.place").alias("place"), F.lit(True).alias("stays"))
+    return rows.join(first, "place", "left").select("row", "place", F.coalesce("stays", F.lit(False)).alias("stays"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_documents(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

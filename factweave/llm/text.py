@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from factweave.session import stage
+
 WORD = r"[^\x20\x09-\x0D]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -30,3 +33,15 @@ def word_count(text: Column) -> Column:
 def fold(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo `n`; a null id falls in fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % n, F.lit(0))
+
+
+def in_place(docs: DataFrame) -> DataFrame:
+    """`row` (all columns) and `place`, which names the same row in every job: file and row number.
+
+    A table that is not read from files is written to shared storage first.
+    """
+    placed = lambda df: df.select(F.struct(*[df[c] for c in docs.columns]).alias("row"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("number")).alias("place"))
+    try:
+        return placed(docs)
+    except AnalysisException:
+        return placed(stage(docs, "placed"))

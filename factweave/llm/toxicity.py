@@ -45,6 +45,7 @@ class PULearner:
     support: int = 4
     deviations: float = 6.0
     epochs: int = 20
+    least_steps: int = 300
     batch: int = 512
     rate: float = 0.1
     sparsity: float = 1e-4
@@ -106,7 +107,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     softplus = lambda z: np.logaddexp(0, z)  # noqa: E731  logistic loss of calling z negative
     n_u, n_p = min(spec.batch, len(u_rows)), min(spec.batch, len(p_rows))
-    for _ in range(spec.epochs):
+    for _ in range(max(spec.epochs, -(-spec.least_steps * n_u // len(u_rows)))):
         order = rng.permutation(len(u_rows))
         for at in range(0, len(order) - n_u + 1, n_u):
             xu, xp = u_rows[order[at:at + n_u]], p_rows[rng.choice(len(p_rows), n_p, replace=False)]
