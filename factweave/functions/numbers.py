@@ -68,6 +68,25 @@ def is_close(a: Column, b: Column, rel: float = 1e-12, absolute: float = 1e-12)
     return is_finite(a) & is_finite(b) & (F.abs(a - b) <= bound)
 
 
+def _large_text(x: Column) -> Column:
+    """15 significant digits of numbers from 1e9 to below 1e15, rounded half-even on the exact binary value.
+
+    The fraction of such a double is a whole number of 2**-23, so it has an exact decimal.
+    """
+    size = F.abs(x)
+    whole = F.floor(size)
+    fraction = ((size - whole) * float(1 << 23)).cast("decimal(8,0)") * F.lit("0.00000011920928955078125").cast("decimal(23,23)")
+    rounded = None
+    for digits in range(6):  # decimals left beside an integral part of 15 - digits figures
+        at_tie = F.bround(fraction, digits) if digits else F.when(fraction == F.lit("0.5").cast("decimal(2,1)"), (whole % 2).cast("decimal(8,6)")).otherwise(F.bround(fraction, 0))
+        hit = size >= float(10 ** (14 - digits))
+        part = at_tie.cast("decimal(8,6)")
+        rounded = F.when(hit, part) if rounded is None else rounded.when(hit, part)
+    total = whole.cast("decimal(16,0)") + rounded
+    text = F.regexp_replace(F.regexp_replace(total.cast("string"), r"0+$", ""), r"\.$", "")
+    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), F.when(total >= F.lit(10 ** 15).cast("decimal(16,0)"), F.lit("1e+15")).otherwise(text))
+
+
 def significant_text(c: Column) -> Column:
     """Up to 15 significant digits without trailing zeros (C `%.15g`)."""
     x = c.cast("double")
@@ -84,6 +103,7 @@ def significant_text(c: Column) -> Column:
     return (
         F.when(x == 0, F.lit("0"))
         .when((magnitude >= 1e-4) & (magnitude < 1e9) & (short.cast("double") == x), short_text)
+        .when((magnitude >= 1e9) & (magnitude < 1e15), _large_text(x))
         .when((magnitude >= 1e-4) & (magnitude < 1e15), plain)
         .otherwise(F.concat(mantissa, exponent))
     )

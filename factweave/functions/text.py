@@ -96,6 +96,12 @@ def uses_words(c: Column, words: Sequence[str]) -> Column:
     return c.rlike(word_pattern(words))
 
 
+def has_part(c: Column, parts: Sequence[str]) -> Column:
+    """Whether the lower-cased text holds one of the parts, inside words too."""
+    lowered = F.lower(c)
+    return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(p)) for p in parts])
+
+
 def claim_kind(statement: Column, families: Mapping[str, str]) -> Column:
     """The only pattern family that matches, else `other`."""
     hits = {kind: statement.rlike(pattern) for kind, pattern in families.items()}

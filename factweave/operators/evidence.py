@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from factweave.functions.identity import content_id, number_token
 from factweave.functions.numbers import finite_or_null, is_close, is_finite, significant_text
-from factweave.functions.text import collapse_blanks, uses_words
+from factweave.functions.text import collapse_blanks, has_part, uses_words
 from factweave.operators import rules as RULES
 from factweave.operators.periods import YOY_FORMULA, comparison_family, growth_percent, paired_years
 from factweave.operators.quality import blank, failed_rules
@@ -392,12 +392,13 @@ def classify_dimensions(evidence: DataFrame) -> DataFrame:
         F.col("pestel_dimension").isNotNull())
     closure = lineage_closure(classed, evidence, "evidence_id", "evidence_id")
     joined = classed.drop("source_evidence_ids").join(closure, "evidence_id")
-    status = (
-        F.when(F.col("missing") > 0, F.lit("UNKNOWN_SOURCE")).when(uses_words(F.col("claim"), RULES.CAUSAL_WORDS), F.lit("FORBIDDEN_WORDING")).otherwise(F.lit("OK")))
+    rationale = literal_map(RULES.RATIONALES)[F.col("pestel_dimension")]
+    forbidden = F.coalesce(has_part(F.col("claim"), RULES.DIMENSION_WORDING), F.lit(False)) | has_part(rationale, RULES.DIMENSION_WORDING)
+    status = F.when(F.col("missing") > 0, F.lit("UNKNOWN_SOURCE")).when(forbidden, F.lit("FORBIDDEN_WORDING")).otherwise(F.lit("OK"))
     return joined.select(
         content_id(["pestel_dimension", "claim", F.array_join("lineage_ids", ","), "reference_date"], "dimension").alias("pestel_id"),
         "evidence_id", "pestel_dimension", "business_domain", "entity", "metric_id", "reference_date", "period_start", "period_end", "period_type", "claim",
-        literal_map(RULES.RATIONALES)[F.col("pestel_dimension")].alias("classification_rationale"),
+        rationale.alias("classification_rationale"),
         F.col("lineage_ids").alias("source_evidence_ids"), F.col("lineage_types").alias("source_evidence_types"), F.col("lineage_metrics").alias("source_metric_ids"),
         F.array_join("lineage_sources", ";").alias("source"), "is_interpretation", "definition_context", status.alias("status"))
 
@@ -406,7 +407,8 @@ def classify_quadrants(evidence: DataFrame, dimensions: DataFrame) -> DataFrame:
     """Internal growth by sign, external changes by their dimension record.
 
     `status` is OK, INCOMPATIBLE_PERIOD (sources of different periods),
-    NO_DIMENSION (an external rule without a matching dimension record) or UNKNOWN_SOURCE.
+    NO_DIMENSION (an external rule without a matching dimension record), UNKNOWN_SOURCE or
+    FORBIDDEN_WORDING (claim, assessment or rationale).
     """
     value, kind, metric = finite_or_null(F.col("value")), F.lower("claim_kind"), F.col("metric_id")
     internal_domain = literal_map({m: d for m, (d, _) in RULES.INTERNAL_GROWTH.items()})
@@ -429,13 +431,15 @@ def classify_quadrants(evidence: DataFrame, dimensions: DataFrame) -> DataFrame:
     is_external = F.col("_dimension").isNotNull()
     status = (
         F.when(F.col("missing") > 0, F.lit("UNKNOWN_SOURCE")).when(~F.col("same_period"), F.lit("INCOMPATIBLE_PERIOD"))
-        .when(is_external & F.col("source_pestel_ids").isNull(), F.lit("NO_DIMENSION")).otherwise(F.lit("OK")))
+        .when(is_external & F.col("source_pestel_ids").isNull(), F.lit("NO_DIMENSION")))
     subject = literal_map({m: s for m, (_, s) in RULES.INTERNAL_GROWTH.items()})
     internal_text = F.concat(
         F.lit("The reported "), F.when(F.col("swot_category") == "STRENGTH", F.lit("expansion")).otherwise(F.lit("contraction")), F.lit(" in "),
         F.try_element_at(subject, metric), F.lit(" is classified as an internal "), F.lower("swot_category"), F.lit(" under the explicit metric allowlist."))
     assessment = F.when(is_external, literal_map({r[0]: r[5] for r in RULES.EXTERNAL_RULES})[metric]).otherwise(internal_text)
     rationale = F.when(is_external, literal_map({r[0]: r[6] for r in RULES.EXTERNAL_RULES})[metric]).otherwise(F.lit(RULES.INTERNAL_RATIONALE))
+    worded = F.concat_ws(" | ", "claim", assessment, rationale)
+    status = status.when(worded.rlike(RULES.QUADRANT_WORDING), F.lit("FORBIDDEN_WORDING")).otherwise(F.lit("OK"))
     note = literal_map({r[0]: ";" + r[4] for r in RULES.EXTERNAL_RULES})
     pestel = F.coalesce("source_pestel_ids", F.array().cast("array<string>"))
     return joined.withColumns({"_assessment": assessment, "_pestel": pestel}).select(
@@ -491,7 +495,7 @@ def product_violations(products: DataFrame) -> DataFrame:
     starts = r"(?i)^(?:" + "|".join(RULES.QUESTION_STARTS) + r")\b"
     return failed_rules(products, {
         "type_known": kind.isin("HYPOTHESIS", "QUESTION_FOR_PRODUCT_DISCOVERY"),
-        "wording_allowed": ~uses_words(statement, RULES.PRODUCT_WORDS),
+        "wording_allowed": ~statement.rlike(RULES.PRODUCT_WORDING),
         "hypothesis_is_uncertain": (kind != "HYPOTHESIS") | uses_words(statement, RULES.UNCERTAIN_WORDS),
         "question_is_open": (kind == "HYPOTHESIS") | (statement.rlike(starts) & statement.endswith("?")),
         "lineage_present": F.size("source_evidence_ids") > 0,

@@ -182,21 +182,30 @@ PAYMENT_COLUMNS = (
 def unpivot_scaled(rows: DataFrame, keys: Sequence[str], month: str, columns: Sequence[WideColumn]) -> DataFrame:
     """Wide monthly measures to long scaled rows with a `status`.
 
-    Scaling runs in decimals, so the integral-count check is exact. Status: OK,
-    BAD_MONTH, BAD_VALUE, NEGATIVE or NOT_INTEGRAL.
+    Scales are powers of ten, so scaling moves the decimal point in the text and the
+    integral-count check is exact for any number of digits; only numbers with an exponent
+    are scaled as decimals. Status: OK, BAD_MONTH, BAD_VALUE, NEGATIVE or NOT_INTEGRAL.
     """
     date = parse_year_month(F.col(month))
     long = rows.select(*keys, date.alias("reference_date"), F.explode(F.array(*[
         F.struct(F.lit(c.metric_id).alias("metric_id"), F.lit(c.unit).alias("unit"), F.lit(c.integral).alias("integral"),
                  F.lit(c.scale).cast("decimal(12,0)").alias("scale"), F.trim(F.col(c.field).cast("string")).alias("text")) for c in columns
     ])).alias("m")).select(*keys, "reference_date", "m.*")
-    number = F.when(plain_number(F.col("text")).isNotNull(), F.col("text").try_cast("decimal(26,9)"))
-    scaled = long.withColumn("scaled", number * F.col("scale"))
+    shift = F.length(F.col("scale").cast("string")) - 1
+    part = lambda i: F.regexp_extract("text", r"^([+-]?)(\d*)\.?(\d*)", i)
+    fraction = F.rpad(part(3), F.greatest(F.length(part(3)), shift), "0")
+    moved = F.concat(part(1), F.lit("0"), part(2), F.substring(fraction, F.lit(1), shift))
+    rest = F.substring(fraction, shift + 1, F.length(fraction))
+    exponent = F.col("text").rlike("[eE]")
+    wide = (F.col("text").try_cast("decimal(38,12)") * F.col("scale")).cast("decimal(38,6)")
+    scaled = long.withColumn("known", plain_number(F.col("text")).isNotNull()).withColumns({
+        "scaled": F.when(F.col("known"), F.when(exponent, wide.cast("double")).otherwise(F.concat(moved, F.lit("."), rest, F.lit("0")).try_cast("double"))),
+        "whole": F.when(exponent, wide % 1 == 0).otherwise(rest.rlike("^0*$"))})
     status = (
         F.when(F.col("reference_date").isNull(), F.lit("BAD_MONTH")).when(F.col("scaled").isNull(), F.lit("BAD_VALUE"))
         .when(F.col("scaled") < 0, F.lit("NEGATIVE"))
-        .when(F.col("integral") & (F.col("scaled") % 1 != 0), F.lit("NOT_INTEGRAL")).otherwise(F.lit("OK")))
-    return scaled.select(*keys, "metric_id", "reference_date", F.col("scaled").cast("double").alias("value"), "unit", status.alias("status"))
+        .when(F.col("integral") & ~F.coalesce(F.col("whole"), F.lit(False)), F.lit("NOT_INTEGRAL")).otherwise(F.lit("OK")))
+    return scaled.select(*keys, "metric_id", "reference_date", F.col("scaled").alias("value"), "unit", status.alias("status"))
 
 
 def normal_label(c: Column) -> Column:
@@ -220,10 +229,9 @@ def header_described(rows: DataFrame, table: str, fields: str, classification: s
     """
     f = F.col(fields)
     holds = lambda m, term: F.exists(F.map_values(m), lambda v: F.contains(normal_label(v), F.collate(F.lit(term), "UNICODE_CI_AI")))
-    # Only short values can be the value label; all other tests run for such rows alone.
+    # The tests run in order, each for the rows that passed those before.
     is_header = (
-        F.exists(F.map_values(f), lambda v: (F.length(F.trim(v)) <= 2 * len(HEADER_LABELS["value"])) & (normal_label(v) == HEADER_LABELS["value"]))
-        & holds(f, "nivel territorial") & holds(f, VARIABLE_TERM)
+        F.exists(F.map_values(f), lambda v: normal_label(v) == HEADER_LABELS["value"]) & holds(f, "nivel territorial") & holds(f, VARIABLE_TERM)
         & reduce(lambda a, b: a | b, [holds(f, x) for x in PERIOD_TERMS])
     )
     marked = rows.withColumn("_header", is_header)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from factweave.functions.dates import is_quarter_end, quarter_index, quarter_label
 from factweave.functions.numbers import is_finite, is_positive
@@ -199,17 +199,17 @@ def quarter_coverage(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def dataset_health(frames: Mapping[str, DataFrame | None], date_columns: Sequence[str]) -> DataFrame:
-    """Status, row count, column count and latest date per dataset; `None` means missing.
+def dataset_health(frames: Mapping[str, DataFrame | str | None], date_columns: Sequence[str], spark: SparkSession | None = None) -> DataFrame:
+    """Status, row count, column count and latest date per dataset; `None` means missing, a text is the status itself.
 
     One aggregate per dataset, united into one lazy frame.
     """
     parts = []
-    session = next(f.sparkSession for f in frames.values() if f is not None)
+    session = spark or next(f.sparkSession for f in frames.values() if isinstance(f, DataFrame))
     for name, frame in frames.items():
-        if frame is None:
+        if not isinstance(frame, DataFrame):
             parts.append(session.range(1).select(
-                F.lit(name).alias("dataset_id"), F.lit("MISSING").alias("status"),
+                F.lit(name).alias("dataset_id"), F.lit(frame or "MISSING").alias("status"),
                 F.lit(None).cast("bigint").alias("row_count"), F.lit(None).cast("int").alias("column_count"),
                 F.lit(None).cast("date").alias("latest_date")))
             continue

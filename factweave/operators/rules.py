@@ -99,20 +99,32 @@ CLAIM_KINDS = {
     "operational": r"(?i)\b(?:fulfillment|delivery|shipping|shipments?|cost|operational volume)\b",
 }
 
-# --- fixed values: wording that derived claims may not use -----------------------
-CAUSAL_WORDS = (
-    "caused", "causes", "because of", "led to", "drive", "drives", "explain", "explains", "prove", "proves", "recommend", "recommendation",
-    "should build", "must build", "feature", "solution", "causar", "causa", "causou", "por causa de", "levou a", "explica", "prova", "recomenda",
-    "recomendação", "deveria construir", "deve construir", "funcionalidade", "solução", "oportunidade", "ameaça",
+# --- fixed values: wording that claims may not use, one guard per classification ---
+# Interpretations, quadrants and product rows: a pattern. Dimensions: parts of the lower-cased text.
+INTERPRETATION_WORDING = (
+    r"(?iuU)\b(caused|causes|because of|led to|drives?|explains?|proves?|recommend(?:ation)?|should build|must build|feature|solution|causar|causou|"
+    r"por causa de|levou a|explica|prova|recomenda(?:ção)?|deveria construir|deve construir|funcionalidade|solução|oportunidade|ameaça)\b"
 )
-PRODUCT_WORDS = (
-    "caused", "causes", "because of", "led to", "drive", "drives", "prove", "proves", "guarantee", "guarantees", "will increase", "will improve",
-    "recommend", "recommendation", "should build", "must build", "feature", "features", "solution", "roadmap", "prioritise", "prioritize", "launch", "cashback",
-    "reward", "rewards", "loyalty", "loyalty program", "user want", "user need", "users want", "users need", "customer want", "customer need",
-    "customers want", "customers need", "causou", "causa", "por causa de", "levou a", "explica", "prova", "garante", "vai aumentar", "vai melhorar",
-    "recomenda", "recomendação", "deveria construir", "deve construir", "funcionalidade", "solução", "roteiro", "priorize", "lançar", "recompensa",
-    "programa de fidelidade", "usuário querem", "usuário precisam", "usuários querem", "usuários precisam", "cliente querem", "cliente precisam",
-    "clientes querem", "clientes precisam",
+DIMENSION_WORDING = (
+    "recommendation", "opportunity", "threat", "strength", "weakness", "should build", "must build", "feature", "solution",
+    "caused", "causes", "because of", "led to", "explains", "proves", "causal",
+    "recomendação", "oportunidade", "ameaça", "força", "fraqueza", "deveria construir", "solução", "causou", "causa", "explica", "prova",
+)
+QUADRANT_WORDING = (
+    r"(?iuU)\b(caused|causes|because of|led to|drives?|explains?|proves?|recommend(?:ation)?|"
+    r"should build|must build|feature|solution|product opportunity|product problem|"
+    r"causou|causa|por causa de|levou a|explica|prova|recomenda(?:ção)?|"
+    r"deveria construir|deve construir|funcionalidade|solução|problema de produto|"
+    r"oportunidade de produto)\b"
+)
+PRODUCT_WORDING = (
+    r"(?iuU)\b(caused|causes|because of|led to|drives?|proves?|guarantees?|will increase|will improve|"
+    r"recommend(?:ation)?|should build|must build|feature|solution|roadmap|prioriti[sz]e|"
+    r"launch|cashback|rewards?|loyalty(?: program)?|users?\s+(?:want|need)|customers?\s+(?:want|need)|"
+    r"causou|causa|por causa de|levou a|explica|prova|garante|vai aumentar|vai melhorar|"
+    r"recomenda(?:ção)?|deveria construir|deve construir|funcionalidade|solução|roteiro|"
+    r"priorize|lançar|recompensa|programa de fidelidade|usuários?\s+(?:querem|precisam)|"
+    r"clientes?\s+(?:querem|precisam)\b)"
 )
 UNCERTAIN_WORDS = ("may", "might", "could", "require validation", "requires validation", "worth investigating")
 QUESTION_STARTS = ("how", "what", "which", "where", "when", "to what extent")

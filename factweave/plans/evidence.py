@@ -16,9 +16,10 @@ CHANGE_CONTEXT = "formula=current_value - previous_value;temporal_match=previous
 
 
 def company_facts(t):
-    """Quarterly facts under the metric names the rules know."""
+    """Facts of all period types under the metric names the rules know; INSTANT facts never derive growth."""
     names = F.create_map(*[x for a, b in NAMES.items() for x in (F.lit(a), F.lit(b))])
-    facts = I.quarter_facts(t).filter("period_type = 'QUARTER'")
+    instants = I.instant_facts(t).withColumn("metric_id", F.lit("order_count"))
+    facts = I.quarter_facts(t).unionByName(instants)
     return facts.withColumns({"metric_id": names[F.col("metric_id")], "unit": F.when(F.col("metric_id") == "order_count", F.lit("users")).otherwise(F.col("unit"))})
 
 
@@ -75,14 +76,15 @@ FROM (SELECT *, 'Reported ' || metric_id || ' was ' || printf('%.15g', value) ||
          CASE metric_id WHEN 'order_value' THEN 'Commerce' WHEN 'line_quantity' THEN 'Financial' ELSE 'Fintech' END AS business_domain,
          CASE metric_id WHEN 'order_count' THEN 'users' ELSE unit END AS unit, period_type, period_label, period_start, period_end, value, filed_at, accession_number, definition_version,
          'definition_version=' || definition_version || ';reported_definition=' || definition_version AS definition_context
-  FROM quarter_facts WHERE period_type = 'QUARTER'))
-""", uses=["quarter_facts"])
+  FROM (SELECT entity, metric_id, unit, period_type, period_label, period_start, period_end, value, filed_at, accession_number, definition_version FROM quarter_facts
+        UNION ALL SELECT entity, 'order_count', unit, period_type, period_label, period_start, period_end, value, filed_at, accession_number, definition_version FROM instant_facts)))
+""", uses=["quarter_facts", "instant_facts"])
 shared_sql("growth_pairs", f"""
 SELECT sha256('growth|' || {tok('c.evidence_id', 'p.evidence_id', "(c.metric_id || '_yoy_growth')")}) AS child_id, p.evidence_id AS prior_id, (c.value / p.value - 1.0) * 100.0 AS growth, c.*
 FROM company_evidence c JOIN company_evidence p ON p.entity = c.entity AND p.metric_id = c.metric_id AND p.unit = c.unit AND p.period_label = c.period_label
  AND year(p.period_end) = year(c.period_end) - 1 AND p.definition_version = c.definition_version
  AND strftime(p.period_start, '%m-%d') = strftime(c.period_start, '%m-%d') AND strftime(p.period_end, '%m-%d') = strftime(c.period_end, '%m-%d')
-WHERE p.value > 0 AND c.metric_id <> 'items_sold'
+WHERE p.value > 0 AND c.metric_id <> 'items_sold' AND c.period_type <> 'INSTANT' AND p.period_type = c.period_type
 """, uses=["company_evidence"])
 shared_sql("rate_evidence", f"""
 SELECT sha256('observation|' || {tok("'OBSERVATION'", 'entity', "'selic_target_annual'", 'reference_date', 'claim', "'selic_target_annual'", 'source', "'reported_macro_fact;source_value_preserved'", "'percent_per_year'", "'daily'", num('value'))}) AS evidence_id, *
@@ -164,14 +166,14 @@ def document_evidence(t):
     kind = F.when(F.col("lang") == "en", F.lit("FACT")).when(F.col("lang") == "fr", F.lit("OBSERVATION")).when(F.col("lang") == "de", F.lit("INTERPRETATION")).otherwise(F.lit("RUMOUR"))
     return E.as_evidence(
         t.documents, evidence_id=F.concat(F.lit("doc-"), "doc_id"), evidence_type=kind, business_domain=F.lit("Commerce"),
-        claim=F.when(F.col("n_chars") < 200, F.lit("  ")).otherwise(F.substring("text", 1, 20)), claim_kind=F.lit("other"), source=F.col("source"), methodology_version=F.lit("1"),
+        claim=F.when(F.col("source") == "src2", F.lit("  ")).otherwise(F.col("text")), claim_kind=F.lit("other"), source=F.col("source"), methodology_version=F.lit("1"),
         definition_context=F.lit("source_statement_preserved"),
         source_evidence_ids=F.when(F.col("source") == "src1", F.array().cast("array<string>")).otherwise(F.array("source", "lang", "source")))
 
 
 @query("evidence_normalize", """
 SELECT * FROM (SELECT 'doc-' || doc_id AS evidence_id, CASE WHEN source = 'src1' THEN '' ELSE array_to_string(list_sort(list_distinct([source, lang])), ',') END AS source_evidence_ids, lang = 'de' AS is_interpretation,
-  concat_ws(',', CASE WHEN lang NOT IN ('en', 'fr', 'de') THEN 'type_known' END, CASE WHEN n_chars < 200 OR trim(substr(text, 1, 20)) = '' THEN 'claim_present' END, CASE WHEN lang = 'de' AND source = 'src1' THEN 'interpretation_has_source' END) AS violations FROM documents)
+  concat_ws(',', CASE WHEN lang NOT IN ('en', 'fr', 'de') THEN 'type_known' END, CASE WHEN source = 'src2' OR trim(text) = '' THEN 'claim_present' END, CASE WHEN lang = 'de' AND source = 'src1' THEN 'interpretation_has_source' END) AS violations FROM documents)
 WHERE violations <> ''
 """)
 def _(t):
@@ -292,17 +294,18 @@ def _(t):
 
 @query("cross_domain_pairs", f"""
 WITH e AS (SELECT * FROM evidence UNION ALL BY NAME SELECT * FROM single_interpretations),
-listed AS (SELECT *, rank() OVER (PARTITION BY entity, reference_date, metric_id ORDER BY CASE evidence_type WHEN 'INTERPRETATION' THEN 3 WHEN 'OBSERVATION' THEN 2 ELSE 1 END DESC) AS rk FROM e
+listed AS (SELECT *, rank() OVER (PARTITION BY entity, period_type, reference_date, metric_id ORDER BY CASE evidence_type WHEN 'INTERPRETATION' THEN 3 WHEN 'OBSERVATION' THEN 2 ELSE 1 END DESC) AS rk FROM e
            WHERE metric_id IN ('gmv_yoy_growth', 'fintech_mau_yoy_growth', 'tpv_yoy_growth')),
-g AS (SELECT entity, reference_date, min(period_start) AS period_start, max(period_end) AS period_end,
+g AS (SELECT entity, period_type, reference_date, min(period_start) AS period_start, max(period_end) AS period_end,
              array_to_string(list_sort(list_distinct(flatten(list(list_append(source_evidence_ids, evidence_id))))), ',') AS source_evidence_ids,
              coalesce(string_agg(evidence_id, ',' ORDER BY evidence_id) FILTER (WHERE evidence_type = 'INTERPRETATION'), '') AS source_interpretation_ids,
              array_to_string(list_sort(list_distinct(list(source_metric_id))), ',') AS source_metric_ids, array_to_string(list_sort(list_distinct(list(source))), ';') AS source
-      FROM listed WHERE rk = 1 GROUP BY entity, reference_date HAVING count(*) FILTER (WHERE business_domain = 'Commerce') > 0 AND count(*) FILTER (WHERE business_domain = 'Fintech') > 0),
-h AS (SELECT *, sha256('hypothesis|' || {tok(f"'{RULES.HYPOTHESIS}'", 'entity', 'reference_date', 'source_evidence_ids')}) AS hid FROM g)
+      FROM listed WHERE rk = 1 GROUP BY entity, period_type, reference_date HAVING count(*) FILTER (WHERE business_domain = 'Commerce') > 0 AND count(*) FILTER (WHERE business_domain = 'Fintech') > 0),
+h AS (SELECT *, sha256('hypothesis|' || {tok(f"'{RULES.HYPOTHESIS}'", 'entity', 'period_type', 'reference_date', 'source_evidence_ids')}) AS hid FROM g)
 SELECT hid AS product_evidence_id, 'HYPOTHESIS' AS product_evidence_type, '{RULES.HYPOTHESIS}' AS statement, '' AS source_hypothesis_ids, * EXCLUDE (hid), 'OK' AS status FROM h
-UNION ALL SELECT sha256('question|' || {tok(f"'{RULES.QUESTION}'", 'entity', 'reference_date', 'source_evidence_ids', 'hid')}), 'QUESTION_FOR_PRODUCT_DISCOVERY', '{RULES.QUESTION}', hid, * EXCLUDE (hid), 'OK' FROM h
+UNION ALL SELECT sha256('question|' || {tok(f"'{RULES.QUESTION}'", 'entity', 'period_type', 'reference_date', 'source_evidence_ids', 'hid')}), 'QUESTION_FOR_PRODUCT_DISCOVERY', '{RULES.QUESTION}', hid, * EXCLUDE (hid), 'OK' FROM h
 """, uses=["single_interpretations"])
 def _(t):
     rows = stored_evidence(t)
-    return flat(E.cross_domain_pairs(rows.unionByName(E.interpretations(rows))))
+    # Quarters and longer periods may end on one date; they are paired apart.
+    return flat(E.cross_domain_pairs(rows.unionByName(E.interpretations(rows)), keys=("entity", "period_type")))

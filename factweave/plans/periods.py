@@ -246,13 +246,13 @@ SELECT entity, business_domain, metric_id, period_end, period_label, value, unit
     SELECT *, CASE metric_id WHEN 'net_revenue' THEN 'Financial' ELSE 'Commerce' END AS business_domain,
            CASE metric_id WHEN 'line_quantity' THEN 0 WHEN 'order_count' THEN 1 ELSE 0 END AS pr
     FROM quarter_facts WHERE metric_id IN ('net_revenue', 'line_quantity', 'order_count')
-      AND NOT (metric_id = 'line_quantity' AND value < 150)))
+      AND NOT (metric_id = 'line_quantity' AND entity LIKE '%3')))
 WHERE rn = 1
 """, uses=["quarter_facts"])
 def _(t):
     facts = I.quarter_facts(t, ("net_revenue", "line_quantity", "order_count"))
-    # Small quantities are not reported, so some customers lack the preferred metric.
-    facts = facts.filter(~((F.col("metric_id") == "line_quantity") & (F.col("value") < 150)))
+    # Customers with a number ending in 3 report no quantities: the preferred metric is missing for them.
+    facts = facts.filter(~((F.col("metric_id") == "line_quantity") & F.col("entity").endswith("3")))
     return S.priority_signal(facts, {"Commerce": ["line_quantity", "order_count"], "Financial": ["net_revenue"]})
 
 
@@ -281,6 +281,33 @@ def _(t):
     return S.top_by_category(frame, "o_orderpriority", ["3-MEDIUM", "1-URGENT"], "reference_date", "o_orderkey", 40)
 
 
+# --- keys that the pairing operators refuse --------------------------------
+
+
+def _with_repeats(t):
+    """Facts of which the customers with a number ending in 7 report everything twice, with another filing."""
+    facts = I.quarter_facts(t, ("order_value", "order_count"))
+    again = facts.filter(F.col("entity").endswith("7")).withColumn("accession_number", F.concat("accession_number", F.lit("-again")))
+    return facts.unionByName(again)
+
+
+@query("duplicate_periods", """
+SELECT entity, metric_id, period_start, period_end, reference_year, period_type, period_label, CAST(2 AS BIGINT) AS row_count
+FROM quarter_facts WHERE metric_id IN ('order_value', 'order_count') AND entity LIKE '%7'
+""", uses=["quarter_facts"])
+def _(t):
+    return R.duplicate_periods(_with_repeats(t), ["order_value", "order_count"])
+
+
+@query("ambiguous_periods", """
+SELECT entity, metric_id, unit, period_type, reference_year AS economic_year, CAST(2 AS BIGINT) AS row_count
+FROM quarter_facts WHERE metric_id = 'order_value' AND entity LIKE '%7'
+""", uses=["quarter_facts"])
+def _(t):
+    found = P.ambiguous_periods(_with_repeats(t).filter("metric_id = 'order_value'"))
+    return found.select("entity", "metric_id", "unit", "period_type", "economic_year", "row_count")
+
+
 # --- ratios ----------------------------------------------------------------
 
 _PAIR_SQL = """

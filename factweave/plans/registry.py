@@ -54,7 +54,11 @@ def _with_clause(names: Iterable[str]) -> str:
 
     for name in names:
         visit(name)
-    return ",\n".join(f"{name} AS MATERIALIZED (\n{_SHARED_SQL[name][0]}\n)" for name in ordered)
+    # Expressions that only one place reads are inlined by the engine; the others are computed once.
+    def uses(name: str) -> int:
+        return (name in names) + sum(name in _SHARED_SQL[other][1] for other in ordered)
+
+    return ",\n".join(f"{name} AS {'MATERIALIZED ' if uses(name) > 1 or name in names else ''}(\n{_SHARED_SQL[name][0]}\n)" for name in ordered)
 
 
 def query(key: str, sql: str | None = None, uses: Iterable[str] = ()):

@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +46,10 @@ class DatasetMissing(FileNotFoundError):
     pass
 
 
+class DatasetInvalid(ValueError):
+    """The dataset exists and cannot be read."""
+
+
 def load(spark: SparkSession, dataset_id: str, root: str, datasets: Mapping[str, Dataset] = DATASETS, domain: str | None = None,
          start: dt.date | None = None, end: dt.date | None = None) -> DataFrame:
     """Read a catalogued dataset and apply the shared filters."""
@@ -54,20 +59,26 @@ def load(spark: SparkSession, dataset_id: str, root: str, datasets: Mapping[str,
     try:
         frame = spark.read.format(spec.format).load(f"{root.rstrip('/')}/{spec.path}")
     except AnalysisException as error:
-        raise DatasetMissing(f"dataset {dataset_id!r} is missing") from error
+        if error.getCondition() == "PATH_NOT_FOUND":
+            raise DatasetMissing(f"dataset {dataset_id!r} is missing") from error
+        raise DatasetInvalid(f"dataset {dataset_id!r} has no readable schema") from error
+    except Py4JJavaError as error:  # a broken file footer is not an analysis error
+        raise DatasetInvalid(f"dataset {dataset_id!r} cannot be read") from error
     return apply_filters(frame, domain, start, end)
 
 
-def load_or_none(spark: SparkSession, dataset_id: str, root: str, datasets: Mapping[str, Dataset] = DATASETS) -> DataFrame | None:
-    """For health checks: `None` where the dataset is missing."""
+def load_or_status(spark: SparkSession, dataset_id: str, root: str, datasets: Mapping[str, Dataset] = DATASETS) -> DataFrame | str:
+    """For health checks: MISSING or INVALID in place of a dataset that cannot be loaded."""
     try:
         return load(spark, dataset_id, root, datasets)
     except DatasetMissing:
-        return None
+        return "MISSING"
+    except DatasetInvalid:
+        return "INVALID"
 
 
 def catalog_health(spark: SparkSession, root: str, datasets: Mapping[str, Dataset] = DATASETS) -> DataFrame:
     """Health of every catalogued dataset."""
     from factweave.operators.quality import dataset_health
 
-    return dataset_health({d: load_or_none(spark, d, root, datasets) for d in datasets}, DATE_COLUMNS)
+    return dataset_health({d: load_or_status(spark, d, root, datasets) for d in datasets}, DATE_COLUMNS, spark)

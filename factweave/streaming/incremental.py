@@ -43,7 +43,9 @@ class MergeTarget:
             layout = layout.add(name, type_name)
         try:
             return spark.read.schema(layout).option("basePath", self.path(kind)).parquet(self.path(kind))
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":  # anything else must not look like an empty table
+                raise
             return spark.createDataFrame([], layout)
 
     def accepted(self, spark: SparkSession) -> DataFrame:
@@ -65,7 +67,9 @@ def merge_batch(target: MergeTarget, batch: DataFrame, batch_id: int, stream: st
         .agg(F.min(F.struct(*[c for c in names if c not in key])).alias("_row"), F.min(fields).alias("_lo"), F.max(fields).alias("_hi"))
     )
     earlier = target._stored(spark, "accepted").filter(~((F.col("stream") == stream) & (F.col("batch") == batch_id)))
-    # The stored side shrinks to the batch's partitions and keys before it is compared.
+    # The batch's partition values, a handful, prune the stored files; then the stored side shrinks to the batch's keys.
+    values = [r[0] for r in batch.select(target.partition.alias(PARTITION)).distinct().collect()]
+    earlier = earlier.filter(F.col(PARTITION).isin(values))
     touched = earlier.join(incoming.select(PARTITION, *key), [PARTITION, *key], "left_semi").select(PARTITION, *key, fields.alias("_stored"))
     judged = incoming.join(touched, [PARTITION, *key], "left").withColumn("_status", (
         F.when(~agree(F.col("_lo"), F.col("_hi")), F.lit("CONFLICT")).when(F.col("_stored").isNull(), F.lit("NEW"))
