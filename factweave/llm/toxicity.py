@@ -12,7 +12,7 @@ Training uses bounded samples, drawn by a hash of the id: about `positives` and
 `unlabelled` documents. Everything else covers all documents: each one is scored over its
 whole text where it lies, without a shuffle; the weights have a fixed size and are
 broadcast. Features are the words and their beginnings, so that inflected forms and words
-with attached signs are recognised.
+with attached signs are recognised, and whether these occur several times.
 
 Defined results: a null text is an empty text and scores by the bias alone; ids that are
 null never serve for training and count as held out; repeated rows are scored each; with
@@ -34,6 +34,7 @@ from factweave.llm.text import fold, read_table
 from factweave.session import stage
 
 PREFIXES = (3, 5, 7)  # characters
+OFTEN = 3
 
 
 @dataclass(frozen=True)
@@ -43,12 +44,12 @@ class PULearner:
     unlabelled: int = 24_000
     members: int = 3
     support: int = 4
-    deviations: float = 6.0
-    epochs: int = 20
+    deviations: float = 8.0
+    epochs: int = 150
     least_steps: int = 300
-    batch: int = 512
-    rate: float = 0.1
-    sparsity: float = 1e-4
+    batch: int = 2048
+    rate: float = 0.2
+    sparsity: float = 1e-5
     seed: int = 11
 
 
@@ -64,12 +65,28 @@ def features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), (np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _unique_features(texts: list[str], bits: int) -> list[np.ndarray]:
+def _often(feature: np.ndarray, bits: int) -> np.ndarray:
+    """The feature that stands for `feature` occurring OFTEN times or more."""
+    return (feature * 0x9E3779B1 + 0x7F4A7C15) & ((1 << bits) - 1)
+
+
+def _keyed(texts: list[str], bits: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Sorted (text << bits | feature), each once; of `wanted` features only."""
     keys = [np.zeros(0, dtype=np.int64)]
     for index, held in pieces(texts):
         doc, feature = features(held, bits)
-        keys.append(np.unique((np.array(index, dtype=np.int64)[doc] << bits) | feature))
-    key = np.unique(np.concatenate(keys))
+        if wanted is not None:
+            used = wanted[feature] | wanted[_often(feature, bits)]
+            doc, feature = doc[used], feature[used]
+        keys.append((np.array(index, dtype=np.int64)[doc] << bits) | feature)
+    key, count = np.unique(np.concatenate(keys), return_counts=True)
+    many = key[count >= OFTEN]
+    often = (many >> bits << bits) | _often(many & ((1 << bits) - 1), bits)
+    return np.unique(np.concatenate([key, often]))
+
+
+def _unique_features(texts: list[str], bits: int) -> list[np.ndarray]:
+    key = _keyed(texts, bits)
     return np.split(key & ((1 << bits) - 1), np.searchsorted(key, np.arange(1, len(texts)) << bits))
 
 
@@ -172,12 +189,8 @@ def scored(docs: DataFrame, weights: np.ndarray, doc_id: str = "doc_id", text: s
         w = shared.value
         total = np.full(len(texts), float(w[-1]))
         active = w[:-1] != 0
-        for index, held in pieces(texts.tolist()):
-            doc, feature = features(held, bits)
-            used = active[feature]
-            # Each feature counts once for a text; a text that was cut into pieces counts it once a piece.
-            key = np.unique((np.array(index, dtype=np.int64)[doc[used]] << bits) | feature[used])
-            total += np.bincount(key >> bits, w[key & ((1 << bits) - 1)], len(texts))
+        key = _keyed(texts.tolist(), bits, active)
+        total += np.bincount(key >> bits, w[key & ((1 << bits) - 1)], len(texts))
         return pd.Series(1 / (1 + np.exp(-np.clip(total, -40, 40))))
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), (fold(doc_id, 5) == 0).alias("held_out"), score(F.coalesce(F.col(text), F.lit(""))).alias("score"))
