@@ -52,32 +52,38 @@ def _document(doc_id: Column, text: Column) -> list[Column]:
 
 
 def parsed_lines(docs: DataFrame, doc_id: str, text: str, spec: LineDedup) -> DataFrame:
-    """d1, d2, id order `doc`, line number, words n, fixed words, leaf, template hash and span hashes of every line with words."""
+    """d1, d2, id order `doc`, line number, words n, fixed words, leaf, span hashes and template hash of every line with words."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = docs.select(*_document(F.col(doc_id), F.col(text)), F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id")).alias("doc"),
                         F.posexplode(F.split(body, "\n")).alias("line_no", "line"))
-    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", _VARIABLE, MASK)).otherwise(F.col("line"))
-    worded = lines.select("d1", "d2", "doc", "line_no", F.filter(F.split(masked, f"{_BLANK}+"), lambda w: w != "").alias("words")).filter(F.size("words") > 0)
+    bare = lines.select("d1", "d2", "doc", "line_no", F.btrim("line", F.lit(" \t\n\v\f\r")).alias("line")).filter("line <> ''")
+    variable = F.col("line").rlike("[0-9]")
+    masked = F.when(variable, F.regexp_replace("line", _VARIABLE, MASK)).otherwise(F.col("line"))
+    worded = bare.select("d1", "d2", "doc", "line_no", variable.alias("variable"), F.split(masked, f"{_BLANK}+").alias("words"))
     n = F.size("words")
     bound = lambda i: F.floor(n * i / F.lit(SPANS)).cast("int")
     spans = [F.xxhash64(F.slice("words", bound(i) + 1, bound(i + 1) - bound(i))) for i in range(SPANS)]
-    return worded.select(
-        "d1", "d2", "doc", "line_no", n.alias("n"), (n - F.size(F.filter("words", lambda w: w == MASK))).alias("fixed"),
-        F.xxhash64(n, F.slice("words", 1, spec.leading)).alias("leaf"), F.xxhash64("words").alias("t1"), F.xxhash64(F.lit(1), "words").alias("t2"),
-        F.array(*spans).alias("spans")).filter("fixed > 0")
+    hashed = worded.select(
+        "d1", "d2", "doc", "line_no", n.alias("n"), F.when(F.col("variable"), n - F.size(F.filter("words", lambda w: w == MASK))).otherwise(n).alias("fixed"),
+        F.xxhash64(n, F.slice("words", 1, spec.leading)).alias("leaf"), F.array(*spans).alias("spans"))
+    return hashed.withColumns({"t1": F.xxhash64("n", "spans"), "t2": F.xxhash64(F.lit(1), "spans", "n")})
+
+
+def busy_lines(lines: DataFrame, spec: LineDedup) -> DataFrame:
+    """Lines of leaves that enough lines reach: no template elsewhere can recur."""
+    busy = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= spec.min_documents).select("leaf")
+    return stage(lines.filter("fixed > 0").join(busy, "leaf", "left_semi"), "busy-lines")
 
 
 def templates(lines: DataFrame, spec: LineDedup) -> DataFrame:
-    """t1, t2 and first (document) for every masked line whose template recurs."""
-    once = lines.groupBy("t1", "t2", "d1", "d2").agg(*[F.min(c).alias(c) for c in ("doc", "leaf", "n", "fixed", "spans")])
+    """lines: of busy leaves. t1, t2 and first (document) for every masked line whose template recurs."""
+    once = lines.groupBy("t1", "t2", "d1", "d2").agg(*[F.any_value(c).alias(c) for c in ("doc", "leaf", "n", "fixed", "spans")])
+    at = F.struct("doc", "d1", "d2")
     exact = stage(once.groupBy("t1", "t2").agg(
-        F.count(F.lit(1)).alias("documents"), F.min(F.struct("doc", "d1", "d2")).alias("first"), F.max(F.struct("doc", "d1", "d2")).alias("last"),
-        *[F.min(c).alias(c) for c in ("leaf", "n", "fixed", "spans")]), "line-templates")
-    busy = exact.groupBy("leaf").agg(F.sum("documents").alias("d"), F.count(F.lit(1)).alias("k")).filter((F.col("d") >= spec.min_documents) & (F.col("k") > 1))
-    leaves = exact.filter(F.col("n") >= SPANS).join(busy.select("leaf"), "leaf")
-    # One key per span taken as the variable field; the masked words elsewhere must leave four fifths fixed.
+        F.count(F.lit(1)).alias("documents"), F.min(at).alias("first"), F.max(at).alias("last"), *[F.any_value(c).alias(c) for c in ("leaf", "n", "fixed", "spans")]), "line-templates")
+    # One key per span taken as the variable field; lines with masked words have theirs already.
     others = lambda i: F.filter("spans", lambda _, at: at != i)
-    keyed = leaves.filter(F.col("fixed") == F.col("n")).withColumn("span", F.explode(F.sequence(F.lit(0), F.lit(SPANS - 1)))).select(
+    keyed = exact.filter((F.col("fixed") == F.col("n")) & (F.col("n") >= SPANS)).withColumn("span", F.explode(F.sequence(F.lit(0), F.lit(SPANS - 1)))).select(
         "t1", "t2", "documents", "first", "last", "leaf", "span",
         F.xxhash64("leaf", "span", others(F.col("span"))).alias("w1"), F.xxhash64(F.lit(1), "span", others(F.col("span"))).alias("w2"))
     wild = keyed.groupBy("leaf", "span", "w1", "w2").agg(
@@ -91,8 +97,9 @@ def templates(lines: DataFrame, spec: LineDedup) -> DataFrame:
 
 def dropped_lines(lines: DataFrame, spec: LineDedup) -> DataFrame:
     """d1, d2 and the numbers and word count of the lines to drop, for every document that loses some."""
-    words = lines.groupBy("d1", "d2").agg(F.sum("n").alias("all_words"))
-    recurring = lines.join(templates(lines, spec), ["t1", "t2"])
+    words = lines.filter("fixed > 0").groupBy("d1", "d2").agg(F.sum("n").alias("all_words"))
+    busy = busy_lines(lines, spec)
+    recurring = busy.join(templates(busy, spec), ["t1", "t2"])
     marked = recurring.groupBy("d1", "d2").agg(
         F.sum("n").alias("recurring_words"),
         F.collect_set(F.when(F.col("first") != F.struct("doc", "d1", "d2"), F.col("line_no"))).alias("numbers"))
@@ -101,8 +108,8 @@ def dropped_lines(lines: DataFrame, spec: LineDedup) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spec: LineDedup = LineDedup()) -> DataFrame:
     """`row` (all columns of the document), the text without dropped lines, and lines_dropped."""
-    # Rows repeated in full count once per line number: their lines have equal keys.
-    lines = stage(parsed_lines(docs, doc_id, text, spec), "lines").distinct()
+    # Rows repeated in full have equal keys: they count as one document, and repeat all their words alike.
+    lines = stage(parsed_lines(docs, doc_id, text, spec), "lines")
     drops = dropped_lines(lines, spec)
     rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("body"), *_document(F.col(doc_id), F.col(text)))
     kept = F.filter(F.split("body", "\n"), lambda _, at: ~F.array_contains("numbers", at))
@@ -130,10 +137,10 @@ WITH split AS (
          list_concat(w[1:CAST(floor(n * span / 5) AS INT)], ['<field>'], w[CAST(floor(n * (span + 1) / 5) AS INT) + 1:n]) AS wild
   FROM exact, range(5) AS r(span) WHERE n >= 5 AND fixed = n
 ), templates AS (
-  SELECT lead, span, wild, min(first) AS first FROM keyed GROUP BY n, lead, span, wild
+  SELECT n, lead, span, wild, min(first) AS first FROM keyed GROUP BY n, lead, span, wild
   HAVING count(*) > 1 AND sum(documents) >= 3 AND min(first) <> max(last)
 ), generalised AS (
-  SELECT k.w, arg_min(t.first, k.span) AS first FROM keyed k JOIN templates t ON k.lead = t.lead AND k.span = t.span AND k.wild = t.wild WHERE k.documents < 3 GROUP BY k.w
+  SELECT k.w, arg_min(t.first, k.span) AS first FROM keyed k JOIN templates t ON k.n = t.n AND k.lead = t.lead AND k.span = t.span AND k.wild = t.wild WHERE k.documents < 3 GROUP BY k.w
 ), recurring AS (SELECT w, first FROM exact WHERE documents >= 3 UNION ALL SELECT w, first FROM generalised
 ), marked AS (
   SELECT doc_id, sum(n) AS words, list(line_no) FILTER (WHERE doc_id <> first) AS numbers FROM usable JOIN recurring USING (w) GROUP BY doc_id
