@@ -161,6 +161,24 @@ def product_rules(status: str = "status", available: str = "AVAILABLE") -> dict[
     }
 
 
+# --- fixed values: direction vocabulary of derived series -----------------------
+DIRECTION_VALUES = (
+    "rising", "falling", "unchanged", "accelerating", "decelerating", "appreciating_brl", "depreciating_brl", "expanding", "contracting",
+)
+
+
+def derived_series_rules() -> dict[str, Column]:
+    """Rows of a derived series: finite values, non-empty lineage, a flag and its value set together and from the vocabulary."""
+    filled = lambda c: F.coalesce(F.trim(F.col(c)) != "", F.lit(False))
+    return {
+        "key_present": F.col("metric_id").isNotNull() & F.col("reference_date").isNotNull(),
+        "value_finite": is_finite(F.col("value")),
+        "lineage_present": filled("source") & filled("source_metric_id") & filled("definition_context"),
+        "flag_complete": F.col("direction_flag_id").isNull() == F.col("direction_value").isNull(),
+        "direction_known": F.col("direction_value").isNull() | F.col("direction_value").isin(*DIRECTION_VALUES),
+    }
+
+
 # --- summaries -------------------------------------------------------------
 
 

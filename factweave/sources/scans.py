@@ -79,6 +79,44 @@ def scan_evidence(evidence: DataFrame, evidence_type: str | None = None, domain:
     return evidence
 
 
+# --- fixed values: classes that the classified tables may hold -----------------
+DIMENSIONS = ("POLITICAL", "ECONOMIC", "SOCIAL", "TECHNOLOGICAL", "ENVIRONMENTAL", "LEGAL")
+QUADRANTS = ("STRENGTH", "WEAKNESS", "OPPORTUNITY", "THREAT")
+SCOPES = ("INTERNAL", "EXTERNAL")
+PRODUCT_TYPES = ("HYPOTHESIS", "QUESTION_FOR_PRODUCT_DISCOVERY")
+
+
+def _known(name: str, value: str | None, allowed: Sequence[str]) -> None:
+    if value is not None and value not in allowed:
+        raise ValueError(f"unknown {name} {value!r}")
+
+
+def scan_dimensions(rows: DataFrame, dimension: str | None = None, source_evidence_id: str | None = None, **filters) -> DataFrame:
+    """Six-dimension rows; an unknown dimension is refused before anything is read."""
+    _known("dimension", dimension, DIMENSIONS)
+    return scan_evidence(rows, equals={"pestel_dimension": dimension}, members=_members(source_evidence_ids=source_evidence_id), **filters)
+
+
+def scan_quadrants(rows: DataFrame, category: str | None = None, scope: str | None = None, source_evidence_id: str | None = None,
+                   source_pestel_id: str | None = None, **filters) -> DataFrame:
+    """Quadrant rows; unknown categories and scopes are refused before anything is read."""
+    _known("category", category, QUADRANTS)
+    _known("scope", scope, SCOPES)
+    return scan_evidence(rows, equals={"swot_category": category, "scope": scope},
+                         members=_members(source_evidence_ids=source_evidence_id, source_pestel_ids=source_pestel_id), **filters)
+
+
+def scan_products(rows: DataFrame, kind: str | None = None, source_evidence_id: str | None = None, source_hypothesis_id: str | None = None, **filters) -> DataFrame:
+    """Hypotheses and questions; an unknown kind is refused before anything is read."""
+    _known("kind", kind, PRODUCT_TYPES)
+    return scan_evidence(rows, equals={"product_evidence_type": kind},
+                         members=_members(source_evidence_ids=source_evidence_id, source_hypothesis_ids=source_hypothesis_id), **filters)
+
+
+def _members(**ids: str | None) -> dict[str, str]:
+    return {column: value for column, value in ids.items() if value is not None}
+
+
 def scan_interpretations(evidence: DataFrame, **filters) -> DataFrame:
     return scan_evidence(evidence, evidence_type="INTERPRETATION", **filters)
 

@@ -80,3 +80,41 @@ def test_manifest_and_dictionary_checks(spark):
 def test_legacy_series_id(spark):
     old = spark.createDataFrame([(432, 1.0)], "series_code int, value double")
     assert scans.upgrade_legacy_series(old, "bcb_sgs").first().source_series_id == "bcb_sgs:432"
+
+
+def test_merged_versions_are_replay_safe(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, v double")
+    root = str(tmp_path / "table")
+    first = sinks.merge_version(rows((1, 1.0), (2, None)), root, ["k"], ["v"])
+    again = sinks.merge_version(rows((2, None)), root, ["k"], ["v"])
+    second = sinks.merge_version(rows((2, None), (3, 3.0), (3, 3.0)), root, ["k"], ["v"])
+    assert [(s.version, s.written) for s in (first, again, second)] == [(1, True), (1, False), (2, True)]
+    with pytest.raises(Q.ContractViolation):
+        sinks.merge_version(rows((1, 9.0), (4, 4.0)), root, ["k"], ["v"])
+    assert sinks.latest_version(spark, root) == 2
+    assert sorted((r.k, r.v) for r in spark.read.parquet(second.path).collect() if r.v is not None) == [(1, 1.0), (3, 3.0)]
+
+
+def test_unreadable_datasets_are_invalid_not_missing(spark, tmp_path):
+    datasets = {d: catalog.Dataset(d, "Silver", (), d) for d in ("none", "empty", "broken")}
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_bytes(b"PAR1 not parquet")
+    found = {r.dataset_id: r.status for r in catalog.catalog_health(spark, str(tmp_path), datasets).collect()}
+    assert found == {"none": "MISSING", "empty": "INVALID", "broken": "INVALID"}
+
+
+def test_classified_scans_refuse_unknown_classes(spark):
+    rows = spark.createDataFrame([("ECONOMIC", ["m"], ["e"])], "pestel_dimension string, source_metric_ids array<string>, source_evidence_ids array<string>")
+    assert scans.scan_dimensions(rows, "ECONOMIC", source_evidence_id="e", metric="m").count() == 1
+    for scan, name in ((scans.scan_dimensions, "dimension"), (scans.scan_quadrants, "category"), (scans.scan_quadrants, "scope"), (scans.scan_products, "kind")):
+        with pytest.raises(ValueError):
+            scan(rows, **{name: "OTHER"})
+
+
+def test_a_broken_stored_schema_stops_the_streaming_merge(spark, tmp_path):
+    target = MergeTarget(str(tmp_path), StructType.fromDDL("k int, v double"), ["k"], ["v"])
+    assert target.accepted(spark).count() == 0
+    (tmp_path / "accepted").write_text("a file where a folder belongs")
+    with pytest.raises(Exception):  # not an empty table
+        target.accepted(spark).collect()
