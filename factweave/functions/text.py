@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import html
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
 
-# --- fixed values: entities decoded without Python -----------------------------
-COMMON_ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&reg;": "®",
-    "&trade;": "™", "&middot;": "·", "&bull;": "•", "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&lsquo;": "‘", "&rsquo;": "’",
-    "&ldquo;": "“", "&rdquo;": "”", "&euro;": "€", "&pound;": "£",
-}
 _COMMENT = r"(?s)<!--.*?-->"
 _SILENT = r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>"
 # A tag ends at the first > outside a quoted attribute value.
@@ -23,9 +15,53 @@ _TAG = r"""<[a-zA-Z/!?][^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+'|)[^>=]*+)*+>"""
 _BLANKS = r"(?U)\s+"
 
 
-@F.pandas_udf(StringType())
-def _unescape(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+# --- fixed values: numeric references that stand for another character ----------
+_REPLACED = {
+    0x00: "\ufffd", 0x0D: "\r", 0x80: "\u20ac", 0x81: "\x81", 0x82: "\u201a", 0x83: "\u0192", 0x84: "\u201e", 0x85: "\u2026", 0x86: "\u2020", 0x87: "\u2021",
+    0x88: "\u02c6", 0x89: "\u2030", 0x8A: "\u0160", 0x8B: "\u2039", 0x8C: "\u0152", 0x8D: "\x8d", 0x8E: "\u017d", 0x8F: "\x8f", 0x90: "\x90", 0x91: "\u2018",
+    0x92: "\u2019", 0x93: "\u201c", 0x94: "\u201d", 0x95: "\u2022", 0x96: "\u2013", 0x97: "\u2014", 0x98: "\u02dc", 0x99: "\u2122", 0x9A: "\u0161",
+    0x9B: "\u203a", 0x9C: "\u0153", 0x9D: "\x9d", 0x9E: "\u017e", 0x9F: "\u0178",
+}
+# Code points that a reference may not name: control characters and non-characters.
+_BARRED = [(0x1, 0x8), (0xB, 0xB), (0xE, 0x1F), (0x7F, 0x9F), (0xFDD0, 0xFDEF), *[(p << 16 | 0xFFFE, p << 16 | 0xFFFF) for p in range(17)]]
+
+
+def _numbered(code: Column) -> Column:
+    """Character of a code point as HTML reads it."""
+    replaced = F.try_element_at(F.create_map(*[x for k, v in _REPLACED.items() for x in (F.lit(k).cast("long"), F.lit(v))]), code)
+    barred = reduce(lambda a, b: a | b, [code.between(low, high) for low, high in _BARRED])
+    outside = code.between(0xD800, 0xDFFF) | (code > 0x10FFFF)
+    character = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return F.coalesce(replaced, F.when(outside, F.lit("\ufffd")).when(barred, F.lit("")).otherwise(character))
+
+
+def unescaped(text: Column) -> Column:
+    """Text with its character references decoded: numbers, and the named references of HTML 5.
+
+    A name without its semicolon is read as far as a name is known that may go without one.
+    """
+    # One literal: a map of some thousand literals would cost more to plan than to use.
+    table = F.str_to_map(F.lit("\x01".join(f"{name}\x02{value}" for name, value in html5.items())), F.lit("\x01"), F.lit("\x02"))
+    loose = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+
+    def decoded(part: Column) -> Column:
+        """A part of the text that stood after an ampersand."""
+        digits, hexadecimal = F.regexp_extract(part, "^#([0-9]+)", 1), F.regexp_extract(part, "^#[xX]([0-9a-fA-F]+)", 1)
+        numeric = F.regexp_extract(part, "^(?:#[0-9]+|#[xX][0-9a-fA-F]+);?", 0)
+        # More than nine figures lie beyond all code points, leading zeros aside.
+        tail = lambda c, keep: F.regexp_replace(c, "^0+(?=.)", "").substr(F.lit(1), F.lit(keep))
+        code = F.when(digits != "", tail(digits, 9).try_cast("long")).otherwise(F.conv(tail(hexadecimal, 9), 16, 10).try_cast("long"))
+        name = F.regexp_extract(part, r"^[^\t\n\f <&#;]{1,32};?", 0)
+        exact = F.try_element_at(table, name)
+        short = F.regexp_extract(part, f"^(?:{loose})", 0)
+        rest = lambda head: F.substring(part, F.length(head) + 1, F.length(part))
+        return (
+            F.when(numeric != "", F.concat(_numbered(code), rest(numeric))).when(exact.isNotNull(), F.concat(exact, rest(name)))
+            .when((short != "") & (name != ""), F.concat(F.try_element_at(table, short), rest(short))).otherwise(F.concat(F.lit("&"), part)))
+
+    parts = F.split(text, "&")
+    later = F.transform(F.slice(parts, 2, F.size(parts)), decoded)
+    return F.when(F.contains(text, F.lit("&")), F.concat(parts[0], F.array_join(later, ""))).otherwise(text)
 
 
 def collapse_blanks(c: Column) -> Column:
@@ -35,25 +71,14 @@ def collapse_blanks(c: Column) -> Column:
 def with_html_text(df: DataFrame, content: str, output: str = "text") -> DataFrame:
     """Add the visible text of an HTML document, entities decoded, blanks collapsed.
 
-    Markup is removed by regular expressions in the JVM and the common entities by
-    plain replacement. Only text that holds other character references reaches the
-    vectorised decoder; all other rows pass it a null. The stripped text is a column of
-    its own so that it is computed once.
+    Markup is removed by regular expressions and references are decoded by built-in
+    functions, all in the JVM. The stripped text is a column of its own so that it is
+    computed once.
     """
     html_column = F.col(content)
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(html_column, _COMMENT, " "), _SILENT, " "), _TAG, " ")
     stripped = df.withColumn("_bare", bare)
-    text = F.col("_bare")
-    escaped = F.contains(text, F.lit("&"))
-    known = "|".join(["&amp;", *COMMON_ENTITIES])
-    rare = escaped & F.regexp_replace(text, known, " ").rlike("&(#|[a-zA-Z])")
-    unescaped = stripped.withColumn("_rare", _unescape(F.when(rare, text)))
-    decoded = text
-    for entity, character in COMMON_ENTITIES.items():
-        decoded = F.replace(decoded, F.lit(entity), F.lit(character))
-    decoded = F.replace(decoded, F.lit("&amp;"), F.lit("&"))
-    final = F.when(~escaped, text).when(F.col("_rare").isNotNull(), F.col("_rare")).otherwise(decoded)
-    return unescaped.withColumn("_final", final).withColumn(output, collapse_blanks(F.col("_final"))).drop("_bare", "_rare", "_final")
+    return stripped.withColumn("_plain", unescaped(F.col("_bare"))).withColumn(output, collapse_blanks(F.col("_plain"))).drop("_bare", "_plain")
 
 
 def sentences(text: Column) -> Column:
