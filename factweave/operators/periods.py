@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factweave.functions.dates import calendar_signature, month_day, month_index
 from factweave.functions.numbers import is_finite
-from factweave.operators.quality import duplicate_keys, split_unique
+from factweave.operators.quality import duplicate_keys, require_empty, split_unique
 
 PERIOD_KEY = ["period_start", "period_end", "reference_year", "period_type", "period_label"]
 YOY_FORMULA = "(current_value / previous_year_value - 1) * 100"
@@ -24,13 +24,16 @@ METHODOLOGY_VERSION = "1"
 
 
 def with_prior(df: DataFrame, keys: Sequence[str], step: Column, back: int, columns: Sequence[str], unique: bool,
-               keep_unpaired: bool = False) -> DataFrame:
+               keep_unpaired: bool = False, strict: bool = False) -> DataFrame:
     """Attach `prior_<column>` from exactly `back` steps earlier; rows without one leave.
 
-    Keys occupied twice at either step are ambiguous and leave as well. With
-    `keep_unpaired` all rows stay and `paired` tells them apart.
+    Keys occupied twice at either step are ambiguous and leave as well, or with `strict`
+    stop the whole comparison. With `keep_unpaired` all rows stay and `paired` tells them
+    apart.
     """
     rows = df.withColumn("_step", step)
+    if strict:
+        require_empty(duplicate_keys(rows, [*keys, "_step"]), "periods that occur twice")
     if not unique:
         rows = split_unique(rows, [*keys, "_step"])
     order = Window.partitionBy(*keys).orderBy("_step")
@@ -79,7 +82,7 @@ def ambiguous_periods(facts: DataFrame, keys: Sequence[str] = ("entity",), famil
 
 def paired_years(facts: DataFrame, keys: Sequence[str] = ("entity",), metrics: Sequence[str] | None = None,
                  families: Mapping[str, Mapping[str, str]] | None = None, period_types: Sequence[str] | None = None,
-                 carry: Sequence[str] = (), unique: bool = False, keep_unpaired: bool = False) -> DataFrame:
+                 carry: Sequence[str] = (), unique: bool = False, keep_unpaired: bool = False, strict: bool = False) -> DataFrame:
     """Every period with the same-shaped period of the year before.
 
     The year is that of `period_end`. With `families`, definition versions of
@@ -91,14 +94,14 @@ def paired_years(facts: DataFrame, keys: Sequence[str] = ("entity",), metrics: S
         facts = facts.filter(F.col("period_type").isin(*period_types))
     shaped, partition = _shape(facts, keys, families)
     columns = ["value", *carry] + (["definition_version"] if families is not None else [])
-    return with_prior(shaped, partition, F.year("period_end"), 1, columns, unique, keep_unpaired).drop("_signature", "_family")
+    return with_prior(shaped, partition, F.year("period_end"), 1, columns, unique, keep_unpaired, strict).drop("_signature", "_family")
 
 
 def yoy_growth(facts: DataFrame, keys: Sequence[str] = ("entity",), metrics: Sequence[str] | None = None,
                families: Mapping[str, Mapping[str, str]] | None = None,
-               period_types: Sequence[str] | None = ("QUARTER", "YTD", "FY"), unique: bool = False) -> DataFrame:
-    """Year-over-year growth in percent on a positive base."""
-    paired = paired_years(facts, keys, metrics, families, period_types, unique=unique)
+               period_types: Sequence[str] | None = ("QUARTER", "YTD", "FY"), unique: bool = False, strict: bool = False) -> DataFrame:
+    """Year-over-year growth in percent on a positive base; `strict` refuses ambiguous periods."""
+    paired = paired_years(facts, keys, metrics, families, period_types, unique=unique, strict=strict)
     base = F.col("prior_value")
     paired = paired.filter(~F.isnan(base) & (base > 0))
     return derived(
@@ -180,12 +183,14 @@ def zero_base_months(series: DataFrame, keys: Sequence[str] = ("entity", "metric
     return paired.filter(F.col("prior_value") == 0).select(*keys, "reference_date", "prior_reference_date")
 
 
-def previous_observation_change(series: DataFrame, keys: Sequence[str] = ("entity", "metric_id"), carry: Sequence[str] = ()) -> DataFrame:
+def previous_observation_change(series: DataFrame, keys: Sequence[str] = ("entity", "metric_id"), carry: Sequence[str] = (), strict: bool = False) -> DataFrame:
     """Difference to the previous published observation, whatever the gap.
 
-    The one operator where `lag` is right. A series has one row per date. Columns in
-    `carry` come along with their previous value.
+    The one operator where `lag` is right. A series has one row per date; `strict` checks
+    that and refuses repeated dates. Columns in `carry` come along with their previous value.
     """
+    if strict:
+        require_empty(duplicate_keys(series, [*keys, "reference_date"]), "dates that occur twice")
     order = Window.partitionBy(*keys).orderBy("reference_date")
     return (
         series.select(*keys, "reference_date", "value", *carry,

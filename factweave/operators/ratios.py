@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factweave.operators.periods import PERIOD_KEY, derived, yoy_growth
+from factweave.operators.quality import require_empty
 
 
 def pivot_metrics(facts: DataFrame, metrics: Sequence[str], keys: Sequence[str] = ("entity",), carry: Sequence[str] = ()) -> DataFrame:
@@ -33,8 +34,10 @@ def all_once(metrics: Sequence[str]) -> Column:
 
 
 def exact_period_join(facts: DataFrame, left: str, right: str, keys: Sequence[str] = ("entity",),
-                      carry: Sequence[str] = ("definition_version",)) -> DataFrame:
-    """Two metrics on the same exact period, null-safe; duplicated periods leave."""
+                      carry: Sequence[str] = ("definition_version",), strict: bool = False) -> DataFrame:
+    """Two metrics on the same exact period, null-safe; duplicated periods leave, or with `strict` stop the join."""
+    if strict:
+        require_empty(duplicate_periods(facts, [left, right], keys), "periods reported twice")
     wide = pivot_metrics(facts, [left, right], keys, carry).filter(all_once([left, right]))
     return wide.select(
         *keys, *PERIOD_KEY, F.col(left).alias("left_value"), F.col(right).alias("right_value"),

@@ -297,6 +297,16 @@ def test_fixed_product_texts_pass_their_own_rules(spark):
     assert rows(E.product_violations(df), "violations") == [(["wording_allowed"],)]
 
 
+def test_strict_comparisons_refuse_ambiguous_rows(spark):
+    facts = spark.createDataFrame([quarter("gmv", 2020, 10.0), quarter("gmv", 2021, 20.0), quarter("gmv", 2021, 21.0), quarter("tpv", 2021, 1.0)], FACT)
+    series = spark.createDataFrame([("e", "m", D(2020, 1, 31), 1.0), ("e", "m", D(2020, 1, 31), 2.0)], "entity string, metric_id string, reference_date date, value double")
+    assert P.yoy_growth(facts).isEmpty()
+    for strict in (lambda: P.yoy_growth(facts, strict=True), lambda: R.exact_period_join(facts, "gmv", "tpv", strict=True), lambda: P.previous_observation_change(series, strict=True)):
+        with pytest.raises(Q.ContractViolation):
+            strict()
+    assert not P.yoy_growth(facts.filter("value <> 21.0"), strict=True).isEmpty()
+
+
 # --- plans --------------------------------------------------------------------------------
 
 
