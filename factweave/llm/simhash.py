@@ -17,8 +17,11 @@ over the whole table.
 
 Whole documents that are near copies by word shingles (near_copies) lie farther apart than
 a few bits, so their shards are keyed by the smallest shingle hashes of the text instead of
-blocks of bits, and a pair found by the trees must also agree in a fingerprint sixteen times as
-wide, which tells a similarity of 0.8 from less.
+blocks of bits. Trees and a fingerprint sixteen times as wide only propose pairs, with radii
+that lose next to none; a pair is linked if the exact Jaccard similarity of its two sets of
+distinct shingle hashes is 0.8 or more. Pairs are confirmed in two rounds, so that a large
+group does not confirm all its pairs: first a spanning forest of each cell's proposed pairs,
+nearest first, then every proposed pair whose ends the first round left apart.
 
 Defined results: a null text is an empty text; a text without words has fingerprint zero;
 texts shorter than a shingle count as one shingle; shingles repeat as often as they occur;
@@ -47,6 +50,8 @@ BITS = 64
 _FRONTIER = 500_000
 _SHINGLES = 65_536
 _PAIRS = 20_000
+_HELD_PAIRS = 500_000
+_HASHES = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -59,13 +64,14 @@ class SimHash:
 
 @dataclass(frozen=True)
 class NearCopies(SimHash):
-    """At a similarity of 0.8 a bit differs with probability 0.1515; the radii add two and a half and one and a half standard deviations."""
+    """`similarity` decides. At 0.8 a bit differs with probability 0.1515 for long texts and at most 0.1875 (four shingles of five); the radii add four standard deviations to the latter."""
 
     words: int = 5
-    radius: int = 17
+    radius: int = 25
     wide_words: int = 16
-    wide_radius: int = 173
+    wide_radius: int = 242
     sketch: int = 8
+    similarity: float = 0.8
 
 
 def fingerprint_of(text: bytes, words: int, seed: int) -> int:
@@ -182,25 +188,9 @@ def _cells(routed: DataFrame, spec: SimHash) -> DataFrame:
     )
 
 
-def _link_cells(spec: SimHash):
-    """Whole cells of sorted rows to a spanning forest of the links in each."""
+def _by_cell(solve):
+    """Sorted rows to what `solve` makes of whole cells."""
     names = ["block", "value", "i", "j"]
-    wide = isinstance(spec, NearCopies)
-
-    def solve(rows: pd.DataFrame, cell: np.ndarray) -> pd.DataFrame:
-        fp, node = rows["fp"].to_numpy().view(np.uint64), rows["node"].to_numpy()
-        tree, query = np.flatnonzero(rows["tree"].to_numpy()), np.flatnonzero(rows["query"].to_numpy())
-        long = np.frombuffer(b"".join(rows["wide"]), dtype=np.uint64).reshape(len(rows), -1) if wide else None
-        forest, trees = Forest(len(rows)), BKForest(cell[tree], fp[tree])
-        for q, n in trees.search(cell[query], fp[query], spec.radius):
-            a, b = query[q], tree[n]
-            if wide:
-                near = np.concatenate([
-                    np.bitwise_count(long[a[i:i + _PAIRS]] ^ long[b[i:i + _PAIRS]]).sum(axis=1, dtype=np.int64) for i in range(0, len(a), _PAIRS)]) <= spec.wide_radius
-                a, b = a[near], b[near]
-            forest.link(a, b)
-        below = np.flatnonzero(forest.root != np.arange(len(rows)))
-        return pd.DataFrame({"a": node[below], "b": node[forest.root[below]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -210,17 +200,135 @@ def _link_cells(spec: SimHash):
             edge = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
             if len(edge):  # all but the last cell are complete
                 last = edge[-1]
-                yield solve(held[:last], np.searchsorted(edge, np.arange(last), "right"))
+                yield from solve(held[:last], np.searchsorted(edge, np.arange(last), "right"))
                 held = held[last:].reset_index(drop=True)
         if held is not None and len(held):
-            yield solve(held, np.zeros(len(held), dtype=np.int64))
+            yield from solve(held, np.zeros(len(held), dtype=np.int64))
 
     return run
 
 
-def _forests(routed: DataFrame, spec: SimHash) -> DataFrame:
+def _found(rows: pd.DataFrame, cell: np.ndarray, spec: SimHash) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that the cells' trees find, in pieces of bounded size."""
+    fp = rows["fp"].to_numpy().view(np.uint64)
+    tree, query = np.flatnonzero(rows["tree"].to_numpy()), np.flatnonzero(rows["query"].to_numpy())
+    for q, n in BKForest(cell[tree], fp[tree]).search(cell[query], fp[query], spec.radius):
+        yield query[q], tree[n]
+
+
+def _link_cells(spec: SimHash):
+    """Whole cells of sorted rows to a spanning forest of the links in each."""
+    def solve(rows: pd.DataFrame, cell: np.ndarray) -> Iterator[pd.DataFrame]:
+        node, forest = rows["node"].to_numpy(), Forest(len(rows))
+        for a, b in _found(rows, cell, spec):
+            forest.link(a, b)
+        below = np.flatnonzero(forest.root != np.arange(len(rows)))
+        yield pd.DataFrame({"a": node[below], "b": node[forest.root[below]]})
+
+    return _by_cell(solve)
+
+
+def _nearest_forest(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Places of the pairs of a spanning forest of least distances d among n rows."""
+    forest, kept = Forest(n), []
+    left = np.argsort(d, kind="stable")
+    while True:
+        ra, rb = forest.root[a[left]], forest.root[b[left]]
+        apart = ra != rb
+        left, ra, rb = left[apart], ra[apart], rb[apart]
+        if not len(left):
+            return np.concatenate(kept) if kept else left
+        best = np.full(n, len(left))
+        np.minimum.at(best, ra, np.arange(len(left)))
+        np.minimum.at(best, rb, np.arange(len(left)))
+        chosen = left[np.unique(best[best < len(left)])]
+        kept.append(chosen)
+        forest.link(a[chosen], b[chosen])
+
+
+def _proposed(rows: pd.DataFrame, cell: np.ndarray, spec: NearCopies) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows, once each, that may be similar enough, and their distance by the wide fingerprint."""
+    node, size = rows["node"].to_numpy(), rows["size"].to_numpy()
+    both = rows["tree"].to_numpy() & rows["query"].to_numpy()
+    wide = np.frombuffer(b"".join(rows["wide"]), dtype=np.uint64).reshape(len(rows), -1)
+    for a, b in _found(rows, cell, spec):
+        able = ((node[a] > node[b]) | ~both[a]) & (np.minimum(size[a], size[b]) >= spec.similarity * np.maximum(size[a], size[b]))
+        a, b = a[able], b[able]
+        for at in range(0, len(a), _PAIRS):
+            x, y = a[at:at + _PAIRS], b[at:at + _PAIRS]
+            d = np.bitwise_count(wide[x] ^ wide[y]).sum(axis=1, dtype=np.int64)
+            near = d <= spec.wide_radius
+            if near.any():
+                yield x[near], y[near], d[near]
+
+
+def _nearest_pairs(spec: NearCopies):
+    """Whole cells of sorted rows to a spanning forest of the proposed pairs in each, nearest first."""
+    def solve(rows: pd.DataFrame, cell: np.ndarray) -> Iterator[pd.DataFrame]:
+        node, held, n = rows["node"].to_numpy(), [], 0
+
+        def least() -> list[np.ndarray]:
+            pairs = [np.concatenate(x) for x in zip(*held)]
+            kept = _nearest_forest(len(rows), *pairs)
+            return [x[kept] for x in pairs]
+
+        for found in _proposed(rows, cell, spec):
+            held.append(found)
+            n += len(found[0])
+            if n > _HELD_PAIRS + len(rows):
+                held = [least()]
+                n = len(held[0][0])
+        if held:
+            a, b, _ = least()
+            yield pd.DataFrame({"a": np.maximum(node[a], node[b]), "b": np.minimum(node[a], node[b])})
+
+    return _by_cell(solve)
+
+
+def _pairs_apart(spec: NearCopies):
+    """Whole cells of sorted rows to all proposed pairs in each whose roots differ."""
+    def solve(rows: pd.DataFrame, cell: np.ndarray) -> Iterator[pd.DataFrame]:
+        node, root = rows["node"].to_numpy(), rows["root"].to_numpy()
+        for a, b, _ in _proposed(rows, cell, spec):
+            apart = root[a] != root[b]
+            a, b = a[apart], b[apart]
+            if len(a):
+                yield pd.DataFrame({"a": np.maximum(node[a], node[b]), "b": np.minimum(node[a], node[b])})
+
+    return _by_cell(solve)
+
+
+def _forests(routed: DataFrame, spec: SimHash, run=_link_cells) -> DataFrame:
     cells = _cells(routed, spec).repartition("block", "value", "i", "j").sortWithinPartitions("block", "value", "i", "j")
-    return cells.mapInPandas(_link_cells(spec), "a long, b long")
+    return cells.mapInPandas(run(spec), "a long, b long")
+
+
+def shingle_sets(texts: DataFrame, spec: NearCopies) -> DataFrame:
+    """texts: node, text (binary). Returns node and its distinct shingle hashes, in pieces of bounded size."""
+    words, seed = spec.words, spec.seed
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            nodes, sets, n = [], [], 0
+            for node, text in zip(batch["node"], batch["text"]):
+                nodes.append(node)
+                sets.append(_shingle_hashes(text, words, seed).view(np.int64))
+                n += len(sets[-1])
+                if n > _HASHES:
+                    yield pd.DataFrame({"node": nodes, "hashes": sets})
+                    nodes, sets, n = [], [], 0
+            if nodes:
+                yield pd.DataFrame({"node": nodes, "hashes": sets})
+
+    return texts.mapInPandas(run, "node long, hashes array<long>")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, spec: NearCopies) -> DataFrame:
+    """The pairs a, b whose sets (node, hashes) have the Jaccard similarity asked for, exactly."""
+    of = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"of_{name}"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    counted = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", both.alias("both"), (F.size("of_a") + F.size("of_b")).alias("all"))
+    return counted.filter(F.col("both") >= F.lit(float(spec.similarity)) * (F.col("all") - F.col("both"))).select("a", "b")
 
 
 def near_fingerprints(distinct: DataFrame, spec: SimHash = SimHash()) -> DataFrame:
@@ -246,23 +354,36 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spe
     """
     words, seed, sketch, width = spec.words, spec.seed, spec.sketch, spec.wide_words
 
-    @F.pandas_udf("fp long, wide binary, sketch array<long>")
+    @F.pandas_udf("fp long, wide binary, sketch array<long>, size int, digest binary")
     def prints_of(texts: pd.Series) -> pd.DataFrame:
-        wide, low = [], []
+        wide, low, size, digest = [], [], [], []
         for t in texts:
             h = _shingle_hashes(t, words, seed)
             wide.append(wide_fingerprint(h, width))
             low.append(h[:sketch].view(np.int64))
-        return pd.DataFrame({"fp": [int(w[0].view(np.int64)) for w in wide], "wide": [w.tobytes() for w in wide], "sketch": low})
+            size.append(len(h))
+            digest.append(xxhash.xxh128_digest(h.tobytes()))
+        return pd.DataFrame({"fp": [int(w[0].view(np.int64)) for w in wide], "wide": [w.tobytes() for w in wide], "sketch": low, "size": size, "digest": digest})
 
     rows = in_place(docs)
+    body = F.coalesce(F.col("row").getField(text), F.lit("")).cast("binary")
     order = F.struct(F.col("row").getField(doc_id).isNull().alias("no_id"), F.col("row").getField(doc_id).alias("id"), "place")
-    prints = stage(rows.select(order.alias("at"), prints_of(F.coalesce(F.col("row").getField(text), F.lit("")).cast("binary")).alias("p")).select("at", "p.*"), "near-prints")
-    # Equal texts have equal prints; the sketch rarely tells more.
-    distinct = stage(prints.groupBy("fp", "wide", "sketch").agg(F.min("at").alias("least")).withColumn("node", F.monotonically_increasing_id()), "near-distinct")
-    routed = distinct.select("fp", "wide", "node", F.lit(0).alias("block"), F.explode("sketch").alias("value"))
-    roots = components(_forests(routed, spec), "near-links")
-    placed = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    prints = stage(rows.select(order.alias("at"), prints_of(body).alias("p")).select("at", "p.*"), "near-prints")
+    # Equal sets have equal digests.
+    distinct = stage(prints.groupBy("digest").agg(F.min("at").alias("least"), *[F.any_value(c).alias(c) for c in ("fp", "wide", "sketch", "size")])
+                     .drop("digest").withColumn("node", F.monotonically_increasing_id()), "near-distinct")
+    routed = lambda nodes: nodes.withColumn("value", F.explode("sketch")).withColumn("block", F.lit(0)).drop("sketch", "least")
+    nearest = stage(_forests(routed(distinct), spec, _nearest_pairs).distinct(), "near-pairs")
+    paired = nearest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    open_ = distinct.join(paired, "node", "left_semi")
+    wanted = open_.select("node", F.col("least.place").alias("place"))
+    sets = stage(shingle_sets(rows.select("place", body.alias("text")).join(wanted, "place").select("node", "text"), spec), "near-sets")
+    links = stage(confirmed(nearest, sets, spec), "near-confirmed")
+    rooted = open_.join(components(links, "near-links"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # What the first round left apart.
+    apart = _forests(routed(rooted), spec, _pairs_apart).distinct().join(nearest, ["a", "b"], "left_anti")
+    links = links.union(confirmed(apart, sets, spec))
+    placed = distinct.join(components(links, "near-links"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Documents that stay: the first of each component.
     first = placed.groupBy("root").agg(F.min("least").alias("at")).select(F.col("at.place").alias("place"), F.lit(True).alias("stays"))
     return rows.join(first, "place", "left").select("row", "place", F.coalesce("stays", F.lit(False)).alias("stays"))

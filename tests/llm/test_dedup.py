@@ -151,6 +151,22 @@ def test_near_copies_keep_one_document_of_each_group(spark):
     assert sorted(r["row"].i for r in got if r.stays) == [g * 10 for g in range(12)] and len(got) == len(rows)
 
 
+def test_near_copies_are_decided_by_their_exact_similarity(spark):
+    rng = random.Random(11)
+    rows, want = [], set()
+    for g in range(150):
+        n = rng.choice([8, 40, 300])  # shingles; a changed head and tail leaves the middle ones shared
+        part = round(n * rng.choice([0.74, 0.78, 0.8, 0.82]) * 2 / (1 + 0.8))
+        new = lambda k: ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(k)]
+        middle = new(part + 4)
+        for k in range(2):
+            rows.append((2 * g + k, " ".join(middle + new(n - part))))
+        a, b = ({" ".join(w[i:i + 5]) for i in range(len(w) - 4)} for w in (rows[-2][1].split(), rows[-1][1].split()))
+        want |= {2 * g} if 5 * len(a & b) >= 4 * len(a | b) else {2 * g, 2 * g + 1}
+    got = simhash.near_copies(spark.createDataFrame(rows, "i long, t string"), "i", "t").collect()
+    assert {r["row"].i for r in got if r.stays} == want and 150 < len(want) < 300
+
+
 def test_near_copies_of_awkward_rows(spark):
     docs = awkward.documents(spark)
     got = simhash.near_copies(docs).collect()
