@@ -5,7 +5,8 @@ written as Parquet and read again as the next stage's documents. All stages but
 return the columns of `documents`.
 
 - quality: documents scored below 0.3 by the factorisation machine go.
-- line_dedup: recurring lines go from the texts of all documents but their first; n_chars follows.
+- line_dedup: recurring lines go from the texts of all documents but their first, unless only copies of one document hold
+  them; n_chars follows.
 - near_dedup: one document of each group of near copies (five-word shingles, similarity 0.8) stays.
 - mix: documents are drawn towards their source's target, some repeatedly, some not at all.
 - tokens: per row its ids' number and digest and the digest of the decoded text.
@@ -32,7 +33,7 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = line_dedup.dedup_lines(docs)
+    clean = line_dedup.dedup_lines(docs, spec=line_dedup.LineDedup(by_template=True))
     length = F.when(F.col("lines_dropped") > 0, F.length("clean").cast("long")).otherwise(F.col("row.n_chars"))
     put = {"text": F.col("clean"), "n_chars": length}
     return clean.select(*[put.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

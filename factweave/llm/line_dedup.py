@@ -7,6 +7,9 @@ five equal spans, the variable field; either way at least four fifths of the wor
 fixed. A template that recurs across documents is dropped from all of them but its first
 (smallest id). Documents made up almost wholly of recurring lines are copies of other
 documents rather than carriers of boilerplate; they are left whole for document dedup.
+With `by_template` (the pipeline's way; the SQL of op5 fixes the other) no document is exempt:
+a template stays only if all its occurrences lie in documents with the same set of masked
+lines, copies of one another, and goes from all documents but its first otherwise.
 
 Words, lines and documents are compared by 128-bit hashes, so only hashes are shuffled
 until the texts are rebuilt. Leaves that too few documents reach are not generalised,
@@ -22,6 +25,7 @@ order; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -38,11 +42,12 @@ SPANS = 5
 
 @dataclass(frozen=True)
 class LineDedup:
-    """`min_documents`: where a template recurs; `leading`: depth of the tree; `copied`: share of recurring words that makes a document a copy."""
+    """`min_documents`: where a template recurs; `leading`: depth of the tree; `copied`: share of recurring words that makes a document a copy; `by_template`: exempt templates of one copy group instead of such documents."""
 
     min_documents: int = 3
     leading: int = 3
     copied: float = 0.8
+    by_template: bool = False
 
 
 def _document(doc_id: Column, text: Column) -> list[Column]:
@@ -51,20 +56,28 @@ def _document(doc_id: Column, text: Column) -> list[Column]:
     return [F.xxhash64(doc_id.isNull(), doc_id, body).alias("d1"), F.xxhash64(F.lit(1), body, doc_id, doc_id.isNull()).alias("d2")]
 
 
+def _line_set(body: Column) -> Column:
+    """Hash of the set of masked lines of a text with a fixed word; documents with equal sets are copies of one another."""
+    masked = F.regexp_replace(F.regexp_replace(body, _VARIABLE, MASK), r"[\x20\x09\x0B-\x0D]+", " ")
+    lines = F.filter(F.transform(F.split(masked, "\n"), F.btrim), lambda line: ~line.rlike(rf"^(?:{re.escape(MASK)} ?)*+$"))
+    return F.xxhash64(F.array_sort(F.array_distinct(lines)))
+
+
 def parsed_lines(docs: DataFrame, doc_id: str, text: str, spec: LineDedup) -> DataFrame:
-    """d1, d2, id order `doc`, line number, words n, fixed words, leaf, span hashes and template hash of every line with words."""
+    """d1, d2, id order `doc`, hash `copy` of the document's line set, line number, words n, fixed words, leaf, span hashes and template hash of every line with words."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = docs.select(*_document(F.col(doc_id), F.col(text)), F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id")).alias("doc"),
+                        (_line_set(body) if spec.by_template else F.lit(None).cast("long")).alias("copy"),
                         F.posexplode(F.split(body, "\n")).alias("line_no", "line"))
-    bare = lines.select("d1", "d2", "doc", "line_no", F.btrim("line", F.lit(" \t\n\v\f\r")).alias("line")).filter("line <> ''")
+    bare = lines.select("d1", "d2", "doc", "copy", "line_no", F.btrim("line", F.lit(" \t\n\v\f\r")).alias("line")).filter("line <> ''")
     variable = F.col("line").rlike("[0-9]")
     masked = F.when(variable, F.regexp_replace("line", _VARIABLE, MASK)).otherwise(F.col("line"))
-    worded = bare.select("d1", "d2", "doc", "line_no", variable.alias("variable"), F.split(masked, f"{_BLANK}+").alias("words"))
+    worded = bare.select("d1", "d2", "doc", "copy", "line_no", variable.alias("variable"), F.split(masked, f"{_BLANK}+").alias("words"))
     n = F.size("words")
     bound = lambda i: F.floor(n * i / F.lit(SPANS)).cast("int")
     spans = [F.xxhash64(F.slice("words", bound(i) + 1, bound(i + 1) - bound(i))) for i in range(SPANS)]
     hashed = worded.select(
-        "d1", "d2", "doc", "line_no", n.alias("n"), F.when(F.col("variable"), n - F.size(F.filter("words", lambda w: w == MASK))).otherwise(n).alias("fixed"),
+        "d1", "d2", "doc", "copy", "line_no", n.alias("n"), F.when(F.col("variable"), n - F.size(F.filter("words", lambda w: w == MASK))).otherwise(n).alias("fixed"),
         F.xxhash64(n, F.slice("words", 1, spec.leading)).alias("leaf"), F.array(*spans).alias("spans"))
     return hashed.withColumns({"t1": F.xxhash64("n", "spans"), "t2": F.xxhash64(F.lit(1), "spans", "n")})
 
@@ -77,33 +90,38 @@ def busy_lines(lines: DataFrame, spec: LineDedup) -> DataFrame:
 
 def templates(lines: DataFrame, spec: LineDedup) -> DataFrame:
     """lines: of busy leaves. t1, t2 and first (document) for every masked line whose template recurs."""
-    once = lines.groupBy("t1", "t2", "d1", "d2").agg(*[F.any_value(c).alias(c) for c in ("doc", "leaf", "n", "fixed", "spans")])
+    once = lines.groupBy("t1", "t2", "d1", "d2").agg(*[F.any_value(c).alias(c) for c in ("doc", "copy", "leaf", "n", "fixed", "spans")])
     at = F.struct("doc", "d1", "d2")
     exact = stage(once.groupBy("t1", "t2").agg(
-        F.count(F.lit(1)).alias("documents"), F.min(at).alias("first"), F.max(at).alias("last"), *[F.any_value(c).alias(c) for c in ("leaf", "n", "fixed", "spans")]), "line-templates")
+        F.count(F.lit(1)).alias("documents"), F.min(at).alias("first"), F.max(at).alias("last"), F.min("copy").alias("low"), F.max("copy").alias("high"), *[F.any_value(c).alias(c) for c in ("leaf", "n", "fixed", "spans")]), "line-templates")
     # One key per span taken as the variable field; lines with masked words have theirs already.
     others = lambda i: F.filter("spans", lambda _, at: at != i)
     keyed = exact.filter((F.col("fixed") == F.col("n")) & (F.col("n") >= SPANS)).withColumn("span", F.explode(F.sequence(F.lit(0), F.lit(SPANS - 1)))).select(
-        "t1", "t2", "documents", "first", "last", "leaf", "span",
+        "t1", "t2", "documents", "first", "last", "low", "high", "leaf", "span",
         F.xxhash64("leaf", "span", others(F.col("span"))).alias("w1"), F.xxhash64(F.lit(1), "span", others(F.col("span"))).alias("w2"))
     wild = keyed.groupBy("leaf", "span", "w1", "w2").agg(
-        F.sum("documents").alias("documents"), F.count(F.lit(1)).alias("k"), F.min("first").alias("first"), F.max("last").alias("last"))
+        F.sum("documents").alias("documents"), F.count(F.lit(1)).alias("k"), F.min("first").alias("first"), F.max("last").alias("last"),
+        F.min("low").alias("low"), F.max("high").alias("high"))
+    apart = F.col("low") != F.col("high") if spec.by_template else F.lit(True)
     # A template of one document's own lines does not recur across documents.
-    wild = wild.filter((F.col("k") > 1) & (F.col("documents") >= spec.min_documents) & (F.col("first") != F.col("last")))
+    wild = wild.filter(apart & (F.col("k") > 1) & (F.col("documents") >= spec.min_documents) & (F.col("first") != F.col("last")))
     rare = keyed.filter(F.col("documents") < spec.min_documents).select("t1", "t2", "leaf", "span", "w1", "w2")
     generalised = rare.join(wild.select("leaf", "span", "w1", "w2", "first"), ["leaf", "span", "w1", "w2"]).groupBy("t1", "t2").agg(F.min(F.struct("span", "first")).alias("best"))
-    return exact.filter(F.col("documents") >= spec.min_documents).select("t1", "t2", "first").union(generalised.select("t1", "t2", "best.first"))
+    return exact.filter(apart & (F.col("documents") >= spec.min_documents)).select("t1", "t2", "first").union(generalised.select("t1", "t2", "best.first"))
 
 
 def dropped_lines(lines: DataFrame, spec: LineDedup) -> DataFrame:
     """d1, d2 and the numbers and word count of the lines to drop, for every document that loses some."""
-    words = lines.filter("fixed > 0").groupBy("d1", "d2").agg(F.sum("n").alias("all_words"))
     busy = busy_lines(lines, spec)
     recurring = busy.join(templates(busy, spec), ["t1", "t2"])
     marked = recurring.groupBy("d1", "d2").agg(
         F.sum("n").alias("recurring_words"),
         F.collect_set(F.when(F.col("first") != F.struct("doc", "d1", "d2"), F.col("line_no"))).alias("numbers"))
-    return marked.join(words, ["d1", "d2"]).filter((F.size("numbers") > 0) & (F.col("recurring_words") < spec.copied * F.col("all_words"))).select("d1", "d2", "numbers")
+    marked = marked.filter(F.size("numbers") > 0)
+    if not spec.by_template:
+        words = lines.filter("fixed > 0").groupBy("d1", "d2").agg(F.sum("n").alias("all_words"))
+        marked = marked.join(words, ["d1", "d2"]).filter(F.col("recurring_words") < spec.copied * F.col("all_words"))
+    return marked.select("d1", "d2", "numbers")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spec: LineDedup = LineDedup()) -> DataFrame:

@@ -89,6 +89,17 @@ def test_copies_of_whole_documents_are_left_whole(spark):
     assert all(r.clean == rows[0][1] and r.lines_dropped == 0 for r in got)
 
 
+def test_boilerplate_goes_from_copies_and_short_documents_too(spark):
+    notice = "this notice stands in many documents that are not alike"
+    own = lambda i: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for rng in [random.Random(i)] for _ in range(30))
+    rows = [(i, f"{own(i)}\n{notice}") for i in range(4)]
+    rows += [(i, f"{own(50)}\nPage {i} of it\n{notice}\n{own(51)}") for i in range(10, 14)]  # copies but for a number
+    rows += [(20, f"{notice}\nshort {own(60)[:5]}")]
+    got = {r["row"].i: (r.clean, r.lines_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "i long, t string"), "i", "t", line_dedup.LineDedup(by_template=True)).collect()}
+    for i, text in rows:
+        assert got[i] == ((text, 0) if i == 0 else ("\n".join(line for line in text.split("\n") if line != notice), 1)), i
+
+
 # --- fingerprints ------------------------------------------------------------------
 
 
