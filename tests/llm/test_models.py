@@ -123,6 +123,20 @@ def test_language_model_takes_awkward_rows(spark):
     assert language_model.scored(none, *language_model.train(none, "doc_id", "text", language_model.LanguageModel())).count() == 0
 
 
+def test_unseen_pairs_have_no_count(spark):
+    spec = language_model.LanguageModel()
+    texts = [(" ".join(f"w{k}x{i}" for i in range(1000)),) for k in range(4) for _ in range(30)]
+    counts, bits = language_model.count_ngrams(spark.createDataFrame(texts, "text string"), spec)
+    found = language_model.make_filter(counts, bits, spec)
+    _, h, before = language_model.token_hashes([t for t, in texts[::30]])
+    want = language_model.count_of(language_model.level_of(np.array([30]), spec), spec)[0]
+    assert (found.pairs(before, h) >= want).all()
+    unseen = np.random.default_rng(1).integers(0, 2 ** 63, 100_000).astype(np.uint64)
+    rate = (found.counts(unseen, unseen << np.uint64(1)) > 0).mean()
+    print("rate", rate)
+    assert rate <= 0.01 ** 2 * 3
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.dictionaries(st.integers(0, 2 ** 64 - 2), st.integers(1, 2 ** 40), max_size=60))
 def test_blocks_and_tables_hold_what_was_put_in(counts):
