@@ -5,14 +5,13 @@ words with a digit counting as a variable field at every level. In a leaf, lines
 length share a template if they agree in all words after masking, or in all but one of
 five equal spans, the variable field; either way at least four fifths of the words are
 fixed. A template that recurs across documents is dropped from all of them but its first
-(smallest id). Documents made up almost wholly of recurring lines are copies of other
-documents rather than carriers of boilerplate; they are left whole for document dedup.
-With `by_template` (the pipeline's way; the SQL of op5 fixes the other) no document is exempt:
-a template stays only if all its occurrences lie in documents with the same set of masked
-lines, copies of one another, and goes from all documents but its first otherwise.
+(smallest id). No document is exempt: a template stays only if all its occurrences lie in
+documents with the same set of masked lines, copies of one another, which document dedup
+handles; it goes from all documents but its first otherwise.
 
 Words, lines and documents are compared by 128-bit hashes, so only hashes are shuffled
-until the texts are rebuilt. Leaves that too few documents reach are not generalised,
+until the texts are rebuilt. What is computed from a whole text (its key, the hash of its
+line set) is computed below the explode, once per document and not once per line. Leaves that too few documents reach are not generalised,
 since no template in them can recur. Counts are aggregated map-side; a hot template is a
 hot key only beside its one-row decision, where the adaptive skew join splits it.
 
@@ -42,12 +41,10 @@ SPANS = 5
 
 @dataclass(frozen=True)
 class LineDedup:
-    """`min_documents`: where a template recurs; `leading`: depth of the tree; `copied`: share of recurring words that makes a document a copy; `by_template`: exempt templates of one copy group instead of such documents."""
+    """`min_documents`: where a template recurs; `leading`: depth of the tree."""
 
     min_documents: int = 3
     leading: int = 3
-    copied: float = 0.8
-    by_template: bool = False
 
 
 def _document(doc_id: Column, text: Column) -> list[Column]:
@@ -66,9 +63,9 @@ def _line_set(body: Column) -> Column:
 def parsed_lines(docs: DataFrame, doc_id: str, text: str, spec: LineDedup) -> DataFrame:
     """d1, d2, id order `doc`, hash `copy` of the document's line set, line number, words n, fixed words, leaf, span hashes and template hash of every line with words."""
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = docs.select(*_document(F.col(doc_id), F.col(text)), F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id")).alias("doc"),
-                        (_line_set(body) if spec.by_template else F.lit(None).cast("long")).alias("copy"),
-                        F.posexplode(F.split(body, "\n")).alias("line_no", "line"))
+    whole = docs.select(*_document(F.col(doc_id), F.col(text)), F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id")).alias("doc"),
+                        _line_set(body).alias("copy"), body.alias("body"))
+    lines = whole.select("d1", "d2", "doc", "copy", F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
     bare = lines.select("d1", "d2", "doc", "copy", "line_no", F.btrim("line", F.lit(" \t\n\v\f\r")).alias("line")).filter("line <> ''")
     variable = F.col("line").rlike("[0-9]")
     masked = F.when(variable, F.regexp_replace("line", _VARIABLE, MASK)).otherwise(F.col("line"))
@@ -102,7 +99,7 @@ def templates(lines: DataFrame, spec: LineDedup) -> DataFrame:
     wild = keyed.groupBy("leaf", "span", "w1", "w2").agg(
         F.sum("documents").alias("documents"), F.count(F.lit(1)).alias("k"), F.min("first").alias("first"), F.max("last").alias("last"),
         F.min("low").alias("low"), F.max("high").alias("high"))
-    apart = F.col("low") != F.col("high") if spec.by_template else F.lit(True)
+    apart = F.col("low") != F.col("high")
     # A template of one document's own lines does not recur across documents.
     wild = wild.filter(apart & (F.col("k") > 1) & (F.col("documents") >= spec.min_documents) & (F.col("first") != F.col("last")))
     rare = keyed.filter(F.col("documents") < spec.min_documents).select("t1", "t2", "leaf", "span", "w1", "w2")
@@ -111,17 +108,10 @@ def templates(lines: DataFrame, spec: LineDedup) -> DataFrame:
 
 
 def dropped_lines(lines: DataFrame, spec: LineDedup) -> DataFrame:
-    """d1, d2 and the numbers and word count of the lines to drop, for every document that loses some."""
+    """d1, d2 and the numbers of the lines to drop, for every document that loses some."""
     busy = busy_lines(lines, spec)
-    recurring = busy.join(templates(busy, spec), ["t1", "t2"])
-    marked = recurring.groupBy("d1", "d2").agg(
-        F.sum("n").alias("recurring_words"),
-        F.collect_set(F.when(F.col("first") != F.struct("doc", "d1", "d2"), F.col("line_no"))).alias("numbers"))
-    marked = marked.filter(F.size("numbers") > 0)
-    if not spec.by_template:
-        words = lines.filter("fixed > 0").groupBy("d1", "d2").agg(F.sum("n").alias("all_words"))
-        marked = marked.join(words, ["d1", "d2"]).filter(F.col("recurring_words") < spec.copied * F.col("all_words"))
-    return marked.select("d1", "d2", "numbers")
+    recurring = busy.join(templates(busy, spec), ["t1", "t2"]).filter(F.col("first") != F.struct("doc", "d1", "d2"))
+    return recurring.groupBy("d1", "d2").agg(F.collect_set("line_no").alias("numbers"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spec: LineDedup = LineDedup()) -> DataFrame:
@@ -148,23 +138,23 @@ WITH split AS (
   SELECT doc_id, line_no, list_filter(regexp_split_to_array(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM split
 ), lines AS (
   SELECT doc_id, line_no, w, len(w) AS n, len(list_filter(w, lambda x: x <> '<*>')) AS fixed FROM parsed WHERE len(w) > 0
-), usable AS (SELECT * FROM lines WHERE fixed > 0
-), exact AS (SELECT w, n, fixed, count(DISTINCT doc_id) AS documents, min(doc_id) AS first, max(doc_id) AS last FROM usable GROUP BY w, n, fixed
+), sets AS (
+  SELECT doc_id, md5(array_to_string(list_sort(list(DISTINCT array_to_string(w, ' '))), chr(10))) AS copy FROM lines WHERE fixed > 0 GROUP BY doc_id
+), usable AS (SELECT * FROM lines JOIN sets USING (doc_id) WHERE fixed > 0
+), exact AS (
+  SELECT w, n, fixed, count(DISTINCT doc_id) AS documents, min(doc_id) AS first, max(doc_id) AS last, min(copy) AS low, max(copy) AS high FROM usable GROUP BY w, n, fixed
 ), keyed AS (
-  SELECT w, documents, first, last, n, w[1:3] AS lead, span,
+  SELECT w, documents, first, last, low, high, n, w[1:3] AS lead, span,
          list_concat(w[1:CAST(floor(n * span / 5) AS INT)], ['<field>'], w[CAST(floor(n * (span + 1) / 5) AS INT) + 1:n]) AS wild
   FROM exact, range(5) AS r(span) WHERE n >= 5 AND fixed = n
 ), templates AS (
   SELECT n, lead, span, wild, min(first) AS first FROM keyed GROUP BY n, lead, span, wild
-  HAVING count(*) > 1 AND sum(documents) >= 3 AND min(first) <> max(last)
+  HAVING count(*) > 1 AND sum(documents) >= 3 AND min(first) <> max(last) AND min(low) <> max(high)
 ), generalised AS (
   SELECT k.w, arg_min(t.first, k.span) AS first FROM keyed k JOIN templates t ON k.n = t.n AND k.lead = t.lead AND k.span = t.span AND k.wild = t.wild WHERE k.documents < 3 GROUP BY k.w
-), recurring AS (SELECT w, first FROM exact WHERE documents >= 3 UNION ALL SELECT w, first FROM generalised
-), marked AS (
-  SELECT doc_id, sum(n) AS words, list(line_no) FILTER (WHERE doc_id <> first) AS numbers FROM usable JOIN recurring USING (w) GROUP BY doc_id
+), recurring AS (SELECT w, first FROM exact WHERE documents >= 3 AND low <> high UNION ALL SELECT w, first FROM generalised
 ), drops AS (
-  SELECT m.doc_id, m.numbers FROM marked m JOIN (SELECT doc_id, sum(n) AS all_words FROM usable GROUP BY doc_id) a USING (doc_id)
-  WHERE len(m.numbers) > 0 AND m.words < 0.8 * a.all_words
+  SELECT doc_id, list(line_no) AS numbers FROM usable JOIN recurring USING (w) WHERE doc_id <> first GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(coalesce(len(numbers), 0) AS BIGINT) AS lines_dropped,
        sha256(CASE WHEN numbers IS NULL THEN coalesce(text, '') ELSE coalesce((

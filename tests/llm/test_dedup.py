@@ -95,11 +95,28 @@ def test_boilerplate_goes_from_copies_and_short_documents_too(spark):
     rows = [(i, f"{own(i)}\n{notice}") for i in range(4)]
     rows += [(i, f"{own(50)}\nPage {i} of it\n{notice}\n{own(51)}") for i in range(10, 14)]  # copies but for a number
     rows += [(20, f"{notice}\nshort {own(60)[:5]}")]
-    got = {r["row"].i: (r.clean, r.lines_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "i long, t string"), "i", "t", line_dedup.LineDedup(by_template=True)).collect()}
+    got = {r["row"].i: (r.clean, r.lines_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "i long, t string"), "i", "t").collect()}
     for i, text in rows:
         assert got[i] == ((text, 0) if i == 0 else ("\n".join(line for line in text.split("\n") if line != notice), 1)), i
 
 
+def test_whole_texts_are_hashed_below_the_explode(spark):
+    docs = awkward.documents(spark)
+    plan = line_dedup.parsed_lines(docs, "doc_id", "text", line_dedup.LineDedup())._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate posexplode")
+    assert "text#" not in above and "body#" not in above and "xxhash64" in below and "regexp_replace" in below.split("Project")[1]
+
+
+def test_documents_of_very_many_lines(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shared = [f"shared passage {word()} {word()} {word()} {word()}" for _ in range(50)]
+    own = [[f"{word()} {word()} {word()}" for _ in range(50_000)] for _ in range(2)]
+    rows = [(i, "\n".join(own[i] + shared)) for i in range(2)] + [(i, "\n".join([f"{word()} {word()}"] + shared)) for i in range(2, 5)]
+    got = {r["row"].i: (r.clean.count("\n") + 1, r.lines_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "i long, t string"), "i", "t").collect()}
+    assert got == {0: (50_050, 0), 1: (50_000, 50), 2: (1, 50), 3: (1, 50), 4: (1, 50)}
+
+
 # --- fingerprints ------------------------------------------------------------------
 
 
