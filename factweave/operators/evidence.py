@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from factweave.functions.identity import content_id, number_token
 from factweave.functions.numbers import finite_or_null, is_close, is_finite, significant_text
 from factweave.functions.text import collapse_blanks, has_part, uses_words
-from factweave.operators import rules as RULES
+from factweave.operators import lineage as L, rules as RULES
 from factweave.operators.periods import YOY_FORMULA, comparison_family, growth_percent, paired_years
 from factweave.operators.quality import blank, failed_rules
 
@@ -263,27 +263,15 @@ def recompute_lineage(evidence: DataFrame, edges: DataFrame) -> DataFrame:
     return failed_rules(rows, rules).select(F.coalesce("evidence_id", "observation_id").alias("evidence_id"), "value", expected.alias("expected_value"), "violations")
 
 
-def lineage_closure(rows: DataFrame, evidence: DataFrame, identity: str, self_id: str | None = None, sources: str = "source_evidence_ids") -> DataFrame:
-    """One hop: the row itself and its direct sources with their types, metrics and source names.
+def lineage_closure(rows: DataFrame, evidence: DataFrame, identity: str, own: bool = False, sources: str = "source_evidence_ids") -> DataFrame:
+    """One hop: the direct sources of a row, and the row itself if `own`, with their types, metrics and source names.
 
-    Ids, types and dates stay aligned in id order; `missing` counts ids the registry lacks.
+    Ids and types stay aligned in id order; `missing` counts ids the registry lacks.
     """
-    ids = F.array_union(F.array(self_id), F.col(sources)) if self_id else F.array_distinct(sources)
-    exploded = rows.select(identity, F.explode(ids).alias("_id"))
-    nodes = evidence.select(F.col("evidence_id").alias("_id"), "evidence_type", "metric_id", "source_metric_id", "source", "reference_date", "period_type", "period_label", "definition_context")
-    metric = F.coalesce("source_metric_id", "metric_id")
-    grouped = exploded.join(nodes, "_id", "left").groupBy(identity).agg(
-        F.array_sort(F.collect_list(F.struct("_id", "evidence_type"))).alias("_pairs"), F.collect_set(metric).alias("_metrics"),
-        F.collect_set("source").alias("_sources"), F.collect_set("definition_context").alias("_contexts"),
-        F.count_if(F.col("evidence_type").isNull()).alias("missing"),
-        F.min("reference_date").alias("first_date"), F.max("reference_date").alias("last_date"),
-        F.min("period_type").alias("_t0"), F.max("period_type").alias("_t1"), F.min("period_label").alias("_l0"), F.max("period_label").alias("_l1"))
-    split = F.flatten(F.transform("_metrics", lambda m: F.split(m, ";")))
-    same_period = F.col("first_date").eqNullSafe(F.col("last_date")) & F.col("_t0").eqNullSafe(F.col("_t1")) & F.col("_l0").eqNullSafe(F.col("_l1"))
-    return grouped.select(
-        identity, F.transform("_pairs", lambda p: p["_id"]).alias("lineage_ids"), F.transform("_pairs", lambda p: p["evidence_type"]).alias("lineage_types"),
-        F.array_sort(F.array_distinct(F.filter(split, lambda m: m != ""))).alias("lineage_metrics"), F.array_sort("_sources").alias("lineage_sources"),
-        F.array_sort("_contexts").alias("lineage_contexts"), same_period.alias("same_period"), "missing")
+    nodes = F.col("lineage")
+    return L.with_lineage(rows, evidence, identity, sources, own).select(
+        identity, L.field(nodes, "id").alias("lineage_ids"), L.field(nodes, "type").alias("lineage_types"), L.lineage_metrics(nodes).alias("lineage_metrics"),
+        L.known(nodes, "source").alias("lineage_sources"), L.known(nodes, "context").alias("lineage_contexts"), L.same_period(nodes).alias("same_period"), "missing")
 
 
 def lineage_orphans(rows: DataFrame, evidence: DataFrame, identity: str, sources: str = "source_evidence_ids", types: str | None = None) -> DataFrame:
@@ -383,55 +371,94 @@ def dimension(metric: Column, domain: Column, kind: Column, context: Column, sou
     return chain
 
 
-def classify_dimensions(evidence: DataFrame) -> DataFrame:
+def evidence_dimension() -> Column:
+    return dimension(*[F.col(c) for c in ("metric_id", "business_domain", "claim_kind", "definition_context", "source")])
+
+
+def _lined(rows: DataFrame, evidence: DataFrame) -> DataFrame:
+    """rows with their lineage, unless they carry it already."""
+    return rows if "lineage" in evidence.columns else L.with_lineage(rows, evidence)
+
+
+def with_lineage_to_classify(evidence: DataFrame) -> DataFrame:
+    """The evidence that either classification takes up, with its lineage: one self-join for both."""
+    internal, external, _ = _quadrant()
+    return L.with_lineage(evidence.filter(evidence_dimension().isNotNull() | internal.isNotNull() | external.isNotNull()), evidence)
+
+
+def classify_dimensions(evidence: DataFrame, lineage: bool = False) -> DataFrame:
     """Supported evidence once each, with its one-hop lineage; unsupported rows are left out.
 
-    `status` is OK, UNKNOWN_SOURCE (lineage ids missing) or FORBIDDEN_WORDING.
+    `status` is OK, UNKNOWN_SOURCE (lineage ids missing) or FORBIDDEN_WORDING. `lineage` keeps the nodes for later steps.
     """
-    classed = evidence.withColumn("pestel_dimension", dimension(*[F.col(c) for c in ("metric_id", "business_domain", "claim_kind", "definition_context", "source")])).filter(
-        F.col("pestel_dimension").isNotNull())
-    closure = lineage_closure(classed, evidence, "evidence_id", "evidence_id")
-    joined = classed.drop("source_evidence_ids").join(closure, "evidence_id")
+    classed = evidence.withColumn("pestel_dimension", evidence_dimension()).filter(F.col("pestel_dimension").isNotNull())
+    joined, nodes = _lined(classed, evidence), F.col("lineage")
     rationale = literal_map(RULES.RATIONALES)[F.col("pestel_dimension")]
     forbidden = F.coalesce(has_part(F.col("claim"), RULES.DIMENSION_WORDING), F.lit(False)) | has_part(rationale, RULES.DIMENSION_WORDING)
     status = F.when(F.col("missing") > 0, F.lit("UNKNOWN_SOURCE")).when(forbidden, F.lit("FORBIDDEN_WORDING")).otherwise(F.lit("OK"))
+    ids = L.field(nodes, "id")
     return joined.select(
-        content_id(["pestel_dimension", "claim", F.array_join("lineage_ids", ","), "reference_date"], "dimension").alias("pestel_id"),
+        content_id(["pestel_dimension", "claim", F.array_join(ids, ","), "reference_date"], "dimension").alias("pestel_id"),
         "evidence_id", "pestel_dimension", "business_domain", "entity", "metric_id", "reference_date", "period_start", "period_end", "period_type", "claim",
-        rationale.alias("classification_rationale"),
-        F.col("lineage_ids").alias("source_evidence_ids"), F.col("lineage_types").alias("source_evidence_types"), F.col("lineage_metrics").alias("source_metric_ids"),
-        F.array_join("lineage_sources", ";").alias("source"), "is_interpretation", "definition_context", status.alias("status"))
+        rationale.alias("classification_rationale"), ids.alias("source_evidence_ids"), L.field(nodes, "type").alias("source_evidence_types"), L.lineage_metrics(nodes).alias("source_metric_ids"),
+        F.array_join(L.known(nodes, "source"), ";").alias("source"), "is_interpretation", "definition_context", status.alias("status"), *(["lineage"] if lineage else []))
 
 
-def classify_quadrants(evidence: DataFrame, dimensions: DataFrame) -> DataFrame:
-    """Internal growth by sign, external changes by their dimension record.
-
-    `status` is OK, INCOMPATIBLE_PERIOD (sources of different periods),
-    NO_DIMENSION (an external rule without a matching dimension record), UNKNOWN_SOURCE or
-    FORBIDDEN_WORDING (claim, assessment or rationale).
-    """
+def _quadrant() -> tuple[Column, Column, Column]:
+    """Internal category, external category, and the dimension that the external rule asks for."""
     value, kind, metric = finite_or_null(F.col("value")), F.lower("claim_kind"), F.col("metric_id")
     internal_domain = literal_map({m: d for m, (d, _) in RULES.INTERNAL_GROWTH.items()})
     inside = F.col("business_domain").isin(*RULES.INTERNAL_DOMAINS)
     allowed = inside & F.coalesce(F.try_element_at(internal_domain, metric) == F.col("business_domain"), F.lit(False))
     internal = F.when(allowed & (value > 0) & kind.isin(*RULES.STRENGTH_CLAIMS), F.lit("STRENGTH")).when(
         allowed & (value < 0) & kind.isin(*RULES.WEAKNESS_CLAIMS), F.lit("WEAKNESS"))
-    external, needed = None, None
-    for name, dim, category, kinds, *_ in RULES.EXTERNAL_RULES:
-        hit = (F.col("business_domain") == "Macro") & (metric == name) & (value > 0) & F.col("claim_kind").isin(*kinds)
-        external = F.when(hit, F.lit(category)) if external is None else external.when(hit, F.lit(category))
-        needed = F.when(hit, F.lit(dim)) if needed is None else needed.when(hit, F.lit(dim))
+    hits = {name: ~F.coalesce(inside, F.lit(False)) & (metric == name) & (value > 0) & F.col("claim_kind").isin(*kinds) for name, _, _, kinds, *_ in RULES.EXTERNAL_RULES}
+    chosen = lambda at: F.coalesce(*[F.when(hits[r[0]], F.lit(r[at])) for r in RULES.EXTERNAL_RULES])
+    return internal, chosen(2), chosen(1)
+
+
+def matched_dimensions(external: DataFrame, dimensions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Per external evidence row (evidence_id, metric_id, source_metric_id, _dimension) the dimension records that name it.
+
+    `problem`: why one of them, of whatever dimension, may not be combined; `source_pestel_ids` and `matched`:
+    ids and merged nodes of those of the dimension asked for. A record meets the rows it names
+    through an inverted index of ids; what is gathered per row is what its result lists.
+    """
+    records = dimensions.filter("status = 'OK'")
+    if "lineage" not in dimensions.columns:
+        records = L.with_lineage(records, evidence, "pestel_id", own=False)
+    fields = [c for c in ("period_start", "period_end", "period_type", "period_label") if c in records.columns]
+    named = records.select(
+        "pestel_id", "pestel_dimension", F.col("source_metric_ids").alias("_metrics"), F.col("lineage").alias("_nodes"), F.col("definition_context").alias("_context"),
+        F.struct(F.col("reference_date").alias("date"), F.col("business_domain").alias("domain"), *fields).alias("_record"), F.explode("source_evidence_ids").alias("evidence_id"))
+    asked = external.select("evidence_id", "_dimension", F.array_union(F.array("metric_id"), L.metrics_of(F.col("source_metric_id"), F.lit(None))).alias("_own"))
+    nodes = F.col("_nodes")
+    problem = F.when(~F.coalesce(F.arrays_overlap("_metrics", "_own"), F.lit(False)), F.lit("INCOMPATIBLE_DIMENSION"))
+    problem = F.coalesce(problem, L.problem(nodes), L.record_problem(nodes, {c: F.col(f"_record.{c}") for c in ("date", "domain", *fields)}, F.col("_context")))
+    right = F.col("pestel_dimension") == F.col("_dimension")
+    return asked.join(named, "evidence_id").groupBy("evidence_id").agg(
+        F.min(problem).alias("problem"), F.array_sort(F.collect_set(F.when(right, F.col("pestel_id")))).alias("source_pestel_ids"),
+        L.merged(F.flatten(F.collect_set(F.when(right, nodes)))).alias("matched"))
+
+
+def classify_quadrants(evidence: DataFrame, dimensions: DataFrame) -> DataFrame:
+    """Internal growth by sign, external changes by the dimension records that name them.
+
+    An external row stands on the union of its matched records' lineage. `status` is OK, UNKNOWN_SOURCE,
+    INCOMPATIBLE_METRICS, INCOMPATIBLE_PERIOD or INCOMPATIBLE_DEFINITION (sources that may not be combined, its
+    own or those of a record that names it), INCOMPATIBLE_DIMENSION (such a record shares no metric or is of another
+    domain), NO_DIMENSION (no record of the dimension asked for) or FORBIDDEN_WORDING (claim, assessment or rationale).
+    """
+    metric = F.col("metric_id")
+    internal, external, needed = _quadrant()
     classed = evidence.withColumns({"swot_category": F.coalesce(internal, external), "_dimension": needed}).filter(F.col("swot_category").isNotNull())
-    # Dimension records that name an evidence id, one row per id and dimension.
-    named = dimensions.filter("status = 'OK'").select("pestel_id", "pestel_dimension", F.explode("source_evidence_ids").alias("evidence_id"))
-    linked = classed.filter(F.col("_dimension").isNotNull()).select("evidence_id", F.col("_dimension").alias("pestel_dimension")).join(named, ["evidence_id", "pestel_dimension"]).groupBy(
-        "evidence_id").agg(F.array_sort(F.collect_set("pestel_id")).alias("source_pestel_ids"))
-    closure = lineage_closure(classed, evidence, "evidence_id", "evidence_id")
-    joined = classed.drop("source_evidence_ids").join(closure, "evidence_id").join(linked, "evidence_id", "left")
+    linked = matched_dimensions(classed.filter(F.col("_dimension").isNotNull()), dimensions, evidence)
+    joined = _lined(classed, evidence).join(linked, "evidence_id", "left")
     is_external = F.col("_dimension").isNotNull()
-    status = (
-        F.when(F.col("missing") > 0, F.lit("UNKNOWN_SOURCE")).when(~F.col("same_period"), F.lit("INCOMPATIBLE_PERIOD"))
-        .when(is_external & F.col("source_pestel_ids").isNull(), F.lit("NO_DIMENSION")))
+    pestel = F.coalesce("source_pestel_ids", F.array().cast("array<string>"))
+    nodes = F.when(F.size("matched") > 0, F.col("matched")).otherwise(F.col("lineage"))
+    joined = joined.withColumns({"_pestel": pestel, "_nodes": nodes, "_first": L.problem(F.col("lineage"))})
+    nodes = F.col("_nodes")
     subject = literal_map({m: s for m, (_, s) in RULES.INTERNAL_GROWTH.items()})
     internal_text = F.concat(
         F.lit("The reported "), F.when(F.col("swot_category") == "STRENGTH", F.lit("expansion")).otherwise(F.lit("contraction")), F.lit(" in "),
@@ -439,15 +466,18 @@ def classify_quadrants(evidence: DataFrame, dimensions: DataFrame) -> DataFrame:
     assessment = F.when(is_external, literal_map({r[0]: r[5] for r in RULES.EXTERNAL_RULES})[metric]).otherwise(internal_text)
     rationale = F.when(is_external, literal_map({r[0]: r[6] for r in RULES.EXTERNAL_RULES})[metric]).otherwise(F.lit(RULES.INTERNAL_RATIONALE))
     worded = F.concat_ws(" | ", "claim", assessment, rationale)
-    status = status.when(worded.rlike(RULES.QUADRANT_WORDING), F.lit("FORBIDDEN_WORDING")).otherwise(F.lit("OK"))
+    status = F.coalesce(
+        F.when(F.col("missing") > 0, F.lit("UNKNOWN_SOURCE")), F.col("_first"), F.when(is_external, F.col("problem")),
+        F.when(is_external & (F.size("_pestel") == 0), F.lit("NO_DIMENSION")), F.when(is_external, L.problem(nodes)),
+        F.when(worded.rlike(RULES.QUADRANT_WORDING), F.lit("FORBIDDEN_WORDING")), F.lit("OK"))
     note = literal_map({r[0]: ";" + r[4] for r in RULES.EXTERNAL_RULES})
-    pestel = F.coalesce("source_pestel_ids", F.array().cast("array<string>"))
-    return joined.withColumns({"_assessment": assessment, "_pestel": pestel}).select(
-        content_id(["swot_category", "_assessment", "claim", F.array_join("lineage_ids", ","), F.array_join("_pestel", ","), "reference_date"], "quadrant").alias("swot_id"),
+    ids = L.field(nodes, "id")
+    return joined.withColumn("_assessment", assessment).select(
+        content_id(["swot_category", "_assessment", "claim", F.array_join(ids, ","), F.array_join("_pestel", ","), "reference_date"], "quadrant").alias("swot_id"),
         "evidence_id", "swot_category", F.when(is_external, F.lit("EXTERNAL")).otherwise(F.lit("INTERNAL")).alias("scope"), "business_domain", "entity", "metric_id",
-        "reference_date", "claim", F.col("_assessment").alias("assessment"), rationale.alias("classification_rationale"), F.col("lineage_ids").alias("source_evidence_ids"), F.col("lineage_types").alias("source_evidence_types"),
-        F.col("lineage_metrics").alias("source_metric_ids"), F.col("_pestel").alias("source_pestel_ids"),
-        F.concat(F.array_join("lineage_contexts", ";"), F.when(is_external, note[metric]).otherwise(F.lit(""))).alias("definition_context"), status.alias("status"))
+        "reference_date", "claim", F.col("_assessment").alias("assessment"), rationale.alias("classification_rationale"), ids.alias("source_evidence_ids"),
+        L.field(nodes, "type").alias("source_evidence_types"), L.lineage_metrics(nodes).alias("source_metric_ids"), F.col("_pestel").alias("source_pestel_ids"),
+        F.concat(F.array_join(L.known(nodes, "context"), ";"), F.when(is_external, note[metric]).otherwise(F.lit(""))).alias("definition_context"), status.alias("status"))
 
 
 def cross_domain_pairs(evidence: DataFrame, keys: Sequence[str] = ("entity",), commerce: Sequence[str] = RULES.COMMERCE_METRICS,

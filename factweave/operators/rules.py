@@ -214,6 +214,16 @@ QUESTION = (
     "How do engagement patterns differ among users active in Commerce, in Fintech, and in both domains, if user-level overlap is present?"
 )
 
+HYPOTHESIS_RATIONALE = (
+    "Generated from temporally and definition-compatible Commerce and Fintech Evidence. Aggregate metrics do not identify the same users across domains; "
+    "user-level validation is required before making claims about cross-domain engagement."
+)
+QUESTION_RATIONALE = (
+    "This open question is intended to validate or qualify the linked hypothesis without assuming that cross-domain overlap exists or that a Product problem is present."
+)
+PRODUCT_THEME, PRODUCT_DOMAIN, PRODUCT_SCOPE = "ECOSYSTEM_ENGAGEMENT", "Ecosystem", "AGGREGATE"
+PRODUCT_CONTEXT = "aggregate_metrics_only;no_user_level_overlap_inference"
+
 # --- fixed values: claim texts of series observations -----------------------------
 FACT_LABELS = {
     "selic_target_annual": "Meta Selic",

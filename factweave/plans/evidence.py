@@ -279,8 +279,8 @@ SELECT swot_id, evidence_id, swot_category, scope, business_domain, entity, metr
        lineage_metrics AS source_metric_ids, source_pestel_ids, definition_context, 'OK' AS status FROM quadrants
 """, uses=["quadrants"])
 def _(t):
-    rows = stored_evidence(t)
-    return flat(E.classify_quadrants(rows, E.classify_dimensions(rows)))
+    rows = stage(E.with_lineage_to_classify(stored_evidence(t)), "lineage")
+    return flat(E.classify_quadrants(rows, E.classify_dimensions(rows, lineage=True)))
 
 
 @query("definition_conflicts", """
