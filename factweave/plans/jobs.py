@@ -11,36 +11,38 @@ from factweave.operators.quality import ContractViolation
 from factweave.plans import evidence as PE, inputs as I
 from factweave.plans.registry import query
 from factweave.session import new_folder
-from factweave.sources import scans, sinks
+from factweave.sources import scans
+from factweave.sources.store import Store, Written
 
 SERIES_KEY = ["entity", "metric_id", "reference_date"]
 COLUMNS = (N.WideColumn("quantity", "order_count_monthly", "orders", 1, integral=True), N.WideColumn("amount", "order_value_monthly", "USD", 1000))
 
 
-def load_series(wide: DataFrame, root: str) -> sinks.Stored:
+def load_series(wide: DataFrame, root: str) -> tuple[Store, Written]:
     """Wide monthly rows to the stored series: scaled, the clean rows merged, a conflicting run refused."""
-    rows = N.unpivot_scaled(wide, ["entity"], "AnoMes", COLUMNS)
-    return sinks.merge_version(rows.filter("status = 'OK'").drop("status"), root, SERIES_KEY, ["value", "unit"])
+    rows = N.unpivot_scaled(wide, ["entity"], "AnoMes", COLUMNS).filter("status = 'OK'").drop("status")
+    store = Store(root, rows.schema, SERIES_KEY, bound="reference_date")
+    return store, store.merge(rows, ["value", "unit"])[0]
 
 
-def load_prices(rows: DataFrame, root: str, boundary: str) -> sinks.Stored:
+def load_prices(rows: DataFrame, root: str, boundary: str) -> tuple[Store, Written]:
     """Daily prices of completed sessions to the stored table; keys whose copies disagree stay out."""
-    sound = N.normalise_prices(N.completed_sessions(rows, F.lit(boundary).cast("date"))).filter("agrees")
-    return sinks.merge_version(sound.drop("agrees", "copies"), root, ["ticker", "reference_date"], ["open", "high", "low", "close", "volume"])
+    sound = N.normalise_prices(N.completed_sessions(rows, F.lit(boundary).cast("date"))).filter("agrees").drop("agrees", "copies")
+    store = Store(root, sound.schema, ["ticker", "reference_date"], partition=F.trunc("reference_date", "month"), bound="reference_date")
+    return store, store.merge(sound, ["open", "high", "low", "close", "volume"])[0]
 
 
 def _twice(spark: SparkSession, job, first, second, wrong, root: str) -> DataFrame:
     """Run a job on two batches, replay the second and offer a wrong one: rows of the final table, its version and what the last two did."""
     job(first, root)
     job(second, root)
-    replay = job(second, root)
+    store, replay = job(second, root)
     try:
         job(wrong, root)
         refused = False
     except ContractViolation:
         refused = True
-    table = spark.read.parquet(replay.path)
-    return table.withColumns({"version": F.lit(replay.version), "replay_wrote": F.lit(replay.written), "refused": F.lit(refused)})
+    return store.read(spark).withColumns({"version": F.lit(replay.version), "replay_wrote": F.lit(replay.written), "refused": F.lit(refused)})
 
 
 @query("load_series_job", """

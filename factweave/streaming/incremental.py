@@ -1,85 +1,63 @@
-"""Micro-batch merge: stored rows win, new keys are appended, conflicts are kept aside.
+"""Micro-batch merge: stored rows win, new keys are added, conflicts are kept aside.
 
-Accepted rows are only ever added, in one directory per stream and batch, so a batch
-that runs again after a failure overwrites exactly its own output and changes nothing
-else. Only the partitions a batch touches are compared.
+Accepted rows live in a copy-on-write store: a batch reads and replaces only the buckets its keys fall
+into, so files stay few after any number of batches and readers of an earlier version go on
+undisturbed. A batch that runs again after a failure finds its rows stored and changes nothing; its conflicts go
+to a folder of its own and overwrite themselves.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from factweave.operators.canonical import agree
 from factweave.operators.normalise import completed_sessions
-
-PARTITION = "_partition"
+from factweave.sources.store import Store
 
 
 @dataclass(frozen=True)
 class MergeTarget:
     """Where merged rows live and what identifies and compares them.
 
-    `partition` maps a row to its storage partition and must depend on the key only.
+    `partition` deals rows to storage buckets and must depend on the key only; by default the whole key does.
     """
 
     root: str
     schema: StructType
     key: Sequence[str]
     compare: Sequence[str]
-    partition: Column = field(default_factory=lambda: F.lit("all"))
+    partition: Column | None = None
+    buckets: int = 64
 
     def path(self, kind: str) -> str:
         return f"{self.root.rstrip('/')}/{kind}"
 
-    def _stored(self, spark: SparkSession, kind: str) -> DataFrame:
-        layout = StructType(self.schema.fields)
-        for name, type_name in (("stream", "string"), ("batch", "long"), (PARTITION, "string")):
-            layout = layout.add(name, type_name)
-        try:
-            return spark.read.schema(layout).option("basePath", self.path(kind)).parquet(self.path(kind))
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":  # anything else must not look like an empty table
-                raise
-            return spark.createDataFrame([], layout)
+    @property
+    def store(self) -> Store:
+        return Store(self.path("accepted"), self.schema, self.key, self.buckets, self.partition)
 
     def accepted(self, spark: SparkSession) -> DataFrame:
-        return self._stored(spark, "accepted").select(*self.schema.names)
+        return self.store.read(spark)
 
     def conflicts(self, spark: SparkSession) -> DataFrame:
-        return self._stored(spark, "conflicts").select(*self.schema.names)
+        layout = StructType(list(self.schema.fields)).add("stream", "string").add("batch", "long")
+        try:
+            return spark.read.schema(layout).option("basePath", self.path("conflicts")).parquet(self.path("conflicts")).select(*self.schema.names)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":  # anything else must not look like an empty table
+                raise
+            return spark.createDataFrame([], self.schema)
 
 
 def merge_batch(target: MergeTarget, batch: DataFrame, batch_id: int, stream: str) -> None:
     """Merge one micro-batch; running it again has no further effect."""
-    spark = batch.sparkSession
-    names, key = target.schema.names, list(target.key)
-    fields = F.struct(*target.compare)
-    # Copies inside the batch meet first and must agree.
-    incoming = (
-        batch.select(*names).withColumn(PARTITION, target.partition)
-        .groupBy(PARTITION, *key)
-        .agg(F.min(F.struct(*[c for c in names if c not in key])).alias("_row"), F.min(fields).alias("_lo"), F.max(fields).alias("_hi"))
-    )
-    earlier = target._stored(spark, "accepted").filter(~((F.col("stream") == stream) & (F.col("batch") == batch_id)))
-    # The batch's partition values, a handful, prune the stored files; then the stored side shrinks to the batch's keys.
-    values = [r[0] for r in batch.select(target.partition.alias(PARTITION)).distinct().collect()]
-    earlier = earlier.filter(F.col(PARTITION).isin(values))
-    touched = earlier.join(incoming.select(PARTITION, *key), [PARTITION, *key], "left_semi").select(PARTITION, *key, fields.alias("_stored"))
-    judged = incoming.join(touched, [PARTITION, *key], "left").withColumn("_status", (
-        F.when(~agree(F.col("_lo"), F.col("_hi")), F.lit("CONFLICT")).when(F.col("_stored").isNull(), F.lit("NEW"))
-        .when(agree(F.col("_lo"), F.col("_stored")), F.lit("KEPT")).otherwise(F.lit("CONFLICT"))))
-    rows = judged.select("_status", PARTITION, *[F.col(c) if c in key else F.col(f"_row.{c}").alias(c) for c in names])
-    for kind, status in (("accepted", "NEW"), ("conflicts", "CONFLICT")):
-        (
-            rows.filter(F.col("_status") == status).drop("_status").write.mode("overwrite").option("compression", "zstd")
-            .partitionBy(PARTITION).parquet(f"{target.path(kind)}/stream={stream}/batch={batch_id}")
-        )
+    _, refused = target.store.merge(batch, target.compare, strict=False)
+    refused.write.mode("overwrite").option("compression", "zstd").parquet(f"{target.path('conflicts')}/stream={stream}/batch={batch_id}")
 
 
 def incremental_merge(source: DataFrame, target: MergeTarget, checkpoint: str, stream: str, boundary: Column | None = None,

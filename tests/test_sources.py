@@ -11,6 +11,7 @@ from pyspark.sql.types import DateType, DoubleType, StringType, StructType
 
 from factweave.operators import merge as M, quality as Q
 from factweave.sources import catalog, landing, scans, sinks
+from factweave.sources.store import IndexedTable, Store, read_positions, write_ordered
 from factweave.streaming.incremental import MergeTarget, merge_batch
 
 SCHEMA = StructType().add("metric_id", StringType()).add("reference_date", DateType()).add("value", DoubleType()).add("source", StringType())
@@ -82,17 +83,83 @@ def test_legacy_series_id(spark):
     assert scans.upgrade_legacy_series(old, "bcb_sgs").first().source_series_id == "bcb_sgs:432"
 
 
+def _files(root):
+    return sorted(str(p) for p in root.rglob("part-*.parquet"))
+
+
 def test_merged_versions_are_replay_safe(spark, tmp_path):
     rows = lambda *r: spark.createDataFrame(list(r), "k int, v double")
-    root = str(tmp_path / "table")
-    first = sinks.merge_version(rows((1, 1.0), (2, None)), root, ["k"], ["v"])
-    again = sinks.merge_version(rows((2, None)), root, ["k"], ["v"])
-    second = sinks.merge_version(rows((2, None), (3, 3.0), (3, 3.0)), root, ["k"], ["v"])
+    store = Store(str(tmp_path / "table"), rows((1, 1.0)).schema, ["k"])
+    first = store.merge(rows((1, 1.0), (2, None)), ["v"])[0]
+    before = _files(tmp_path)
+    again = store.merge(rows((2, None)), ["v"])[0]
+    assert _files(tmp_path) == before
+    second = store.merge(rows((2, None), (3, 3.0), (3, 3.0)), ["v"])[0]
     assert [(s.version, s.written) for s in (first, again, second)] == [(1, True), (1, False), (2, True)]
     with pytest.raises(Q.ContractViolation):
-        sinks.merge_version(rows((1, 9.0), (4, 4.0)), root, ["k"], ["v"])
-    assert sinks.latest_version(spark, root) == 2
-    assert sorted((r.k, r.v) for r in spark.read.parquet(second.path).collect() if r.v is not None) == [(1, 1.0), (3, 3.0)]
+        store.merge(rows((1, 9.0), (4, 4.0)), ["v"])
+    assert store.version(spark) == 2
+    pairs = lambda df: sorted((r.k, r.v) for r in df.collect() if r.v is not None)
+    assert pairs(store.read(spark)) == [(1, 1.0), (3, 3.0)] and pairs(store.read(spark, 1)) == [(1, 1.0)]
+
+
+def test_a_small_batch_rewrites_only_its_buckets_and_files_stay_few(spark, tmp_path):
+    frame = lambda ks: spark.createDataFrame([(k, float(k), f"2024-01-{k % 28 + 1:02d}") for k in ks], "k int, v double, day string")
+    store = Store(str(tmp_path / "t"), frame([1]).schema, ["k"], buckets=8, bound="day")
+    store.merge(frame(range(200)), ["v"])
+    folders = {r[0]: r.folder for r in store.manifest(spark, 1).collect()}
+    written = store.merge(frame([1000]), ["v"])[0]
+    after = {r[0]: r.folder for r in store.manifest(spark, 2).collect()}
+    assert written.buckets == 1 and sum(folders[b] != after[b] for b in folders) == 1
+    for k in range(2000, 2012):
+        store.merge(frame([k]), ["v"])
+    assert store.read(spark).count() == 213 and len(store.read(spark).inputFiles()) <= 8
+    assert len(store.expired(spark, keep=1)) > 0 and store.read(spark, 1).count() == 200
+    store.vacuum(spark, keep=1)
+    assert store.versions(spark) == [14] and store.read(spark).count() == 213 and store.expired(spark, keep=1) == []
+    lone = Store(str(tmp_path / "u"), frame([1]).schema, ["k"], buckets=8, partition=F.col("day"), bound="day")
+    lone.merge(frame(range(28)), ["v"])
+    assert len(lone.read(spark, low="2024-01-28").inputFiles()) < len(lone.read(spark).inputFiles())
+
+
+def test_a_failed_write_blocks_nothing(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, v double")
+    store = Store(str(tmp_path / "t"), rows((1, 1.0)).schema, ["k"], buckets=4)
+    store.merge(rows((1, 1.0)), ["v"])
+    # A writer stopped after its data and in the middle of its manifest.
+    (tmp_path / "t" / "manifest" / "2").mkdir()
+    (tmp_path / "t" / "manifest" / "2" / "part-0.parquet").write_bytes(b"half")
+    rows((5, 5.0)).write.parquet(str(tmp_path / "t" / "data" / "lost" / "_bucket=1"))
+    assert store.version(spark) == 1 and store.read(spark).count() == 1
+    assert store.merge(rows((2, 2.0)), ["v"])[0].version == 2
+    assert sorted(r.k for r in store.read(spark).collect()) == [1, 2] and any("lost" in p for p in store.expired(spark, keep=2))
+
+
+def test_streamed_batches_keep_files_few_and_conflicts_apart(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "k int, v double")
+    target = MergeTarget(str(tmp_path), StructType.fromDDL("k int, v double"), ["k"], ["v"], buckets=2)
+    for i in range(12):
+        merge_batch(target, rows((i, 1.0), (0, float(i + 1))), i, "s")
+    merge_batch(target, rows((11, 1.0), (0, 12.0)), 11, "s")
+    assert sorted((r.k, r.v) for r in target.accepted(spark).collect()) == [(i, 1.0) for i in range(12)]
+    assert sorted(r.v for r in target.conflicts(spark).collect()) == [float(i) for i in range(2, 13)]
+    assert len(target.accepted(spark).inputFiles()) <= 2
+
+
+def test_stored_order_is_total_across_files(spark, tmp_path):
+    table = spark.createDataFrame([(None if i % 7 == 0 else i % 5, i) for i in range(500)], "a int, b int").repartition(5)
+    write_ordered(table, str(tmp_path / "t"), [F.col("a").asc_nulls_last(), F.col("b").desc()], 4)
+    got = [(r.a, r.b) for r in read_positions(spark, str(tmp_path / "t"), table.schema).orderBy("position").collect()]
+    assert got == sorted(((r.a, r.b) for r in table.collect()), key=lambda r: (r[0] is None, r[0] or 0, -r[1]))
+
+
+def test_an_index_of_ids_prunes_buckets(spark, tmp_path):
+    table = spark.createDataFrame([(i, [f"e{i // 3}", f"x{i % 2}"], [f"p{i}"] if i % 4 else None) for i in range(300)], "n int, es array<string>, ps array<string>")
+    indexed = IndexedTable.write(table, str(tmp_path / "t"), ["es", "ps"], ["n"], 10)
+    assert sorted(r.n for r in indexed.scan(spark, es="e7").collect()) == [21, 22, 23]
+    assert [r.n for r in indexed.scan(spark, es="e7", ps="p22").collect()] == [22] and indexed.scan(spark, es="e7", ps="p1").count() == 0
+    assert len(indexed.buckets_of(spark, "es", "e7")) <= 2 and len(indexed.buckets_of(spark, "es", "x1")) == 10
+    assert len(indexed.scan(spark, es="e7").inputFiles()) > 0 and indexed.scan(spark, es="e7")._jdf.queryExecution().executedPlan().toString().count("PartitionFilters: [") == 1
 
 
 def test_unreadable_datasets_are_invalid_not_missing(spark, tmp_path):
