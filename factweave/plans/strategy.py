@@ -6,14 +6,17 @@ on them. The customer number plants what is wrong with it.
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from factweave.operators import evidence as E, hypotheses as H
+from factweave.plans import inputs as I
 from factweave.plans.registry import query, shared_sql
-from factweave.session import stage
+from factweave.session import new_folder, stage
 from factweave.sources import scans
+from factweave.sources.store import IndexedTable, read_positions, write_ordered
 
 
 def _text(prefix: str):
@@ -176,3 +179,69 @@ def _shown(df: DataFrame) -> DataFrame:
 @query("product_statuses", "SELECT * FROM paired_products", uses=["paired_products"])
 def _(t):
     return _shown(products(t))
+
+
+# --- scans of the stored classifications -----------------------------------------------------
+
+
+def _least(df: DataFrame, condition: str) -> int:
+    return df.filter(condition).agg(F.min("o_orderkey")).first()[0] or 0
+
+
+def _labelled(parts: dict[str, DataFrame], *columns: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [df.select(F.lit(label).alias("scan"), *columns) for label, df in parts.items()])
+
+
+@query("scan_quadrants", """
+SELECT 'class' AS scan, evidence_id, status FROM flawed_quadrants WHERE swot_category = 'OPPORTUNITY' AND scope = 'EXTERNAL' AND reference_date >= DATE '1996-01-01'
+UNION ALL SELECT 'evidence', q.evidence_id, status FROM flawed_quadrants q JOIN flawed f ON f.o = q.evidence_id WHERE f.k = (SELECT min(k) FROM flawed WHERE kind = 1 AND flaw = 3 AND value > 0)
+UNION ALL SELECT 'dimension', q.evidence_id, status FROM flawed_quadrants q JOIN flawed f ON f.o = q.evidence_id WHERE f.k = (SELECT min(k) FROM flawed WHERE kind = 0 AND flaw = 7 AND value > 0)
+""", uses=["flawed", "flawed_quadrants"])
+def _(t):
+    _, _, found = classified(t)
+    table = IndexedTable.write(found, new_folder(t.spark, "quadrants"), ["source_evidence_ids", "source_pestel_ids"], ["evidence_id"])
+    rows = _orders(t, 13)
+    named = _least(rows, "o_orderkey % 3 = 1 AND flaw = 3 AND value > 0")
+    linked = _least(rows, "o_orderkey % 3 = 0 AND flaw = 7 AND value > 0")
+    scan = lambda **arguments: scans.scan_members(table, t.spark, scans.scan_quadrants, **arguments)
+    return _labelled({
+        "class": scan(category="OPPORTUNITY", scope="EXTERNAL", start=dt.date(1996, 1, 1)), "evidence": scan(source_evidence_id=f"s-{named}"), "dimension": scan(source_pestel_id=f"p-{linked}"),
+    }, "evidence_id", "status")
+
+
+@query("scan_products", """
+SELECT 'kind' AS scan, entity, product_evidence_type, status FROM paired_products WHERE product_evidence_type = 'HYPOTHESIS' AND reference_date <= DATE '1995-12-31'
+UNION ALL SELECT 'evidence', entity, product_evidence_type, status FROM paired_products WHERE entity = (SELECT CAST(min(k) AS VARCHAR) FROM paired WHERE flaw = 11)
+UNION ALL SELECT 'interpretation', entity, product_evidence_type, status FROM paired_products WHERE entity = (SELECT CAST(min(k) AS VARCHAR) FROM paired WHERE flaw = 9)
+UNION ALL SELECT 'dimension', entity, product_evidence_type, status FROM paired_products WHERE entity = (SELECT CAST(min(k) AS VARCHAR) FROM paired WHERE flaw = 6)
+UNION ALL SELECT 'quadrant', entity, product_evidence_type, status FROM paired_products WHERE entity = (SELECT CAST(min(k) AS VARCHAR) FROM paired WHERE flaw = 7)
+UNION ALL SELECT 'hypothesis', entity, product_evidence_type, status FROM paired_products WHERE product_evidence_type <> 'HYPOTHESIS' AND entity = (SELECT CAST(min(k) AS VARCHAR) FROM paired WHERE flaw = 11)
+""", uses=["paired", "paired_products"])
+def _(t):
+    ids = ["source_evidence_ids", "source_interpretation_ids", "source_pestel_ids", "source_swot_ids", "source_hypothesis_ids"]
+    table = IndexedTable.write(products(t), new_folder(t.spark, "products"), ids, ["entity"])
+    rows = _orders(t, 12)
+    first = {flaw: _least(rows, f"flaw = {flaw}") for flaw in (6, 7, 9, 11)}
+    scan = lambda **arguments: scans.scan_members(table, t.spark, scans.scan_products, **arguments)
+    parent = scan(kind="HYPOTHESIS", source_evidence_id=f"c-{first[11]}").select("product_evidence_id").first()
+    return _labelled({
+        "kind": scan(kind="HYPOTHESIS", end=dt.date(1995, 12, 31)), "evidence": scan(source_evidence_id=f"c-{first[11]}"), "interpretation": scan(source_interpretation_id=f"i-{first[9]}"),
+        "dimension": scan(source_pestel_id=f"e-{first[6]}"), "quadrant": scan(source_swot_id=f"q-{first[7]}"), "hypothesis": scan(source_hypothesis_id=parent[0] if parent else "none"),
+    }, "entity", "product_evidence_type", "status")
+
+
+_ORDER = "metric_id NULLS LAST, period_end NULLS LAST, period_start NULLS FIRST, entity, value"
+
+
+@query("ordered_store", f"""
+SELECT row_number() OVER (ORDER BY {_ORDER}) AS position, metric_id, period_end, period_start, entity, value FROM (
+  SELECT metric_id, period_end, period_start, entity, value FROM quarter_facts UNION ALL SELECT 'order_count', period_end, NULL, entity, value FROM instant_facts)
+""", uses=["quarter_facts", "instant_facts"])
+def _(t):
+    columns = ["metric_id", "period_end", "period_start", "entity", "value"]
+    instants = I.instant_facts(t).withColumns({"metric_id": F.lit("order_count"), "period_start": F.lit(None).cast("date")})
+    rows = I.quarter_facts(t).select(*columns).unionByName(instants.select(*columns))
+    path = new_folder(t.spark, "ordered")
+    order = [F.col("metric_id").asc_nulls_last(), F.col("period_end").asc_nulls_last(), F.col("period_start").asc_nulls_first(), F.col("entity"), F.col("value")]
+    write_ordered(rows, path, order)
+    return read_positions(t.spark, path, rows.schema)

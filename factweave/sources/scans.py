@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from factweave.operators.selection import check_bounds
+from factweave.sources.store import IndexedTable
 
 
 class SchemaMismatch(ValueError):
@@ -106,11 +107,19 @@ def scan_quadrants(rows: DataFrame, category: str | None = None, scope: str | No
                          members=_members(source_evidence_ids=source_evidence_id, source_pestel_ids=source_pestel_id), **filters)
 
 
-def scan_products(rows: DataFrame, kind: str | None = None, source_evidence_id: str | None = None, source_hypothesis_id: str | None = None, **filters) -> DataFrame:
+def scan_products(rows: DataFrame, kind: str | None = None, source_evidence_id: str | None = None, source_interpretation_id: str | None = None,
+                  source_pestel_id: str | None = None, source_swot_id: str | None = None, source_hypothesis_id: str | None = None, **filters) -> DataFrame:
     """Hypotheses and questions; an unknown kind is refused before anything is read."""
     _known("kind", kind, PRODUCT_TYPES)
-    return scan_evidence(rows, equals={"product_evidence_type": kind},
-                         members=_members(source_evidence_ids=source_evidence_id, source_hypothesis_ids=source_hypothesis_id), **filters)
+    members = _members(source_evidence_ids=source_evidence_id, source_interpretation_ids=source_interpretation_id, source_pestel_ids=source_pestel_id,
+                       source_swot_ids=source_swot_id, source_hypothesis_ids=source_hypothesis_id)
+    return scan_evidence(rows, equals={"product_evidence_type": kind}, members=members, **filters)
+
+
+def scan_members(table: IndexedTable, spark: SparkSession, scan, **arguments) -> DataFrame:
+    """A classified scan of a stored table whose id filters read only the buckets that the table's index names."""
+    ids = {f"{name}s": value for name, value in arguments.items() if name.startswith("source_") and value is not None}
+    return scan(table.scan(spark, **ids), **arguments)
 
 
 def _members(**ids: str | None) -> dict[str, str]:
