@@ -161,6 +161,42 @@ def product_rules(status: str = "status", available: str = "AVAILABLE") -> dict[
     }
 
 
+def share_fact_violations(rows: DataFrame, key: Sequence[str], material: Sequence[str], authoritative: Column, url_prefix: str) -> DataFrame:
+    """Quantity facts against their contract, with the broken rules; copies of one key must agree on the material columns."""
+    value = F.col("value")
+    fields = F.struct(*material)
+    agreed = rows.groupBy(*key).agg((F.min(fields) == F.max(fields)).alias("_agrees"))
+    on = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"a.{c}")) for c in key])
+    joined = rows.alias("r").join(agreed.alias("a"), on).select("r.*", "a._agrees")
+    return failed_rules(joined, {
+        "authoritative": authoritative,
+        "whole_and_positive": is_positive(value) & (value == F.floor(value)),
+        "url_prefix": F.col("source_url").startswith(url_prefix) & no_credentials(F.col("source_url")),
+        "content_sha256": F.col("source_content_sha256").isNull() | sha256_text(F.col("source_content_sha256")),
+        "dates_present": F.col("reference_date").isNotNull() & F.col("filed_at").isNotNull(),
+        "key_agrees": F.col("_agrees"),
+    })
+
+
+def product_recomputed(stored: DataFrame, expected: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Stored price-times-quantity rows against their own rules and against the as-of result for the same key.
+
+    `expected` is that result: selected by both clocks, so no later fact can be in it. Rows that only one side has are
+    violations too. One join on the key.
+    """
+    columns = ("status", "price", "quantity", "value", "quantity_reference_date", "quantity_filed_at")
+    ours = stored.select(*key, *columns, F.lit(True).alias("_stored"))
+    theirs = expected.select(*key, F.struct("status", "quantity", "value", "quantity_reference_date", "quantity_filed_at").alias("_e"))
+    joined = ours.join(theirs, list(key), "full_outer")
+    both = F.col("_stored").isNotNull() & F.col("_e").isNotNull()
+    same = lambda *names: ~both | reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_e.{n}")) for n in names])
+    own = {rule: F.col("_stored").isNull() | ok for rule, ok in product_rules().items() if rule != "available_is_complete"}
+    order = ("value_is_product", "quantity_not_from_future", "unavailable_has_no_value")
+    return failed_rules(joined, {
+        **{rule: own[rule] for rule in order}, "row_expected": both, "status_recomputes": same("status"),
+        "quantity_recomputes": same("quantity", "quantity_reference_date", "quantity_filed_at"), "value_recomputes": same("value")})
+
+
 # --- fixed values: direction vocabulary of derived series -----------------------
 DIRECTION_VALUES = (
     "rising", "falling", "unchanged", "accelerating", "decelerating", "appreciating_brl", "depreciating_brl", "expanding", "contracting",

@@ -7,7 +7,7 @@ def catalogue():
     """All registered queries by key."""
     from factweave.plans import registry
     from factweave.plans import (  # noqa: F401  (importing registers the queries)
-        periods, quality, asof, merges, normalise, text, evidence, strategy, streams, jobs,
+        periods, quality, asof, merges, normalise, text, evidence, strategy, streams, jobs, company,
     )
 
     return registry.all_queries()
