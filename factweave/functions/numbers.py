@@ -68,42 +68,22 @@ def is_close(a: Column, b: Column, rel: float = 1e-12, absolute: float = 1e-12)
     return is_finite(a) & is_finite(b) & (F.abs(a - b) <= bound)
 
 
-def _large_text(x: Column) -> Column:
-    """15 significant digits of numbers from 1e9 to below 1e15, rounded half-even on the exact binary value.
+def significant_text(c: Column) -> Column:
+    """Up to 15 significant digits without trailing zeros (C `%.15g`).
 
-    The fraction of such a double is a whole number of 2**-23, so it has an exact decimal.
+    The decimal format with a pattern rounds half-even by the exact binary value; the printf-like
+    one rounds the shortest decimal instead, which is wrong at ties. Subnormal numbers show their shortest digits.
     """
-    size = F.abs(x)
-    whole = F.floor(size)
-    fraction = ((size - whole) * float(1 << 23)).cast("decimal(8,0)") * F.lit("0.00000011920928955078125").cast("decimal(23,23)")
-    rounded = None
-    for digits in range(6):  # decimals left beside an integral part of 15 - digits figures
-        at_tie = F.bround(fraction, digits) if digits else F.when(fraction == F.lit("0.5").cast("decimal(2,1)"), (whole % 2).cast("decimal(8,6)")).otherwise(F.bround(fraction, 0))
-        hit = size >= float(10 ** (14 - digits))
-        part = at_tie.cast("decimal(8,6)")
-        rounded = F.when(hit, part) if rounded is None else rounded.when(hit, part)
-    total = whole.cast("decimal(16,0)") + rounded
-    text = F.regexp_replace(F.regexp_replace(total.cast("string"), r"0+$", ""), r"\.$", "")
-    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), F.when(total >= F.lit(10 ** 15).cast("decimal(16,0)"), F.lit("1e+15")).otherwise(text))
-
-
-def significant_text(c: Column) -> Column:
-    """Up to 15 significant digits without trailing zeros (C `%.15g`)."""
     x = c.cast("double")
-    sci = F.format_string("%.14e", x)
-    magnitude = F.abs(x)
-    plain = F.regexp_replace(
-        F.regexp_replace(sci.try_cast("decimal(38,18)").cast("string"), r"0+$", ""), r"\.$", ""
-    )
-    mantissa = F.regexp_replace(F.regexp_replace(F.substring_index(sci, "e", 1), r"0+$", ""), r"\.$", "")
-    exponent = F.concat(F.lit("e"), F.substring_index(sci, "e", -1))
-    # Numbers below 1e9 with at most six decimals have at most 15 digits already.
-    short = x.try_cast("decimal(38,6)")
-    short_text = F.regexp_replace(F.regexp_replace(short.cast("string"), r"0+$", ""), r"\.$", "")
-    return (
-        F.when(x == 0, F.lit("0"))
-        .when((magnitude >= 1e-4) & (magnitude < 1e9) & (short.cast("double") == x), short_text)
-        .when((magnitude >= 1e9) & (magnitude < 1e15), _large_text(x))
-        .when((magnitude >= 1e-4) & (magnitude < 1e15), plain)
-        .otherwise(F.concat(mantissa, exponent))
-    )
+    size = F.abs(x)
+    digits = F.call_function("format_number", size, F.lit("0.00000000000000E0"))
+    # Above 1e15 only whole numbers below 2e16 can be ties; that format takes them for inexact.
+    whole = lambda cut: F.bround(size.try_cast("long").cast("decimal(19,0)"), -cut).cast("string")
+    exact = F.when(size < 1e16, whole(1)).otherwise(whole(2))
+    digits = F.when((size >= 1e15) & (size < 2e16), F.concat(F.left(exact, F.lit(1)), F.lit("."), F.substring(exact, 2, 14), F.lit("E"), (F.length(exact) - 1).cast("string"))).otherwise(digits)
+    mantissa = F.regexp_replace(F.regexp_replace(F.substring_index(digits, "E", 1), r"0+$", ""), r"\.$", "")
+    exponent = F.substring_index(digits, "E", -1).try_cast("int")
+    plain = F.regexp_replace(F.regexp_replace(F.replace(digits, F.lit("E"), F.lit("e")).try_cast("decimal(38,18)").cast("string"), r"0+$", ""), r"\.$", "")
+    text = F.when((exponent >= -4) & (exponent < 15), plain).otherwise(F.concat(mantissa, F.format_string("e%+03d", exponent)))
+    other = F.when(F.isnan(x), F.lit("nan")).otherwise(F.lit("inf"))
+    return F.when(x == 0, F.lit("0")).otherwise(F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), F.when(is_finite(x), text).otherwise(other)))

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factweave.functions.dates import exchange_date, parse_day_first, parse_year_month
-from factweave.functions.numbers import is_positive, plain_number, special_value
+from factweave.functions.numbers import is_finite, is_positive, plain_number, special_value
 from factweave.operators.canonical import latest_filing_wins
 from factweave.operators.quality import passing_rows, price_rules
 
@@ -182,25 +182,24 @@ PAYMENT_COLUMNS = (
 def unpivot_scaled(rows: DataFrame, keys: Sequence[str], month: str, columns: Sequence[WideColumn]) -> DataFrame:
     """Wide monthly measures to long scaled rows with a `status`.
 
-    Scales are powers of ten, so scaling moves the decimal point in the text and the
-    integral-count check is exact for any number of digits; only numbers with an exponent
-    are scaled as decimals. Status: OK, BAD_MONTH, BAD_VALUE, NEGATIVE or NOT_INTEGRAL.
+    Scales are powers of ten, so scaling adds to the exponent of the text, given or zero: the value is
+    rounded once, when the text is read, and the integral-count check is exact for any number of digits.
+    Status: OK, BAD_MONTH, BAD_VALUE, NEGATIVE or NOT_INTEGRAL.
     """
     date = parse_year_month(F.col(month))
     long = rows.select(*keys, date.alias("reference_date"), F.explode(F.array(*[
         F.struct(F.lit(c.metric_id).alias("metric_id"), F.lit(c.unit).alias("unit"), F.lit(c.integral).alias("integral"),
                  F.lit(c.scale).cast("decimal(12,0)").alias("scale"), F.trim(F.col(c.field).cast("string")).alias("text")) for c in columns
     ])).alias("m")).select(*keys, "reference_date", "m.*")
-    shift = F.length(F.col("scale").cast("string")) - 1
-    part = lambda i: F.regexp_extract("text", r"^([+-]?)(\d*)\.?(\d*)", i)
-    fraction = F.rpad(part(3), F.greatest(F.length(part(3)), shift), "0")
-    moved = F.concat(part(1), F.lit("0"), part(2), F.substring(fraction, F.lit(1), shift))
-    rest = F.substring(fraction, shift + 1, F.length(fraction))
-    exponent = F.col("text").rlike("[eE]")
-    wide = (F.col("text").try_cast("decimal(38,12)") * F.col("scale")).cast("decimal(38,6)")
+    part = lambda i: F.regexp_extract("text", r"^([+-]?)(\d*)\.?(\d*)(?:[eE]([+-]?\d+))?$", i)
+    given = F.when(part(4) == "", F.lit(0)).otherwise(part(4).try_cast("int"))
+    shift = F.length(F.col("scale").cast("string")) - 1 + given
+    text = F.concat(part(1), F.lit("0"), part(2), F.lit("."), part(3), F.lit("0e"), shift.cast("string"))
+    # Digits that stand behind the moved point.
+    behind = F.concat(F.right(part(2), F.greatest(-shift, F.lit(0))), F.substr(part(3), F.greatest(shift, F.lit(0)) + 1))
+    value = text.try_cast("double")
     scaled = long.withColumn("known", plain_number(F.col("text")).isNotNull()).withColumns({
-        "scaled": F.when(F.col("known"), F.when(exponent, wide.cast("double")).otherwise(F.concat(moved, F.lit("."), rest, F.lit("0")).try_cast("double"))),
-        "whole": F.when(exponent, wide % 1 == 0).otherwise(rest.rlike("^0*$"))})
+        "scaled": F.when(F.col("known") & is_finite(value), value), "whole": behind.rlike("^0*$")})
     status = (
         F.when(F.col("reference_date").isNull(), F.lit("BAD_MONTH")).when(F.col("scaled").isNull(), F.lit("BAD_VALUE"))
         .when(F.col("scaled") < 0, F.lit("NEGATIVE"))

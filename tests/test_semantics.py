@@ -240,6 +240,27 @@ def test_significant_text_agrees_with_python(spark, values):
     assert got == [f"{v:.15g}" if v else "0" for v in values]
 
 
+def test_significant_text_of_ties_and_all_magnitudes(spark):
+    import random
+
+    rng = random.Random(3)
+    values = [float(f"{rng.choice(['', '-'])}{rng.randint(1, 9)}.{rng.randrange(10**14):014d}5e{rng.randint(-3, 13)}") for _ in range(3000)]
+    values += [rng.random() * 10.0 ** rng.randint(-300, 300) for _ in range(2000)] + [float(rng.randrange(10**17)) for _ in range(500)]
+    values += [7.395484675701985, 999999999999999.5, 9999999999999995.0, 1e15, 1e-5, 0.0001, 1.7976931348623157e308, 123456789012345.5]
+    values += [rng.randint(10 ** (15 - k), 10 ** (16 - k) - 1) + rng.randrange(1, 2 ** k, 2) / 2 ** k for k in range(1, 12) for _ in range(200)] + [float(rng.randint(10**15, 2 * 10**16) // 5 * 5) for _ in range(500)]
+    got = [r.x for r in spark.createDataFrame([(v,) for v in values], "v double").select(N.significant_text(F.col("v")).alias("x")).collect()]
+    assert [(v, g) for v, g in zip(values, got) if g != f"{v:.15g}"] == []
+
+
+def test_scaled_numbers_with_exponents(spark):
+    rows = [("1e-13", 0.0, "NOT_INTEGRAL"), ("0.0000000000001", 0.0, "NOT_INTEGRAL"), ("1e40", 1e43, "OK"), ("12.5E3", 12500000.0, "OK"), ("12.5", 12500.0, "OK"), ("5e-3", 5.0, "OK"), ("5e-4", 0.5, "NOT_INTEGRAL"),
+            ("1500e-5", 15.0, "OK"), ("1501e-5", 15.01, "NOT_INTEGRAL"), ("-1e2", -100000.0, "NEGATIVE"), ("1e400", None, "BAD_VALUE"), ("x", None, "BAD_VALUE"), (".5", 500.0, "OK"), ("7.", 7000.0, "OK")]
+    df = spark.createDataFrame([(str(i), "202401", text) for i, (text, _, _) in enumerate(rows)], "k string, m string, v string")
+    got = {r.k: (r.value, r.status) for r in NO.unpivot_scaled(df, ["k"], "m", [NO.WideColumn("v", "x", "count", 1000, integral=True)]).collect()}
+    for i, (text, value, status) in enumerate(rows):
+        assert got[str(i)][1] == status and (status == "NOT_INTEGRAL" or got[str(i)][0] == value), (text, got[str(i)])
+
+
 def test_content_id_keeps_fields_apart(spark):
     df = spark.createDataFrame([("a", None, "b", 0.0), ("a", "b", None, 0.0), ("a", "", "b", 0.0), ("a", None, "b", -0.0), ("ab", None, "", 0.0)], "x string, y string, z string, v double")
     ids = [r.i for r in df.select(identity.content_id(["x", "y", "z", identity.number_token(F.col("v"))]).alias("i")).collect()]
