@@ -21,7 +21,9 @@ blocks of bits. Trees and a fingerprint sixteen times as wide only propose pairs
 that lose next to none; a pair is linked if the exact Jaccard similarity of its two sets of
 distinct shingle hashes is 0.8 or more. Pairs are confirmed in two rounds, so that a large
 group does not confirm all its pairs: first a spanning forest of each cell's proposed pairs,
-nearest first, then every proposed pair whose ends the first round left apart.
+nearest first, by a join with the sets; then, in the cells that the first round left in several
+components, every proposed pair whose ends are still apart, within the cell: its rows carry their
+sets then, cells are cut by the number of hashes they hold, and only links leave the cell.
 
 Defined results: a null text is an empty text; a text without words has fingerprint zero;
 texts shorter than a shingle count as one shingle; shingles repeat as often as they occur;
@@ -64,7 +66,7 @@ class SimHash:
 
 @dataclass(frozen=True)
 class NearCopies(SimHash):
-    """`similarity` decides. At 0.8 a bit differs with probability 0.1515 for long texts and at most 0.1875 (four shingles of five); the radii add four standard deviations to the latter."""
+    """`similarity` decides. At 0.8 a bit differs with probability 0.1515 for long texts and at most 0.1875 (four shingles of five); the radii add four standard deviations to the latter. `cell_hashes`: shingle hashes of a slice when sets travel."""
 
     words: int = 5
     radius: int = 25
@@ -72,6 +74,7 @@ class NearCopies(SimHash):
     wide_radius: int = 242
     sketch: int = 8
     similarity: float = 0.8
+    cell_hashes: int = 1 << 22
 
 
 def fingerprint_of(text: bytes, words: int, seed: int) -> int:
@@ -175,10 +178,14 @@ def _shards(fp: Column, radius: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("block"), value(a, b).alias("value")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
 
 
-def _cells(routed: DataFrame, spec: SimHash) -> DataFrame:
-    """routed: block, value and columns to carry. Adds i, j (tree and query slice), tree and query: what each cell holds."""
-    heavy = routed.groupBy("block", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > spec.tree_rows)
-    slices = heavy.select("block", "value", F.ceil(F.col("n") / spec.tree_rows).cast("int").alias("slices"))
+def _cells(routed: DataFrame, spec: SimHash, weight: Column | None = None) -> DataFrame:
+    """routed: block, value and columns to carry. Adds i, j (tree and query slice), tree and query: what each cell holds.
+
+    A shard is cut into slices of `tree_rows` rows, or of a total `weight` (numbers up to one a row) of one.
+    """
+    amount = F.count(F.lit(1)) / spec.tree_rows if weight is None else F.sum(weight)
+    heavy = routed.groupBy("block", "value").agg(amount.alias("n")).filter(F.col("n") > 1)
+    slices = heavy.select("block", "value", F.ceil("n").cast("int").alias("slices"))
     cut = routed.join(slices, ["block", "value"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
     own = F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
     return (
@@ -285,21 +292,35 @@ def _nearest_pairs(spec: NearCopies):
     return _by_cell(solve)
 
 
-def _pairs_apart(spec: NearCopies):
-    """Whole cells of sorted rows to all proposed pairs in each whose roots differ."""
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets, sorted, reach a Jaccard similarity."""
+    at = np.searchsorted(a, b)
+    both = int((a[np.minimum(at, len(a) - 1)] == b).sum()) if len(a) else 0
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def _confirmed_links(spec: NearCopies):
+    """Whole cells of sorted rows to links between rows that the proposed pairs of exact similarity join, beyond their roots."""
     def solve(rows: pd.DataFrame, cell: np.ndarray) -> Iterator[pd.DataFrame]:
-        node, root = rows["node"].to_numpy(), rows["root"].to_numpy()
-        for a, b, _ in _proposed(rows, cell, spec):
-            apart = root[a] != root[b]
-            a, b = a[apart], b[apart]
-            if len(a):
-                yield pd.DataFrame({"a": np.maximum(node[a], node[b]), "b": np.minimum(node[a], node[b])})
+        node, forest, sets = rows["node"].to_numpy(), Forest(len(rows)), rows["hashes"].to_numpy()
+        _, first, same = np.unique(rows["root"].to_numpy(), return_index=True, return_inverse=True)
+        forest.link(np.arange(len(rows)), first[same])
+        links = []
+        for a, b, d in _proposed(rows, cell, spec):
+            for at in np.argsort(d, kind="stable"):
+                x, y = a[at], b[at]
+                if forest.root[x] != forest.root[y] and _alike(sets[x], sets[y], spec.similarity):
+                    forest.link(np.array([x]), np.array([y]))
+                    links.append((x, y))
+        if links:
+            x, y = np.array(links).T
+            yield pd.DataFrame({"a": np.maximum(node[x], node[y]), "b": np.minimum(node[x], node[y])})
 
     return _by_cell(solve)
 
 
-def _forests(routed: DataFrame, spec: SimHash, run=_link_cells) -> DataFrame:
-    cells = _cells(routed, spec).repartition("block", "value", "i", "j").sortWithinPartitions("block", "value", "i", "j")
+def _forests(routed: DataFrame, spec: SimHash, run=_link_cells, weight: Column | None = None) -> DataFrame:
+    cells = _cells(routed, spec, weight).repartition("block", "value", "i", "j").sortWithinPartitions("block", "value", "i", "j")
     return cells.mapInPandas(run(spec), "a long, b long")
 
 
@@ -380,9 +401,12 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spe
     sets = stage(shingle_sets(rows.select("place", body.alias("text")).join(wanted, "place").select("node", "text"), spec), "near-sets")
     links = stage(confirmed(nearest, sets, spec), "near-confirmed")
     rooted = open_.join(components(links, "near-links"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # What the first round left apart.
-    apart = _forests(routed(rooted), spec, _pairs_apart).distinct().join(nearest, ["a", "b"], "left_anti")
-    links = links.union(confirmed(apart, sets, spec))
+    # What the first round left apart: cells of one component are done.
+    left = routed(rooted)
+    mixed = left.groupBy("block", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("block", "value")
+    ordered = sets.select("node", F.array_sort("hashes").alias("hashes"))
+    weight = F.greatest(F.lit(1.0) / spec.tree_rows, F.col("size") / spec.cell_hashes)
+    links = links.union(_forests(left.join(mixed, ["block", "value"], "left_semi").join(ordered, "node"), spec, _confirmed_links, weight))
     placed = distinct.join(components(links, "near-links"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Documents that stay: the first of each component.
     first = placed.groupBy("root").agg(F.min("least").alias("at")).select(F.col("at.place").alias("place"), F.lit(True).alias("stays"))

@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -195,6 +196,45 @@ def test_near_copies_are_decided_by_their_exact_similarity(spark):
     assert {r["row"].i for r in got if r.stays} == want and 150 < len(want) < 300
 
 
+def test_a_large_group_just_below_the_similarity_leaves_no_pairs_behind(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(100)]
+
+    def edited(n):
+        text = list(base)
+        for at in rng.sample(range(100), n):
+            text[at] = word()
+        return " ".join(text)
+
+    rows = [(i, edited(3)) for i in range(400)] + [(i, edited(1)) for i in range(400, 420)]
+    table = spark.createDataFrame(rows, "i long, t string")
+    sets = {i: {" ".join(w[k:k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if b < a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    kept = {r["row"].i for r in simhash.near_copies(table, "i", "t").collect() if r.stays}
+    want = {top(i) for i in sets}
+    assert 1 < len(want) < 420 and kept == want
+    # What leaves the cells are links, fewer than rows of each cell, though most pairs are proposed.
+    hashes = [np.sort(simhash._shingle_hashes(t.encode(), 5, 42)) for _, t in rows]
+    spec, cell = simhash.NearCopies(), pd.DataFrame({
+        "node": np.arange(420), "root": np.arange(420), "block": 0, "value": 0, "i": 0, "j": 0, "tree": True, "query": True, "size": [len(h) for h in hashes],
+        "fp": [int(simhash.wide_fingerprint(h, 16)[0].view(np.int64)) for h in hashes], "wide": [simhash.wide_fingerprint(h, 16).tobytes() for h in hashes], "hashes": hashes})
+    links = pd.concat(list(simhash._confirmed_links(spec)(iter([cell]))))
+    proposed = sum(len(a) for a, _, _ in simhash._proposed(cell, np.zeros(420, dtype=np.int64), spec))
+    assert proposed > 10_000 and len(links) < 420
+
+
 def test_near_copies_of_awkward_rows(spark):
     docs = awkward.documents(spark)
     got = simhash.near_copies(docs).collect()
