@@ -221,6 +221,33 @@ def _(t):
     return flat(E.recompute_lineage(registry.withColumn("value", altered), derived.edges))
 
 
+@query("lineage_flaws", """
+SELECT child_id AS evidence_id, CASE CAST(entity AS BIGINT) % 7 WHEN 0 THEN 'value_recomputes' WHEN 1 THEN 'roles_complete,operands_compatible,periods_compatible,value_recomputes'
+  WHEN 2 THEN 'operands_known,operands_compatible,periods_compatible,value_recomputes' WHEN 3 THEN 'edges_present,operands_known,roles_complete,operands_compatible,periods_compatible,support_is_current,value_recomputes'
+  WHEN 4 THEN 'roles_complete' WHEN 5 THEN 'support_is_current' END AS violations
+FROM growth_pairs WHERE CAST(entity AS BIGINT) % 7 < 6
+UNION ALL SELECT 'lost', 'observation_known,operands_known,operands_compatible,periods_compatible,support_is_current,value_recomputes'
+""", uses=["growth_pairs"])
+def _(t):
+    """One flaw per customer: a wrong value, a lacking or unknown operand, no edges, an operand twice, other support; and edges of an observation that is not there."""
+    derived = company(t)
+    registry = stage(derived.registry, "growth")
+    flaw = F.col("entity").cast("long") % 7
+    grown = F.col("metric_id").endswith("_yoy_growth")
+    altered = registry.withColumns({
+        "value": F.when(grown & (flaw == 0), F.col("value") + 1.0).otherwise(F.col("value")),
+        "source_evidence_ids": F.when(grown & (flaw == 5), F.array(F.lit("other"))).otherwise(F.col("source_evidence_ids"))})
+    of = registry.select(F.col("evidence_id").alias("observation_id"), flaw.alias("flaw"))
+    edges = stage(derived.edges.join(of, "observation_id"), "edges")
+    previous = F.col("role") == "previous"
+    kept = edges.filter(~((F.col("flaw") == 1) & previous) & (F.col("flaw") != 3)).withColumn(
+        "source_evidence_id", F.when((F.col("flaw") == 2) & previous, F.lit("unknown")).otherwise(F.col("source_evidence_id")))
+    twice = kept.filter((F.col("flaw") == 4) & ~previous)
+    lost = t.spark.createDataFrame([("lost", "a", "current", "yoy", 6), ("lost", "b", "previous", "yoy", 6)], "observation_id string, source_evidence_id string, role string, operation string, flaw long")
+    found = E.recompute_lineage(altered, kept.unionByName(twice).unionByName(lost).drop("flaw"))
+    return flat(found.select("evidence_id", "violations"))
+
+
 @query("lineage_closure", """
 SELECT s.evidence_id, string_agg(n.evidence_id, ',' ORDER BY n.evidence_id) AS lineage_ids, string_agg(n.evidence_type, ',' ORDER BY n.evidence_id) AS lineage_types,
        array_to_string(list_sort(list_distinct(list(n.source_metric_id))), ',') AS lineage_metrics

@@ -32,11 +32,17 @@ def recommended_builder(builder: SparkSession.Builder) -> SparkSession.Builder:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir.
 
-    Where that is unset, a folder inside the warehouse, which every executor reads and
-    writes as well.
+    Where that is unset, a folder inside the warehouse, if that can be shared: on a cluster a
+    path without a scheme, or of the `file` scheme, is a folder of the driver's machine and is refused.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staging"
+    if configured:
+        return configured
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    scheme = warehouse.split(":", 1)[0] if ":" in warehouse else "file"
+    if scheme == "file" and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse}/_staging"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
