@@ -2,10 +2,13 @@
 
 Labels come from the explicit rules (a page that one fits is labelled by it) and from the
 label table (toxic: block). Spark's FP-growth mines token combinations together with the
-label from all labelled pages. Combinations that imply `block` with enough support and
-confidence stay, unless one with a token less is as sure. A page is matched through an
+label from all labelled pages. Tokens that stand on exactly the same labelled pages, like the
+parameters of one form, are one item to the miner, so that it does not list their subsets; a page that
+holds any of them holds the item, just as if there were a rule for each. Combinations that imply `block`
+with enough support and confidence stay, unless one with a token less is as sure. A page is matched through an
 inverted index: each rule is filed under its rarest token, a page looks up its tokens and
-checks the rest of the rule. Equal token sets are looked up once.
+checks the rest of the rule. Equal token sets are looked up once. What the miner lists is still all frequent
+combinations of items: many tokens that occur together in many different selections remain many.
 
 Defined results: a null url or one without `://` has an empty host and path, no tokens,
 fits no rule and gets the default verdict `allow`; repeated page rows each get a row; an
@@ -72,15 +75,29 @@ def judged_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url") ->
 
 
 def transactions(urls: DataFrame, labels: DataFrame, doc_id: str = "doc_id", toxic: str = "toxic") -> DataFrame:
-    """`items` of every labelled page: its tokens and its label."""
+    """Tokens and label of every labelled page."""
     given = labels.groupBy(F.col(doc_id).alias("page_id")).agg(F.max(toxic).alias("toxic"))
     labelled = urls.join(given, "page_id", "left")
     label = F.coalesce(F.concat(F.lit("label="), F.col("explicit.verdict")), F.when(F.col("toxic") == 1, F.lit(BLOCK)).when(F.col("toxic") == 0, F.lit(ALLOW)))
-    return labelled.withColumn("label", label).filter(F.col("label").isNotNull()).select(F.array_append("tokens", F.col("label")).alias("items"))
+    return labelled.withColumn("label", label).filter(F.col("label").isNotNull()).select("tokens", "label")
+
+
+def merged_tokens(labelled: DataFrame, mining: Mining = Mining()) -> tuple[DataFrame, DataFrame]:
+    """Of labelled pages (tokens, label): token and item of every token with enough support, equal items for tokens of the same pages; and the `items` of every page."""
+    pages = stage(labelled.withColumn("page", F.monotonically_increasing_id()), "url-transactions")
+    least = mining.support * pages.count()
+    held = pages.select("page", F.explode("tokens").alias("token"))
+    # The set of a token's pages by its size and two hashes.
+    signed = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("page")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "page")).alias("b")).filter(F.col("n") >= least)
+    named = signed.groupBy("n", "a", "b").agg(F.min("token").alias("item"), F.collect_list("token").alias("of")).select("item", F.explode("of").alias("token"))
+    items_of = stage(named, "url-items")
+    found = held.join(items_of, "token").groupBy("page").agg(F.collect_set("item").alias("found"))
+    joined = pages.join(found, "page", "left")
+    return items_of, joined.select(F.array_append(F.coalesce("found", F.array().cast("array<string>")), F.col("label")).alias("items"))
 
 
 def mine(items: DataFrame, mining: Mining = Mining()) -> DataFrame:
-    """Rules: antecedent (sorted tokens), confidence, support and the `key` token of the index."""
+    """Rules: antecedent (sorted items), confidence, support and the `key` item of the index."""
     model = FPGrowth(itemsCol="items", minSupport=mining.support, minConfidence=mining.confidence).fit(items)
     implied = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BLOCK))).filter(~F.array_contains("antecedent", ALLOW))
     sure = stage(implied.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"), "url-rules")
@@ -94,19 +111,23 @@ def mine(items: DataFrame, mining: Mining = Mining()) -> DataFrame:
     return stage(keyed.groupBy("antecedent", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("key")), "url-index")
 
 
-def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """tokens, and the surest rule whose tokens are all among them; one row per matched token set."""
+def match(urls: DataFrame, rules: DataFrame, items_of: DataFrame) -> DataFrame:
+    """tokens, and the surest rule whose items are all held, shown by the page's own tokens; one row per matched token set."""
     sets = urls.select("tokens").distinct()
-    looked_up = sets.select("tokens", F.explode("tokens").alias("key")).join(rules, "key")
-    hits = looked_up.filter(F.size(F.array_except("antecedent", "tokens")) == 0)
-    return hits.groupBy("tokens").agg(F.max(F.struct("confidence", "support", "antecedent")).alias("mined"))
+    named = sets.select("tokens", F.explode("tokens").alias("token")).join(items_of, "token").groupBy("tokens").agg(
+        F.collect_set("item").alias("held"), F.collect_list(F.struct("item", "token")).alias("named"))
+    hits = named.select("tokens", "held", "named", F.explode("held").alias("key")).join(rules, "key").filter(F.size(F.array_except("antecedent", "held")) == 0)
+    best = hits.groupBy("tokens").agg(F.max(F.struct("confidence", "support", "antecedent", "named")).alias("m"))
+    shown = F.transform("m.antecedent", lambda i: F.array_min(F.transform(F.filter("m.named", lambda x: x["item"] == i), lambda x: x["token"])))
+    return best.select("tokens", F.struct(F.col("m.confidence").alias("confidence"), F.col("m.support").alias("support"), F.array_sort(shown).alias("antecedent")).alias("mined"))
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, mining: Mining = Mining()) -> DataFrame:
     """page_id, host, path, rule, verdict and, where mined rules decided, the rule's tokens and confidence."""
     urls = stage(judged_urls(pages), "urls")
-    rules = mine(transactions(urls, labels), mining)
-    verdicts = urls.join(match(urls.filter("explicit is null"), rules), "tokens", "left")
+    items_of, items = merged_tokens(transactions(urls, labels), mining)
+    rules = mine(items, mining)
+    verdicts = urls.join(match(urls.filter("explicit is null"), rules, items_of), "tokens", "left")
     free = F.col("explicit").isNull()
     return verdicts.select(
         "page_id", "host", "path", F.col("explicit.rule").alias("rule"),
