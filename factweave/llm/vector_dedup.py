@@ -1,7 +1,9 @@
 """Embedding near-dedup by product quantisation with lossless probes and filter.
 
-Coarse centroids and, for the residuals, a codebook per subspace are trained on a bounded
-sample. Every distinct vector is filed under its nearest centroid with its residual's codes
+Vectors are compared only inside a label, so every label with many rows has coarse centroids of its
+own; their number grows with the rows, by the square root where there are very many, and in all
+labels together at most `most_lists` are kept, for the largest. For the residuals a codebook per subspace
+is shared by all labels. Both are trained on a bounded sample. Every distinct vector is filed under its nearest centroid with its residual's codes
 and the length of what the codes leave out. As a query it probes every list that can hold a
 vector within `reach` of it (the largest distance between unit vectors whose cosine meets
 the threshold): a list can, only if the query is no farther than `reach` from the plane
@@ -10,8 +12,7 @@ asymmetric distances; a vector stays a candidate if its distance is within `reac
 length its codes leave out, so none that qualifies is lost. Candidates are compared by exact
 cosine in double precision. Recall is therefore 1 up to rounding.
 
-Equal vectors meet in a group-by first and count by their number. Vectors are compared only
-inside a label. A list above `list_rows` is cut into slices and treated slice by slice of
+Equal vectors meet in a group-by first and count by their number. A list above `list_rows` is cut into slices and treated slice by slice of
 index and queries, so no task holds more than two slices. A slice returns one count per
 query and a spanning forest of the links, never the pairs; forests are joined to components.
 
@@ -45,7 +46,7 @@ class VectorDedup:
     cosine: float = 0.98
     sample: int = 20_000
     rows_per_list: int = 400
-    most_lists: int = 1_024
+    most_lists: int = 16_384
     subspaces: int = 8
     codes: int = 256
     rounds: int = 8
@@ -78,47 +79,59 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Quantiser:
-    """Centroids and residual codebooks for vectors of one length."""
+    """Centroids by label and residual codebooks for vectors of one length. A label without centroids has one list around zero."""
 
-    centres: np.ndarray
+    centres: dict
     books: list[np.ndarray]
+    size: int
+
+    def of(self, label) -> np.ndarray:
+        found = self.centres.get(label)
+        return np.zeros((1, self.size)) if found is None else found
 
     @property
     def cuts(self) -> list[int]:
         return np.cumsum([0, *[b.shape[1] for b in self.books]]).tolist()
 
-    def file(self, x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    def file(self, x: np.ndarray, label, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
         """List, codes, length left out and sufficient probes of unit vectors."""
-        d = _squared(x, self.centres)
+        centres = self.of(label)
+        d = _squared(x, centres)
         own = np.argmin(d, axis=1)
-        residual = x - self.centres[own]
+        residual = x - centres[own]
         codes = np.stack([_nearest(residual[:, a:b], book) for book, a, b in zip(self.books, self.cuts, self.cuts[1:])], axis=1)
         decoded = np.concatenate([book[c] for book, c in zip(self.books, codes.T)], axis=1)
-        between = np.sqrt(_squared(self.centres, self.centres))[own]
+        between = np.sqrt(_squared(centres, centres))[own]
         probes = d - d[np.arange(len(x)), own][:, None] <= 2 * reach * between + _SLACK
         probes[np.arange(len(x)), own] = True
         return own, codes.astype(np.uint8), np.linalg.norm(residual - decoded, axis=1), [np.flatnonzero(p) for p in probes]
 
-    def distances(self, q: np.ndarray, centre: int, codes: np.ndarray) -> np.ndarray:
+    def distances(self, q: np.ndarray, label, centre: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distance of each query to each coded vector of a list, by table look-up."""
-        residual = q - self.centres[centre]
+        residual = q - self.of(label)[centre]
         total = np.zeros((len(q), len(codes)))
         for book, c, a, b in zip(self.books, codes.T, self.cuts, self.cuts[1:]):
             total += _squared(residual[:, a:b], book)[:, c]
         return np.sqrt(total)
 
 
-def train(sample: np.ndarray, lists: int, spec: VectorDedup) -> Quantiser:
+def train(sample: np.ndarray, labels: np.ndarray, lists: dict, spec: VectorDedup) -> Quantiser:
+    """lists: number of lists by label."""
     rng = np.random.default_rng(spec.seed)
-    centres = _kmeans(sample, lists, spec.rounds, rng)
-    residual = sample - centres[_nearest(sample, centres)]
-    parts = np.array_split(np.arange(sample.shape[1]), min(spec.subspaces, sample.shape[1]))
-    return Quantiser(centres, [_kmeans(residual[:, p[0]:p[-1] + 1], spec.codes, spec.rounds, rng) for p in parts])
+    size = sample.shape[1]
+    centres, residual = {}, sample.copy()
+    for label, k in lists.items():
+        rows = np.flatnonzero(labels == label)
+        if k > 1 and len(rows):
+            centres[label] = _kmeans(sample[rows], k, spec.rounds, rng)
+            residual[rows] -= centres[label][_nearest(sample[rows], centres[label])]
+    parts = np.array_split(np.arange(size), min(spec.subspaces, size))
+    return Quantiser(centres, [_kmeans(residual[:, p[0]:p[-1] + 1], spec.codes, spec.rounds, rng) for p in parts], size)
 
 
 def _untrained(size: int) -> Quantiser:
     """One list and one code: every vector is a candidate. For lengths that the sample lacks."""
-    return Quantiser(np.zeros((1, size)), [np.zeros((1, size))])
+    return Quantiser({}, [np.zeros((1, size))], size)
 
 
 def _units(vectors: pd.Series) -> np.ndarray:
@@ -134,10 +147,17 @@ def distinct_vectors(rows: DataFrame) -> DataFrame:
 
 def quantisers(distinct: DataFrame, spec: VectorDedup) -> dict[int, Quantiser]:
     n = distinct.count()
-    drawn = distinct.filter(in_sample(F.col("k1"), spec.seed, spec.sample / max(n, 1))).select("k1", "vector").toPandas().sort_values("k1")
-    lists = min(spec.most_lists, max(1, round(n / spec.rows_per_list)))
+    drawn = distinct.filter(in_sample(F.col("k1"), spec.seed, spec.sample / max(n, 1))).select("k1", "label", "vector").toPandas().sort_values("k1")
     sizes = drawn["vector"].map(len)
-    return {int(size): train(_units(drawn["vector"][sizes == size]), lists, spec) for size in sizes.unique()}
+    wanted = F.ceil(F.least(F.col("n") / spec.rows_per_list, F.sqrt("n"))).cast("int")
+    counted = distinct.groupBy("label", F.size("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")).withColumn("lists", wanted)
+    lists: dict[int, dict] = {}
+    room = spec.most_lists
+    for r in counted.filter("lists > 1").orderBy(F.col("n").desc(), "label").limit(spec.most_lists).collect():
+        if r.lists <= room:
+            lists.setdefault(r["size"], {})[r.label] = r.lists
+            room -= r.lists
+    return {int(size): train(_units(drawn["vector"][sizes == size]), drawn["label"][sizes == size].to_numpy(), lists.get(int(size), {}), spec) for size in sizes.unique()}
 
 
 def filed(distinct: DataFrame, models: dict[int, Quantiser], spec: VectorDedup) -> DataFrame:
@@ -147,11 +167,11 @@ def filed(distinct: DataFrame, models: dict[int, Quantiser], spec: VectorDedup)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for size, part in batch.groupby(batch["vector"].map(len)):
+            for (size, label), part in batch.groupby([batch["vector"].map(len), "label"]):
                 for at in range(0, len(part), 2048):
                     piece = part.iloc[at:at + 2048]
                     q = shared.value.get(int(size)) or _untrained(int(size))
-                    own, codes, left, probes = q.file(_units(piece["vector"]), spec.reach)
+                    own, codes, left, probes = q.file(_units(piece["vector"]), label, spec.reach)
                     yield pd.DataFrame({
                         "node": piece["node"].to_numpy(), "label": piece["label"].to_numpy(), "size": int(size), "vector": piece["vector"].to_numpy(), "copies": piece["copies"].to_numpy(),
                         "list": own, "codes": [c.tobytes() for c in codes], "left_out": left, "probes": probes})
@@ -184,7 +204,7 @@ def links(index: DataFrame, models: dict[int, Quantiser], spec: VectorDedup) ->
         stored, asked = cell[cell["codes"].notna()], cell[cell["codes"].isna()]
         if stored.empty or asked.empty:
             return pd.DataFrame({"a": [], "b": [], "n": []})
-        size, centre = int(cell["size"].iloc[0]), int(cell["list"].iloc[0])
+        size, label, centre = int(cell["size"].iloc[0]), cell["label"].iloc[0], int(cell["list"].iloc[0])
         model = shared.value.get(size) or _untrained(size)
         x, q = _units(stored["vector"]), _units(asked["vector"])
         codes = np.stack([np.frombuffer(c, dtype=np.uint8) for c in stored["codes"]])
@@ -194,7 +214,7 @@ def links(index: DataFrame, models: dict[int, Quantiser], spec: VectorDedup) ->
         forest, counts = Forest(len(nodes)), np.zeros(len(q), dtype=np.int64)
         for at in range(0, len(q), _ROWS):
             part = q[at:at + _ROWS]
-            candidate = (model.distances(part, centre, codes) <= bound) & (of_q[at:at + _ROWS][:, None] != of_x[None, :])
+            candidate = (model.distances(part, label, centre, codes) <= bound) & (of_q[at:at + _ROWS][:, None] != of_x[None, :])
             row, col = np.nonzero(candidate)
             if not len(row):
                 continue
