@@ -339,3 +339,9 @@ def test_plans_have_no_cross_join_and_no_python(spark, key):
     plan = entry.queries()[key](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "Python" not in plan
+
+
+def test_sentences_lose_no_characters(spark):
+    text = "Start here. 19.37.233.111 is an address. 2381 follows. 3x3"
+    got = spark.createDataFrame([(text,)], "t string").select(T.sentences(F.col("t")).alias("s")).first().s
+    assert got == ["Start here.", "19.37.233.111 is an address.", "2381 follows.", "3x3"]
