@@ -345,3 +345,20 @@ def test_sentences_lose_no_characters(spark):
     text = "Start here. 19.37.233.111 is an address. 2381 follows. 3x3"
     got = spark.createDataFrame([(text,)], "t string").select(T.sentences(F.col("t")).alias("s")).first().s
     assert got == ["Start here.", "19.37.233.111 is an address.", "2381 follows.", "3x3"]
+
+
+def entry_plan(key):
+    from factweave.plans import catalogue
+
+    return catalogue()[key].plan
+
+
+def test_a_leap_day_moved_and_back_is_the_same_day(spark):
+    from factweave.plans import company
+
+    orders = [(1, 9, D(2000, 2, 29), 10.0, "O", "1-URGENT")]
+    lines = [(1, 1, D(2000, 2, 1), 5.0, "N")]
+    t = type("T", (), {
+        "orders": spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice double, o_orderstatus string, o_orderpriority string"),
+        "lineitem": spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_shipdate date, l_extendedprice double, l_returnflag string"), "spark": spark})
+    assert rows(entry_plan("gold_contract")(t), "entity", "reference_date", "violations") == [("9", D(2000, 2, 29), "row_expected")]
