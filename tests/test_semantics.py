@@ -362,3 +362,17 @@ def test_a_leap_day_moved_and_back_is_the_same_day(spark):
         "orders": spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice double, o_orderstatus string, o_orderpriority string"),
         "lineitem": spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_shipdate date, l_extendedprice double, l_returnflag string"), "spark": spark})
     assert rows(entry_plan("gold_contract")(t), "entity", "reference_date", "violations") == [("9", D(2000, 2, 29), "row_expected")]
+
+
+def test_prices_of_zero_break_the_contract_in_query_and_sql(spark):
+    import __spark_entry__ as entry
+    import duckdb
+
+    ts = dt.datetime(2024, 1, 2, 10)
+    events = [(1, "view", 7, ts, 0.0), (2, "view", 8, ts, 2.0), (3, "view", 8, ts + dt.timedelta(hours=1), 0.0), (4, "view", 9, ts, 3.0)]
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE events (event_id BIGINT, event_type VARCHAR, user_id BIGINT, ts TIMESTAMP, value DOUBLE)")
+    connection.executemany("INSERT INTO events VALUES (?, ?, ?, ?, ?)", events)
+    want = connection.execute(f"SELECT ticker FROM ({entry.oracle_sql()['ohlc_normalize']})").fetchall()
+    t = type("T", (), {"events": spark.createDataFrame(events, "event_id long, event_type string, user_id long, ts timestamp_ntz, value double")})
+    assert rows(entry_plan("ohlc_normalize")(t), "ticker") == want == [("view:9",)]
