@@ -376,3 +376,12 @@ def test_prices_of_zero_break_the_contract_in_query_and_sql(spark):
     want = connection.execute(f"SELECT ticker FROM ({entry.oracle_sql()['ohlc_normalize']})").fetchall()
     t = type("T", (), {"events": spark.createDataFrame(events, "event_id long, event_type string, user_id long, ts timestamp_ntz, value double")})
     assert rows(entry_plan("ohlc_normalize")(t), "ticker") == want == [("view:9",)]
+
+
+def test_release_amounts_round_by_the_exact_binary_value(spark):
+    from factweave.plans.text import releases
+
+    amounts = {1: "25000.00", 2: "15000.00", 3: "35000.00", 4: "75000.00"}
+    orders = spark.createDataFrame([(k, k, D(1997, 2, 3), v) for k, v in amounts.items()], "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice string").withColumn("o_totalprice", F.col("o_totalprice").cast("double"))
+    html = {r.entity: r.html for r in releases(type("T", (), {"orders": orders})).collect()}
+    assert all(f"was ${'%.1f' % (float(v) / 100000)}bn" in html[str(k)] for k, v in amounts.items())
