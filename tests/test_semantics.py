@@ -385,3 +385,15 @@ def test_release_amounts_round_by_the_exact_binary_value(spark):
     orders = spark.createDataFrame([(k, k, D(1997, 2, 3), v) for k, v in amounts.items()], "o_orderkey long, o_custkey long, o_orderdate date, o_totalprice string").withColumn("o_totalprice", F.col("o_totalprice").cast("double"))
     html = {r.entity: r.html for r in releases(type("T", (), {"orders": orders})).collect()}
     assert all(f"was ${'%.1f' % (float(v) / 100000)}bn" in html[str(k)] for k, v in amounts.items())
+
+
+def test_html_text_sql_decodes_as_the_operator(spark):
+    import __spark_entry__ as entry
+    import duckdb
+
+    pages = ["a&amp b &ampx; &#38;#1; &#x80;&#0; &notit; &notin; &hellip;&#xD800; &#99999999999;", "<template>x</template><script>y</style></script>&nbsp;z  &lt;p&gt", "&", "&CounterClockwiseContourIntegral;&#x1F600&Tab;.", "none"]
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE pages (page_id INT, html VARCHAR)")
+    connection.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(pages)))
+    want = connection.execute(f"SELECT page_id, text FROM ({entry.oracle_sql()['html_text']})").fetchall()
+    assert rows(T.with_html_text(spark.createDataFrame(list(enumerate(pages)), "page_id int, html string"), "html"), "page_id", "text") == sorted(want, key=repr)
