@@ -397,3 +397,15 @@ def test_html_text_sql_decodes_as_the_operator(spark):
     connection.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(pages)))
     want = connection.execute(f"SELECT page_id, text FROM ({entry.oracle_sql()['html_text']})").fetchall()
     assert rows(T.with_html_text(spark.createDataFrame(list(enumerate(pages)), "page_id int, html string"), "html"), "page_id", "text") == sorted(want, key=repr)
+
+
+def test_growth_moves_no_claims_or_ids(spark):
+    """The walk over the years exchanges and sorts narrow facts only; ids are projections of its result, those of the prior too."""
+    facts = spark.createDataFrame([("e", "gmv", "USD", "QUARTER", D(y, 1, 1), D(y, 3, 31), y, "Q1", "v1", float(y), D(y, 4, 20), f"a{y}") for y in (2020, 2021, 2022)], FACT + ", filed_at date, accession_number string")
+    stored = []
+    derived = E.derive_growth(facts, {"gmv": ("Commerce", "USD")}, "s", unique=True, keep=lambda df: stored.append(df) or df)
+    assert not {"claim", "evidence_id", "prior_evidence_id"} & set(stored[0].columns)
+    ids = {r.period_end: r.evidence_id for r in derived.registry.filter("evidence_type = 'FACT'").collect()}
+    want = sorted((ids[D(y - b, 3, 31)], role) for y in (2021, 2022) for b, role in ((0, "current"), (1, "previous")))
+    assert sorted((r.source_evidence_id, r.role) for r in derived.edges.collect()) == want
+    assert [r.evidence_id for r in derived.omissions.collect()] == [ids[D(2020, 3, 31)]]
