@@ -409,3 +409,28 @@ def test_growth_moves_no_claims_or_ids(spark):
     want = sorted((ids[D(y - b, 3, 31)], role) for y in (2021, 2022) for b, role in ((0, "current"), (1, "previous")))
     assert sorted((r.source_evidence_id, r.role) for r in derived.edges.collect()) == want
     assert [r.evidence_id for r in derived.omissions.collect()] == [ids[D(2020, 3, 31)]]
+
+
+def test_releases_are_dealt_out(spark):
+    """A release costs far more than the bytes of its totals tell: their small partitions are not joined into one task."""
+    from factweave.plans import text as PT
+    from factweave.plans.registry import Tables
+    from factweave.session import work_tasks
+
+    assert PT.releases(Tables(spark, "/root/testdata/sf0.001")).rdd.getNumPartitions() == work_tasks(spark) >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_numbers_are_read_once(spark, capsys):
+    """Inside a lambda function nothing is shared: the pattern of a number stands in the plan as often as it runs."""
+    spark.range(1).select(F.transform(F.array(F.lit("1")), N.reported_number).alias("x")).explain("extended")
+    analysed = capsys.readouterr().out.split("== Optimized")[0].split("== Analyzed")[1]
+    assert analysed.count(r"(\d+\.?\d*|\.\d+)") <= 3  # six when a value stood in the plan as often as it was named
+    for text, value in (("(1,234.5)\n", -1234.5), (" (7) ", -7.0), ("(7", None), ("1e999", None), ("-1e999", None), ("((7))", None), ("(-7)", 7.0), (None, None)):
+        assert one(spark, N.reported_number(F.col("t")), t=text) == value, text
+
+
+def test_every_blank_collapses(spark):
+    blanks = "\t\n\x0b\f\r \x85\xa0       　"
+    for text in (f"{blanks}a{blanks}b{blanks}", *[f"{c}a{c}{c}b c{c}" for c in blanks], "a\x1cb", "​a", ""):
+        want = __import__("re").sub(f"[{blanks} - ]+", " ", text).strip(" ")
+        assert one(spark, T.collapse_blanks(F.col("t")), t=text) == want, repr(text)
