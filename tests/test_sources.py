@@ -185,3 +185,17 @@ def test_a_broken_stored_schema_stops_the_streaming_merge(spark, tmp_path):
     (tmp_path / "accepted").write_text("a file where a folder belongs")
     with pytest.raises(Exception):  # not an empty table
         target.accepted(spark).collect()
+
+
+def test_merge_exchanges_rows_once(spark, tmp_path, monkeypatch):
+    """Stored and incoming rows are exchanged by bucket; the commit writes what the merge left, without an exchange of its own."""
+    from factweave.sources import store as S
+
+    plans = []
+    monkeypatch.setattr(S, "stage", lambda df, name, real=S.stage: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or real(df, name))
+    store = Store(str(tmp_path / "t"), StructType().add("k", "long").add("v", "long"), ["k"], buckets=8)
+    store.merge(spark.range(500).selectExpr("id AS k", "id AS v"), ["v"])
+    store.merge(spark.range(1000).selectExpr("id AS k", "id AS v"), ["v"])
+    assert [plan.count("Exchange hashpartitioning") for name, plan in plans if name == "merge"] == [1, 1]
+    assert all("Exchange hashpartitioning(_bucket" in plan for name, plan in plans if name == "merge")
+    assert sorted(tuple(r) for r in store.read(spark).collect()) == [(i, i) for i in range(1000)]
