@@ -199,3 +199,18 @@ def test_merge_exchanges_rows_once(spark, tmp_path, monkeypatch):
     assert [plan.count("Exchange hashpartitioning") for name, plan in plans if name == "merge"] == [1, 1]
     assert all("Exchange hashpartitioning(_bucket" in plan for name, plan in plans if name == "merge")
     assert sorted(tuple(r) for r in store.read(spark).collect()) == [(i, i) for i in range(1000)]
+
+
+def test_index_is_ordered_and_made_distinct_by_one_exchange(spark, tmp_path, monkeypatch):
+    from factweave.sources import store as S
+
+    plans = []
+    monkeypatch.setattr(S, "write_ordered", lambda df, *a, real=S.write_ordered, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, *a, **k))
+    rows = spark.range(200, numPartitions=2).selectExpr("id", "array('x', concat('s-', id div 2)) AS ids")
+    table = IndexedTable.write(rows, str(tmp_path / "t"), ["ids"], ["id"], buckets=4)
+    assert len(plans) == 1 and "Exchange" not in plans[0]
+    index = spark.read.parquet(str(tmp_path / "t" / "ids"))
+    assert index.count() == index.distinct().count() and index.filter("id = 'x'").count() == 4
+    found = [r.id for f in sorted(index.inputFiles()) for r in spark.read.parquet(f).collect()]
+    assert found == sorted(found)
+    assert sorted(r.id for r in table.scan(spark, ids="s-7").collect()) == [14, 15]
