@@ -302,6 +302,24 @@ def test_tampered_lineage_is_found(spark):
     assert not E.recompute_lineage(derived.registry, derived.edges.filter("role = 'current'")).isEmpty()
 
 
+def test_packed_ids_are_told_apart_and_come_back(spark):
+    digest = "0aff" * 16
+    ids = [digest, digest.upper(), digest + "\n", digest[:-1], bytes.fromhex("61" * 32).decode(), "", "\x01", "lost", None]
+    got = spark.createDataFrame([(i,) for i in ids], "i string").select("i", identity.packed_id(F.col("i")).alias("p")).select("i", "p", identity.unpacked_id(F.col("p")).alias("back")).collect()
+    assert [r.back for r in got] == ids and len({bytes(r.p) for r in got if r.p is not None}) == len(ids) - 1
+    assert len(got[0].p) == 33
+
+
+def test_lineage_flaws_stages_narrow_facts_only(spark, monkeypatch):
+    from factweave.plans import catalogue, evidence as PE
+    from factweave.plans.registry import Tables
+
+    staged = []
+    monkeypatch.setattr(PE, "stage", lambda df, name, real=PE.stage: staged.append((name, "claim" in df.columns)) or real(df, name))
+    catalogue()["lineage_flaws"].plan(Tables(spark, "/root/testdata/sf0.001"))
+    assert staged == [("facts", False)]
+
+
 @pytest.mark.parametrize("metric,domain,kind,context,expected", [
     ("pix_transactions_count_monthly", "Macro", "technology_adoption", "technology_adoption", "TECHNOLOGICAL"), ("pix_transactions_count_monthly", "Macro", "level", "", "ECONOMIC"),
     ("fintech_mau", "Fintech", "level", "", "SOCIAL"), ("fintech_mau", "Commerce", "level", "", None), ("x", "Macro", "public_policy", "", "POLITICAL"),
