@@ -11,7 +11,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from factweave.functions import identity, numbers as N, text as T
-from factweave.operators import asof as A, canonical as C, evidence as E, extraction as X, merge as M, normalise as NO, periods as P, quality as Q, ratios as R, rules as RULES
+from factweave.operators import asof as A, canonical as C, evidence as E, extraction as X, lineage as L, merge as M, normalise as NO, periods as P, quality as Q, ratios as R, rules as RULES
 
 D = dt.date
 FACT = "entity string, metric_id string, unit string, period_type string, period_start date, period_end date, reference_year int, period_label string, definition_version string, value double"
@@ -310,6 +310,25 @@ def test_packed_ids_are_told_apart_and_come_back(spark):
     assert len(got[0].p) == 33
 
 
+def test_records_meet_only_rows_that_may_be_external(spark):
+    """Rows of internal domains stay out of the index of ids; digests and plain ids come back from the packed form."""
+    digest = "ab" * 32
+    facts = E.as_evidence(
+        spark.createDataFrame([("plain", "Macro", [], 1.0), (digest, "Macro", ["plain", "lost"], 2.0), ("inner", "Fintech", [digest], 3.0)], "evidence_id string, business_domain string, source_evidence_ids array<string>, value double"),
+        evidence_type=F.lit("OBSERVATION"), metric_id=F.lit("selic_target_change_pp"), source_metric_id=F.lit("selic_target_annual"), claim=F.lit("c"), claim_kind=F.lit("increase"),
+        source=F.lit("s"), reference_date=F.lit("2020-01-01").cast("date"), is_interpretation=F.lit(False), definition_context=F.lit("x=1"))
+    lined = L.with_lineage(facts, facts, keep=E.CLASSIFIED)
+    assert "source_evidence_ids" not in lined.columns
+    ids = rows(lined.select("evidence_id", L.field(F.col("lineage"), "id").alias("ids"), "missing"), "evidence_id", "ids", "missing")
+    assert ids == [(digest, [digest, "lost", "plain"], 1), ("inner", [digest, "inner"], 0), ("plain", ["plain"], 0)]
+    dimensions = lined.select(
+        F.concat(F.lit("p-"), "evidence_id").alias("pestel_id"), F.lit("ECONOMIC").alias("pestel_dimension"), F.array(F.lit("selic_target_annual")).alias("source_metric_ids"), "lineage",
+        "definition_context", "reference_date", "business_domain", L.field(F.col("lineage"), "id").alias("source_evidence_ids"), F.lit("OK").alias("status"))
+    asked = facts.withColumn("_dimension", F.lit("ECONOMIC"))
+    met = E.matched_dimensions(asked, dimensions, facts).select(identity.unpacked_id(F.col("_key")).alias("evidence_id"), "source_pestel_ids")
+    assert rows(met, "evidence_id", "source_pestel_ids") == [(digest, sorted(["p-" + digest, "p-inner"])), ("plain", sorted(["p-plain", "p-" + digest]))]
+
+
 def test_lineage_flaws_stages_narrow_facts_only(spark, monkeypatch):
     from factweave.plans import catalogue, evidence as PE
     from factweave.plans.registry import Tables
