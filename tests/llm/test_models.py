@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import dataclasses
 import math
 import re
 import zlib
@@ -171,6 +172,38 @@ def test_unseen_pairs_have_no_count(spark):
     assert rate <= 0.01
 
 
+def test_a_batch_loads_every_segment_once_and_probes_a_key_once(spark):
+    spec = language_model.LanguageModel(range_tokens=200, segment_bytes=1 << 10)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 400, 300)) for _ in range(40)]
+    counts, bits = language_model.count_ngrams(spark.createDataFrame([(t,) for t in texts], "text string"), spec)
+    spec = dataclasses.replace(spec, levels=12)
+    found = language_model.make_filter(counts, bits, spec)
+    assert len(found.segments) > 2
+    loads, probed = [], []
+
+    class Segment:
+        def __init__(self, of):
+            self.of = of
+
+        @property
+        def value(self):
+            loads.append(self)
+            return self.of.value
+
+    found.segments = [Segment(s) for s in found.segments]
+    levels = found._levels
+    found._levels = lambda raw, base, *rest: probed.append(len(base)) or levels(raw, base, *rest)
+
+    class Empty:
+        value = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    scorer = language_model.Scorer(found, Empty(), 12_000, 400, spec, np.full(13, 0.5))
+    scorer.documents(texts)
+    doc, h, before = language_model.token_hashes(texts)
+    assert len(loads) == len(found.segments) and sum(probed) == len(np.unique(h)) + 1 + len(np.unique(language_model.pair_hash(before, h)))
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.dictionaries(st.integers(0, 2 ** 64 - 2), st.integers(1, 2 ** 40), max_size=60))
 def test_blocks_and_tables_hold_what_was_put_in(counts):
