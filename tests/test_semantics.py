@@ -448,6 +448,15 @@ def test_growth_moves_no_claims_or_ids(spark):
     assert [r.evidence_id for r in derived.omissions.collect()] == [ids[D(2020, 3, 31)]]
 
 
+def test_facts_are_dealt_out_by_entity_over_many_tasks(spark):
+    from factweave.plans import inputs as I
+    from factweave.plans.registry import Tables
+    from factweave.session import work_tasks
+
+    facts = I.quarter_facts(Tables(spark, "/root/testdata/sf0.001"), ("net_revenue", "order_count"))
+    assert facts.rdd.getNumPartitions() == work_tasks(spark)
+
+
 def test_releases_are_dealt_out(spark):
     """A release costs far more than the bytes of its totals tell: their small partitions are not joined into one task."""
     from factweave.plans import text as PT
