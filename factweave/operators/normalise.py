@@ -204,7 +204,9 @@ def unpivot_scaled(rows: DataFrame, keys: Sequence[str], month: str, columns: Se
         F.when(F.col("reference_date").isNull(), F.lit("BAD_MONTH")).when(F.col("scaled").isNull(), F.lit("BAD_VALUE"))
         .when(F.col("scaled") < 0, F.lit("NEGATIVE"))
         .when(F.col("integral") & ~F.coalesce(F.col("whole"), F.lit(False)), F.lit("NOT_INTEGRAL")).otherwise(F.lit("OK")))
-    return scaled.select(*keys, "metric_id", "reference_date", F.col("scaled").alias("value"), "unit", status.alias("status"))
+    # Behind the explode, a filter on the status reads it; before it, the filter would repeat every expression, in a method too large to be compiled.
+    judged = scaled.select(*keys, "metric_id", "reference_date", "unit", F.explode(F.array(F.struct(F.col("scaled").alias("value"), status.alias("status")))).alias("v"))
+    return judged.select(*keys, "metric_id", "reference_date", "v.value", "unit", "v.status")
 
 
 def normal_label(c: Column) -> Column:

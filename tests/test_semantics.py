@@ -261,6 +261,13 @@ def test_scaled_numbers_with_exponents(spark):
         assert got[str(i)][1] == status and (status == "NOT_INTEGRAL" or got[str(i)][0] == value), (text, got[str(i)])
 
 
+def test_filter_on_the_status_repeats_no_parsing(spark):
+    df = spark.range(3).select(F.col("id").cast("string").alias("k"), F.lit("202401").alias("m"), F.col("id").cast("string").alias("v"))
+    rows = NO.unpivot_scaled(df, ["k"], "m", [NO.WideColumn("v", "x", "count", 1000, integral=True)])
+    parses = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract")
+    assert 0 < parses(rows.filter("status = 'OK'")) <= parses(rows)
+
+
 def test_content_id_keeps_fields_apart(spark):
     df = spark.createDataFrame([("a", None, "b", 0.0), ("a", "b", None, 0.0), ("a", "", "b", 0.0), ("a", None, "b", -0.0), ("ab", None, "", 0.0)], "x string, y string, z string, v double")
     ids = [r.i for r in df.select(identity.content_id(["x", "y", "z", identity.number_token(F.col("v"))]).alias("i")).collect()]
