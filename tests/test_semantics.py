@@ -252,6 +252,13 @@ def test_significant_text_of_ties_and_all_magnitudes(spark):
     assert [(v, g) for v, g in zip(values, got) if g != f"{v:.15g}"] == []
 
 
+def test_text_of_a_number_leaves_its_caller_compilable(spark):
+    df = spark.range(3).select(F.concat(F.lit("was "), N.significant_text(F.col("id") / 7)).alias("claim"))
+    stages = df._jdf.queryExecution().debug().codegenToSeq()
+    # The JVM compiles no method of more than 8,000 bytes.
+    assert stages.size() and all(stages.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(stages.size()))
+
+
 def test_scaled_numbers_with_exponents(spark):
     rows = [("1e-13", 0.0, "NOT_INTEGRAL"), ("0.0000000000001", 0.0, "NOT_INTEGRAL"), ("1e40", 1e43, "OK"), ("12.5E3", 12500000.0, "OK"), ("12.5", 12500.0, "OK"), ("5e-3", 5.0, "OK"), ("5e-4", 0.5, "NOT_INTEGRAL"),
             ("1500e-5", 15.0, "OK"), ("1501e-5", 15.01, "NOT_INTEGRAL"), ("-1e2", -100000.0, "NEGATIVE"), ("1e400", None, "BAD_VALUE"), ("x", None, "BAD_VALUE"), (".5", 500.0, "OK"), ("7.", 7000.0, "OK")]
