@@ -494,3 +494,21 @@ def test_every_blank_collapses(spark):
     for text in (f"{blanks}a{blanks}b{blanks}", *[f"{c}a{c}{c}b c{c}" for c in blanks], "a\x1cb", "​a", ""):
         want = __import__("re").sub(f"[{blanks} - ]+", " ", text).strip(" ")
         assert one(spark, T.collapse_blanks(F.col("t")), t=text) == want, repr(text)
+
+
+def test_orphans_stage_only_what_is_read(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from factweave.plans import evidence as PE
+
+    staged = {}
+    monkeypatch.setattr(PE, "stage", lambda df, name, real=PE.stage: staged.update({name: df}) or real(df, name))
+    found = entry.queries()["lineage_orphans"](spark, "/root/testdata/sf0.001")
+    assert "claim" not in staged["evidence"].columns and not found.isEmpty()
+    assert staged["evidence"].filter("evidence_type = 'FACT' AND business_domain <> 'Commerce'").isEmpty()
+
+
+def test_orphans_of_unknown_and_mistyped_sources(spark):
+    evidence = spark.createDataFrame([("a", "FACT"), ("0" * 64, "FACT")], "evidence_id string, evidence_type string")
+    rows = spark.createDataFrame([("r", ["a", "b", "0" * 64], ["FACT", "FACT", "OBSERVATION"]), ("s", ["a"], ["FACT"])], "id string, sources array<string>, types array<string>")
+    got = sorted(tuple(r) for r in E.lineage_orphans(rows, evidence, "id", "sources", "types").collect())
+    assert got == [("r", "0" * 64, "TYPE_MISMATCH"), ("r", "b", "UNKNOWN_ID")]
