@@ -214,3 +214,13 @@ def test_index_is_ordered_and_made_distinct_by_one_exchange(spark, tmp_path, mon
     found = [r.id for f in sorted(index.inputFiles()) for r in spark.read.parquet(f).collect()]
     assert found == sorted(found)
     assert sorted(r.id for r in table.scan(spark, ids="s-7").collect()) == [14, 15]
+
+
+def test_export_tables_are_computed_once(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from factweave.sources import exports
+
+    plans = []
+    monkeypatch.setattr(exports, "publish", lambda tables, *a, real=exports.publish: plans.extend(e.rows._jdf.queryExecution().executedPlan().toString() for e in tables.values()) or real(tables, *a))
+    entry.queries()["export_validation"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 4 and not any("Aggregate" in plan for plan in plans)
