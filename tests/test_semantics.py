@@ -512,3 +512,46 @@ def test_orphans_of_unknown_and_mistyped_sources(spark):
     rows = spark.createDataFrame([("r", ["a", "b", "0" * 64], ["FACT", "FACT", "OBSERVATION"]), ("s", ["a"], ["FACT"])], "id string, sources array<string>, types array<string>")
     got = sorted(tuple(r) for r in E.lineage_orphans(rows, evidence, "id", "sources", "types").collect())
     assert got == [("r", "0" * 64, "TYPE_MISMATCH"), ("r", "b", "UNKNOWN_ID")]
+
+
+def _growing(spark, origins):
+    facts = spark.createDataFrame([quarter(m, y, float(y - 2000), entity=e) for m in ("gmv", "other") for y in (2020, 2021, 2022) for e in "ab"], FACT).withColumns({
+        "filed_at": F.col("period_end"), "accession_number": F.lit("1")})
+    return E.derive_growth(facts, {"gmv": ("Commerce", "USD")}, "s", unique=True, origins=origins).registry
+
+
+def test_origins_give_the_lineage_that_the_join_gives(spark):
+    carried = L.with_origins(_growing(spark, True))
+    joined = L.with_lineage(_growing(spark, False), _growing(spark, False))
+    assert "Join" not in carried._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(carried, "evidence_id", "lineage", "missing") == rows(joined, "evidence_id", "lineage", "missing")
+    assert {len(r.lineage) for r in carried.select("lineage").collect()} == {1, 2}
+
+
+@pytest.mark.parametrize("key", ["classify_dimensions", "classify_quadrants", "supporting_evidence", "cross_domain_pairs"])
+def test_evidence_is_not_written_whole(spark, monkeypatch, key):
+    """Only the narrow facts are staged: the registry is a projection of them."""
+    import __spark_entry__ as entry
+    from factweave.plans import evidence as PE
+
+    staged = {}
+    monkeypatch.setattr(PE, "stage", lambda df, name, real=PE.stage: staged.update({name: df}) or real(df, name))
+    entry.queries()[key](spark, "/root/testdata/sf0.001")
+    assert list(staged) == ["facts"] and not {"claim", "evidence_id"} & set(staged["facts"].columns)
+
+
+def test_supporting_origins_are_the_rows_that_the_join_finds(spark):
+    evidence = _growing(spark, False)
+    rules = {"gmv_yoy_growth": ("positive_value", "text", "kind")}
+    got = E.supporting_origins(E.interpretations(evidence, rules, origins=True).unionByName(E.interpretations(evidence, rules, origins=True)))
+    want = E.supporting_evidence(E.interpretations(evidence, rules).unionByName(E.interpretations(evidence, rules)), evidence)
+    columns = ("evidence_id", *L.NODE_FIELDS, "references")
+    assert rows(got, *columns) == rows(want, *columns) and rows(got, "references") == [(2,)] * 4
+
+
+def test_pairs_of_domains_exchange_twice(spark):
+    """Metrics and types are counted, then every group is placed once for both steps that follow."""
+    text = F.col("id").cast("string")
+    evidence = E.as_evidence(spark.range(9), **{c: text for c in ("evidence_id", "entity", "metric_id", "business_domain", "evidence_type")}, reference_date=F.date_from_unix_date(F.col("id").cast("int")))
+    plan = E.cross_domain_pairs(evidence)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
