@@ -88,21 +88,19 @@ class DedupStream:
 
     def groups(self, spark: SparkSession) -> DataFrame:
         """One row per input row: digest, `at`, the locator `keep` of the row that stays, and group_size."""
-        rows = self._keyed(spark.read.parquet(self.path))
-        state = self.state(spark)
-        # Hits: all rows of a digest seen more than once, with the text as grouping key.
-        hits = rows.join(state.filter("n > 1").select("digest"), "digest")
-        texts = hits.groupBy("digest", "body").agg(F.min("at").alias("keep"), F.count(F.lit(1)).alias("group_size"))
-        # Kept for digests that more than one text shares; as a rule there is none.
-        several = stage(
-            texts.select("digest", "keep", "group_size", F.sha2("body", 512).alias("check"))
-            .join(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("digest"), "digest"), "dedup-collisions")
-        plain = rows.select("digest", "at")
-        if several.isEmpty():
-            return plain.join(state, "digest").select("digest", "at", F.col("first").alias("keep"), F.col("n").alias("group_size"))
-        clash = several.select("digest").distinct()
-        sound = plain.join(clash, "digest", "left_anti").join(state, "digest").select("digest", "at", F.col("first").alias("keep"), F.col("n").alias("group_size"))
-        shared = rows.join(clash, "digest").select("digest", "at", "body")
+        state = stage(self.state(spark), "dedup-state")
+        seen = stage(state.filter("n > 1").select("digest", F.lit(True).alias("hit")), "dedup-seen")
+        # One pass normalises and hashes all texts. Only rows that hit a digest seen more than once keep theirs; written first, the digests have a known size, and a few of them go to the texts.
+        rows = stage(
+            self._keyed(spark.read.parquet(self.path)).join(seen, "digest", "left").select("digest", "at", F.when(F.col("hit"), F.col("body")).alias("body")), "dedup-rows")
+        texts = rows.filter("body IS NOT NULL").groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n"))
+        # Digests that more than one text shares; as a rule there is none.
+        clash = stage(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("digest"), "dedup-collisions")
+        plain, none = rows.select("digest", "at"), clash.isEmpty()
+        sound = (plain if none else plain.join(clash, "digest", "left_anti")).join(state, "digest").select("digest", "at", F.col("first").alias("keep"), F.col("n").alias("group_size"))
+        if none:
+            return sound
+        shared = rows.join(clash, "digest")
         each = shared.groupBy("digest", "body").agg(F.min("at").alias("keep"), F.count(F.lit(1)).alias("group_size"))
         return sound.unionByName(shared.join(each, ["digest", "body"]).select("digest", "at", "keep", "group_size"))
 

@@ -63,6 +63,19 @@ def test_exact_state_goes_on_with_new_files_and_takes_an_empty_table(spark, tmp_
     assert [r.group_size for r in dedup.groups(spark).collect()] == [4] * 4
 
 
+def test_texts_that_hit_nothing_are_not_exchanged(spark, tmp_path, monkeypatch):
+    """Texts are normalised and hashed in one pass, which keeps those of hits only and exchanges none."""
+    docs = spark.createDataFrame([(1, "a  b"), (2, "a b"), (3, "c")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    staged = {}
+    monkeypatch.setattr(exact_dedup, "stage", lambda df, name, real=exact_dedup.stage: staged.update({name: (df, real(df, name))}) or staged[name][1])
+    found = _groups(spark, f"{tmp_path}/docs", tmp_path).groups(spark)
+    assert sorted((r["at"].id, r["keep"].id, r.group_size) for r in found.collect()) == [(1, 1, 2), (2, 1, 2), (3, 3, 1)]
+    plan, rows = staged["dedup-rows"]
+    assert "SortMergeJoin" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["at"].id, r.body) for r in rows.collect()) == [(1, "a b"), (2, "a b"), (3, None)]
+
+
 # --- lines -----------------------------------------------------------------------
 
 
