@@ -150,6 +150,18 @@ def test_large_counts_read_back_within_their_level():
     assert (back / counts < 1.5).all() and (counts / back < 1.5).all()
 
 
+def test_weights_are_fitted_on_every_training_document(spark):
+    """Every text stands for a level of its own, whose weight only that text can choose."""
+    class Told:
+        spec = language_model.LanguageModel(levels=6_000)
+
+        def evidence(self, texts):
+            return pd.DataFrame({"level": [int(t) for t in texts], "gain": [[float(j == int(t) % 24 + 1) for j in range(25)] for t in texts]})
+
+    weights = language_model.fit_weights(spark.range(1, 6_001, numPartitions=3).select(F.col("id").cast("string").alias("text")), Told())
+    assert weights[0] == 0.0 and np.array_equal(weights[1:], language_model._WEIGHTS[np.arange(1, 6_001) % 24 + 1])
+
+
 def test_language_model_takes_awkward_rows(spark):
     docs = awkward.documents(spark)
     got = language_model.scored(docs, *language_model.train(docs, "doc_id", "text", language_model.LanguageModel())).collect()
