@@ -152,7 +152,7 @@ def strategy_records(t) -> tuple[DataFrame, DataFrame]:
 
 
 def products(t) -> DataFrame:
-    return H.product_evidence(stage(paired_evidence(t), "paired-evidence"), *strategy_records(t))
+    return H.product_evidence(stage(paired_evidence(t), "paired-evidence"), *strategy_records(t), keep=lambda rows: stage(rows, "chosen"))
 
 
 shared_sql("paired", """

@@ -555,3 +555,16 @@ def test_pairs_of_domains_exchange_twice(spark):
     evidence = E.as_evidence(spark.range(9), **{c: text for c in ("evidence_id", "entity", "metric_id", "business_domain", "evidence_type")}, reference_date=F.date_from_unix_date(F.col("id").cast("int")))
     plan = E.cross_domain_pairs(evidence)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_rows_of_products_are_chosen_before_their_lineage_is_looked_up(spark, monkeypatch):
+    """The chosen rows are exchanged twice and written once; lineage, members and strategy records read them from there."""
+    from factweave.plans import strategy as S
+    from factweave.plans.registry import Tables
+
+    staged = {}
+    monkeypatch.setattr(S, "stage", lambda df, name, real=S.stage: staged.update({name: df}) or real(df, name))
+    found = S.products(Tables(spark, "/root/testdata/sf0.001"))
+    assert list(staged) == ["paired-evidence", "chosen"] and not found.isEmpty()
+    assert staged["chosen"]._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert "MAX(lineage" not in found._jdf.queryExecution().optimizedPlan().toString()
