@@ -44,6 +44,8 @@ from factweave.session import stage
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _TERM = re.compile(TERM)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+# Bytes of UTF-8: A-Z lower-cased, ASCII outside of terms a space, all bytes of other characters kept.
+_TERM_BYTES = bytes(ord(c.translate(_LOWER)) if _TERM.match(c) else 0x20 for c in map(chr, range(128))) + bytes(range(128, 256))
 _NO_ID = -(1 << 63)  # stands for a null id as a join key only
 _LEVELS = (1, 2, 3, 5)  # occurrences from which a level holds; the next level less one bounds them
 
@@ -274,6 +276,29 @@ def scored(docs: DataFrame, found: DataFrame, items: Items, corpus: Corpus, doc_
     return rows.mapInPandas(run, "item int, none boolean, id long, score long")
 
 
+def terms_of(text: str) -> list[bytes]:
+    """The terms of a text in UTF-8, with repeats; a blank of bytes is an ASCII blank, so no other character splits."""
+    return text.encode("utf-8").translate(_TERM_BYTES).split()
+
+
+def document_counts(docs: DataFrame, terms: set[str], text: str) -> dict[str, int]:
+    """How many documents hold each of the terms of a chunk of items, those that none holds left out.
+
+    A task counts by sets of whole terms, which takes a fraction of the time of extracting, exploding and joining all terms of all documents.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(t.encode("utf-8") for t in terms))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, asked = Counter(), shared.value
+        for batch in batches:
+            for t in batch["text"]:
+                held.update(asked.intersection(terms_of(t)))
+        yield pd.DataFrame({"term": pd.Series([t.decode("utf-8") for t in held], dtype=object), "n": pd.Series(list(held.values()), dtype="int64")})
+
+    counts = docs.select(F.col(text).alias("text")).filter("text <> ''").mapInPandas(run, "term string, n long")
+    return {r.term: r.n for r in counts.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("item").orderBy(F.col("score").desc(), "none", "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -298,9 +323,7 @@ def ranked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
         ids = list(dict.fromkeys(r.item_id for r in asking))
         place = {x: i for i, x in enumerate(ids)}
         rows = pd.DataFrame({"item": [place[r.item_id] for r in asking], "term": [r.term for r in asking], "times": [r.times for r in asking]})
-        vocabulary = spark.createDataFrame([(t,) for t in sorted(set(rows["term"]))], "term string")
-        held = docs.select(F.explode(F.array_distinct(term_list(F.col(text)))).alias("term")).join(F.broadcast(vocabulary), "term")
-        df = {r.term: r.n for r in held.groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}  # a chunk's terms at most
+        df = document_counts(docs, set(rows["term"]), text)
         asked = Items(rows, df, corpus)
         if not asked.ids:
             continue

@@ -258,3 +258,11 @@ def test_signatures_only_overestimate_and_exclude_most_documents():
     assert (bounds >= exact).all() and (bounds > exact).mean() < 0.05
     least = np.sort(exact, axis=1)[:, -10]
     assert (bounds >= least[:, None]).sum() < 1.2 * (exact >= least[:, None]).sum()
+
+
+def test_documents_of_a_term_are_counted_by_whole_terms(spark):
+    every = "".join(map(chr, range(0x250))) + "ÀÉİ \u0085 ß\U0001f600x A1b,c\tQ"
+    want = rank._TERM.findall(every.translate(rank._LOWER))
+    assert [t.decode("utf-8") for t in rank.terms_of(every)] == want
+    docs = spark.createDataFrame([("Red red rose",), ("a red rose",), ("ROSE-red",), (None,), ("",)], "body string")
+    assert rank.document_counts(docs, {"red", "rose", "red rose", "none"}, "body") == {"red": 2, "rose": 2, "red rose": 1}
