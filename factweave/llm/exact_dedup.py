@@ -89,8 +89,8 @@ class DedupStream:
     def groups(self, spark: SparkSession) -> DataFrame:
         """One row per input row: digest, `at`, the locator `keep` of the row that stays, and group_size."""
         state = stage(self.state(spark), "dedup-state")
-        seen = stage(state.filter("n > 1").select("digest", F.lit(True).alias("hit")), "dedup-seen")
-        # One pass normalises and hashes all texts. Only rows that hit a digest seen more than once keep theirs; written first, the digests have a known size, and a few of them go to the texts.
+        seen = state.filter("n > 1").select("digest", F.lit(True).alias("hit"))
+        # One pass normalises and hashes all texts. Only rows that hit a digest seen more than once keep theirs.
         rows = stage(
             self._keyed(spark.read.parquet(self.path)).join(seen, "digest", "left").select("digest", "at", F.when(F.col("hit"), F.col("body")).alias("body")), "dedup-rows")
         texts = rows.filter("body IS NOT NULL").groupBy("digest", "body").agg(F.count(F.lit(1)).alias("n"))

@@ -64,7 +64,7 @@ def test_exact_state_goes_on_with_new_files_and_takes_an_empty_table(spark, tmp_
 
 
 def test_texts_that_hit_nothing_are_not_exchanged(spark, tmp_path, monkeypatch):
-    """Texts are normalised and hashed in one pass, which keeps those of hits only and exchanges none."""
+    """Texts are normalised and hashed in one pass, which keeps those of hits only; where the state is small enough to be broadcast, none is exchanged."""
     docs = spark.createDataFrame([(1, "a  b"), (2, "a b"), (3, "c")], "doc_id long, text string")
     docs.write.parquet(f"{tmp_path}/docs")
     staged = {}
